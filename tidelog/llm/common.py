@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 #: Rows up to which a two-column key list is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
 
-_live: list["Scratch"] = []
-
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package wherever the driver was started."""
@@ -42,7 +40,6 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = ready(spark), f"{shared_root(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        _live.append(self)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -60,8 +57,6 @@ class Scratch:
 
     def close(self) -> None:
         _delete(self.spark, self.root)
-        if self in _live:
-            _live.remove(self)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -70,12 +65,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release() -> None:
-    """Delete the scratch tables of every earlier call, whose results must have been written."""
-    for scratch in list(_live):
-        scratch.close()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
