@@ -46,22 +46,13 @@ def episodes(rows: DataFrame, gap: int = 10 * MINUTE, device: str = "device", is
     return out.drop("__focus", "__ts", "__app", "__rn")
 
 
-def _capped(ts: np.ndarray, longest: int) -> np.ndarray:
-    """0-based pieces of one run, a new one where `longest` has passed since the piece's first row."""
-    out, piece, start = np.zeros(len(ts), np.int64), 0, 0
-    while start < len(ts):
-        end = int(np.searchsorted(ts, ts[start] + longest, side="left"))
-        out[start:end] = piece
-        piece, start = piece + 1, end
-    return out
-
-
 def sessions(rows: DataFrame, gap: int = 5 * MINUTE, longest: int | None = 30 * MINUTE, device: str = "device") -> DataFrame:
     """Focus rows (id, ts_us, device) with `session`, counted from 1 in each device.
 
     A new one begins when at least `gap` has passed since the row before, or at
     least `longest` since the session's first row.  Gaps are a window; the
-    second rule depends on earlier cuts, so it runs over each run between gaps.
+    second rule depends on earlier cuts, so runs between gaps stream through it
+    in order, in constant memory.
     """
     order = in_order(device)
     new = F.coalesce((F.col("ts_us") - F.lag("ts_us").over(order) >= gap).cast("int"), F.lit(1))
@@ -70,13 +61,21 @@ def sessions(rows: DataFrame, gap: int = 5 * MINUTE, longest: int | None = 30 *
     if longest is None:
         return out.withColumnRenamed("__run", "session")
 
-    def cut(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values(["ts_us", "id"])
-        run["__piece"] = _capped(run["ts_us"].to_numpy(), longest)
-        return run
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, start, piece = None, 0, 0
+        for batch in batches:
+            pieces = np.zeros(len(batch), np.int64)
+            for i, (ts, *own) in enumerate(zip(batch["ts_us"], batch[device], batch["__run"])):
+                if own != run:
+                    run, start, piece = own, ts, 0
+                elif ts - start >= longest:
+                    start, piece = ts, piece + 1
+                pieces[i] = piece
+            yield batch.assign(__piece=pieces)
 
     schema = out.withColumn("__piece", F.lit(0).cast("long")).schema
-    out = out.groupBy(device, "__run").applyInPandas(cut, schema)
+    sorted_runs = out.repartition(device, "__run").sortWithinPartitions(device, "__run", "ts_us", "id")
+    out = sorted_runs.mapInPandas(cut, schema)
     ranked = F.dense_rank().over(W.partitionBy(device).orderBy("__run", "__piece"))
     return out.withColumn("session", ranked).drop("__run", "__piece")
 
