@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a two-column key list is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
+#: Edges up to which one task finds all components: 16 bytes each, and a few times that to work on.
+ONE_TASK_EDGES = 2_000_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -74,15 +79,42 @@ def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0 .. n-1 the smallest node reachable over the pairs (i, j)."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        np.minimum.at(new, j, low[i])
+        np.minimum.at(new, low, new)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if len(b)]
+    if parts:
+        a, b = (np.concatenate(x) for x in zip(*parts))
+        ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = ids[forest(where[: len(a)], where[len(a) :], len(ids))]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root)], ["id", "component"])
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """Columns (id, component): the smallest id reachable over edges (a, b), for every id on one.
 
-    Alternating large-star and small-star rounds; each round's edges are a
-    written table, and only a count and a checksum of them reach the driver.
+    Up to `one_task` edges, counted first, an executor's task joins them in
+    memory.  Beyond that, alternating large-star and small-star rounds run;
+    each round's edges are a written table, and only a count and a checksum of
+    them reach the driver.
     """
-    cur = scratch.table(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
+    tidy = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    cur = scratch.table(tidy, "edges")
+    if cur.count() <= one_task:
+        return scratch.table(cur.coalesce(1).mapInArrow(_in_one_task, "id long, component long"), "components")
+    cur = scratch.table(cur.distinct(), "edges")
 
     def mark(df: DataFrame):
         row = df.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long"))).first()

@@ -8,12 +8,14 @@ matching share of coordinates concentrates about the Jaccard similarity as for
 k independent minima (Dahlgaard, Knudsen and Thorup, 2017).
 
 Bands of coordinates give candidates.  Documents with equal shingle sets form
-one class first; in each bucket only pairs with a pivot are tried, and a bucket
-whose members lie in one component is done.  Buckets that hold several
-components get more pivots, sixteen times as many a round, until every pair of
-members of different components was tried, so no pair found by a band is lost
-and a large group of copies costs one pair for each member.  Every link is
-confirmed on the full shingle sets.
+one class first.  In each bucket all members are tried against its smallest
+one.  Buckets whose members then lie in several components are open: in small
+ones all pairs of different components are tried; the members of large ones
+are gathered into clusters that hold whole buckets, and a cluster's sets meet
+in tiles of bounded size, which return a spanning forest of their links.  So
+every pair that shares a band is tried or joined already, and a large group of
+copies makes blocks of arithmetic, not rows.  Every link is confirmed on the
+full shingle sets.
 
 Nulls and empties: a null or empty text has an empty set and links with
 nothing.  A row with a null id takes no part: its component is null and it is
@@ -30,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, connected_components, sized
+from tidelog.llm.common import Scratch, connected_components, forest, sized
 from tidelog.llm.words import hashes_of, mix, runs, words_of
 
 #: Shingles that are sketched together in one worker.
 CHUNK = 2_000_000
+#: Members from which on an open bucket is a crowd, and the sets and bytes of a tile of a cluster of crowds.
+CROWD, TILE_SETS, TILE_BYTES = 16, 512, 2 << 20
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -138,6 +142,67 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def tile_links(sets: list[np.ndarray], percent: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of linked sets; with split, only between those before it and those from it on.
+
+    Shingles that no other set here has can't be in an intersection: a set with
+    too many of them is left out before the products are formed.
+    """
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[where] > 1
+    open_ = np.bincount(owner[common], minlength=len(sets)) * 100 >= sizes * percent
+    keep = common & open_[owner]
+    owner, column = owner[keep], np.unique(where[keep], return_inverse=True)[1]
+    row = np.cumsum(open_) - 1
+    left = open_.copy() if split is None else open_ & (np.arange(len(sets)) < split)
+    right = open_ if split is None else open_ & (np.arange(len(sets)) >= split)
+    both = np.zeros((int(open_.sum()), int(open_.sum())), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = row[owner[order]], column[order]
+    width = max(1, 8_000_000 // max(1, len(both)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (at, at + width))
+        part = np.zeros((len(both), width), np.float32)
+        part[owner[i:j], column[i:j] - at] = 1
+        both += part @ part.T
+    n = sizes[open_]
+    total = n[:, None] + n[None, :] - both
+    good = (100 * both.astype(np.int64) >= percent * total.astype(np.int64)) & (left[open_][:, None] & right[open_][None, :])
+    if split is None:
+        good = np.triu(good, 1)
+    i, j = np.nonzero(good)
+    back = np.nonzero(open_)[0]
+    return back[i], back[j]
+
+
+def crowded(cluster: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links within each cluster, tile by tile.  cluster: (rep, cluster)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                same = batch.column(0)[row].as_py()
+                sides = [batch.column(c)[row].values for c in ((1,) if same else (1, 2))]
+                ids = np.concatenate([np.asarray(s.field("id")) for s in sides])
+                words = [np.frombuffer(x.as_buffer(), np.uint64) for s in sides for x in s.field("words")]
+                i, j = tile_links(words, percent, None if same else len(sides[0]))
+                low = forest(i, j, len(ids))
+                at = np.nonzero(low != np.arange(len(ids)))[0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[low[at]])], ["a", "b"])
+
+    rows = cluster.join(sets.withColumnRenamed("id", "rep"), "rep")
+    bytes_ = rows.groupBy("cluster").agg(F.sum(F.length("words")).alias("bytes"), F.count("*").alias("n"))
+    tiles = F.ceil(F.greatest(F.col("bytes") / TILE_BYTES, F.col("n") / TILE_SETS))
+    dealt = rows.join(bytes_.select("cluster", tiles.alias("tiles")), "cluster")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    packed = dealt.groupBy("cluster", "tile").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "words")).alias("sets"))
+    left = packed.select("cluster", F.col("tile").alias("own"), F.col("sets").alias("sets_a"))
+    pairs = left.join(packed, "cluster").where("own <= tile").select(F.expr("own = tile").alias("same"), "sets_a", "sets")
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -164,66 +229,39 @@ def near_duplicates(
         "classes",
     )
     spread = classes.select(F.explode("buckets").alias("bucket"), "rep", "n")
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    alive = scratch.table(spread.join(shared, "bucket"), "members")
-    reach = alive.groupBy("rep").agg(F.sum("size").alias("reach"))
-    n_members = reach.count()
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("pivot")).where("size > 1")
+    members = scratch.table(spread.join(shared, "bucket").select("bucket", "rep", "n", "size", "pivot"), "members")
+    wanted = scratch.table(members.select(F.col("rep").alias("id")).distinct(), "wanted")
+    n_wanted = wanted.count()
     # A list of ids that is small enough is broadcast; else the texts are shuffled to it.
-    wanted = classes.join(reach, "rep", "left_semi").select(F.col("rep").alias("id"), "set_key")
-    sets = scratch.table(full_sets(docs, id_col, text_col, k, sized(wanted, n_members)), "sets")
-    # First pivot of a bucket: the member that meets most others over all its buckets.
-    first = (
-        alive.join(reach, "rep")
-        .groupBy("bucket")
-        .agg(F.max(F.struct("reach", (-F.col("rep")).alias("minus"), "n")).alias("top"))
-        .select("bucket", (-F.col("top.minus")).alias("pivot"), F.col("top.n").alias("pivot_n"))
+    keyed = classes.select(F.col("rep").alias("id"), "set_key").join(wanted, "id", "left_semi")
+    sets = scratch.table(full_sets(docs, id_col, text_col, k, sized(keyed, n_wanted)), "sets")
+    near = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent  # noqa: E731  else the sizes rule a link out
+    pairs = members.where(F.col("rep") != F.col("pivot.rep")).where(near(F.col("n"), F.col("pivot.n")))
+    pairs = pairs.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    links = scratch.table(confirmed(pairs, sets, percent), "links")
+    component = connected_components(links, scratch)
+    side = members.join(component.withColumnRenamed("id", "rep"), "rep", "left")
+    side = side.select("bucket", "rep", "n", "size", F.coalesce("component", "rep").alias("component"))
+    several = side.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first"))
+    side = scratch.table(side.join(several.where("lo <> hi").select("bucket", "first"), "bucket"), "open")
+    crowds = side.where(F.col("size") > CROWD)
+    cluster = connected_components(crowds.select(F.col("rep").alias("a"), F.col("first").alias("b")), scratch)
+    cluster = cluster.select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    few = side.where(F.col("size") <= CROWD).join(cluster, "rep", "left")
+    other = few.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "cluster")])
+    pairs = few.join(other, "bucket").where(
+        (F.col("rep") < F.col("rep_b"))
+        & (F.col("component") != F.col("component_b"))
+        & near(F.col("n"), F.col("n_b"))
+        & ~F.coalesce(F.col("cluster") == F.col("cluster_b"), F.lit(False))
     )
-    links, component, pivots_wanted = None, None, 1
-    while n_members:
-        if component is None:
-            side = alive.withColumn("component", F.col("rep"))
-            pivots = first.withColumn("pivot_component", F.col("pivot"))
-        else:
-            side = alive.join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
-                "component", F.coalesce("component", "rep")
-            )
-            open_ = (
-                side.groupBy("bucket")
-                .agg(F.count("*").alias("left"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-                .where("lo <> hi")
-                .select("bucket", "left")
-            )
-            side = scratch.table(side.join(open_, "bucket"), "open")
-            if side.isEmpty():
-                break
-            draw = F.pmod(F.xxhash64("rep", "bucket", F.lit(pivots_wanted)), F.lit(1_000_003)) * F.col("left")
-            side = side.withColumn("is_pivot", draw < F.lit(1_000_003 * pivots_wanted))
-            pivots = side.where("is_pivot").select(
-                "bucket", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")
-            )
-        pairs = (
-            side.join(pivots, "bucket")
-            .where("rep <> pivot and component <> pivot_component")
-            .where(F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent)
-            .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-            .distinct()
-        )
-        found = scratch.table(confirmed(pairs, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        if component is None:
-            alive = alive.join(first, "bucket").where("rep <> pivot").drop("pivot", "pivot_n")
-        else:
-            alive = side.where("not is_pivot").select("bucket", "rep", "n", "size")
-        if component is None or not found.isEmpty():
-            component = scratch.table(connected_components(links, scratch), "components")
-        alive = scratch.table(alive, "members")
-        pivots_wanted *= 16
+    more = confirmed(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct(), sets, percent)
+    links = links.union(scratch.table(more.union(crowded(cluster, sets, percent)), "links"))
+    component = connected_components(links, scratch)
     named = classes.select("set_key", "rep")
-    if component is not None:
-        named = named.join(component.withColumnRenamed("id", "rep"), "rep", "left")
-        named = named.select("set_key", F.coalesce("component", "rep").alias("component"))
-    else:
-        named = named.select("set_key", F.col("rep").alias("component"))
+    named = named.join(component.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.select("set_key", F.coalesce("component", "rep").alias("component"))
     return sig.join(named, "set_key", "left").select(
         "id",
         "n_shingles",

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, connected_components
+from tidelog.llm.common import Scratch, connected_components, forest
 
 TILE = 1024
 #: Dimensions after which a pair of tiles looks again whether any product can still reach the threshold.
@@ -111,20 +111,6 @@ def linked_mask(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, th
     return np.nonzero(a @ b.T >= threshold)
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """For nodes 0 .. n-1 the smallest node reachable over the pairs (i, j)."""
-    low = np.arange(n)
-    while True:
-        new = low.copy()
-        np.minimum.at(new, i, low[j])
-        np.minimum.at(new, j, low[i])
-        np.minimum.at(new, low, new)
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def _compare(threshold: float, axes: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
