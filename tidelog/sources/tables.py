@@ -43,3 +43,10 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 KINDS = ("screen", "screen_context", "page", "transcript_import", "mcp_resource", "mail")
 
 SOURCES_SQL = f"src AS (SELECT id, list_extract({list(KINDS)}, k % 7) AS kind FROM m WHERE k % 7 <> 0)"
+
+
+def checkpointed(spark: SparkSession):
+    """A function that cuts a DataFrame's lineage by an eager checkpoint in the shared folder."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    return lambda df: df.checkpoint()
