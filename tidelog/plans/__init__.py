@@ -1,6 +1,6 @@
 """Registered queries over the given tables, one module for each group of operators."""
 
-from tidelog.plans import extract, memory, search, store, timeline  # noqa: F401
+from tidelog.plans import extract, memory, search, store, stream, timeline  # noqa: F401
 from tidelog.plans.registry import QUERIES, SQL
 
 
