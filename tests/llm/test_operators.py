@@ -1,0 +1,334 @@
+"""Each operator against a brute-force version, and on nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.llm import licenses, minhash, mixing, quality_mil, sharding, substring, token_files, topk, vector_dedup
+from tidelog.llm.common import Scratch, connected_components
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [f"w{i}" for i in range(60)]
+
+
+def corpus(seed=3, n=60):
+    rng = np.random.default_rng(seed)
+    base = [" ".join(rng.choice(WORDS, int(rng.integers(1, 80)))) for _ in range(n // 3)]
+    texts = []
+    for i in range(n):
+        words = base[i % len(base)].split()
+        for _ in range(int(rng.integers(0, 4))):
+            words[int(rng.integers(0, len(words)))] = str(rng.choice(WORDS))
+        texts.append(" ".join(words).upper() if i % 7 == 0 else " ".join(words))
+    texts += ["", "  \n ", "one", "One", "two words", base[0], base[0]]
+    return [(i * 3 % 101, t, "en", f"s{i % 4}", len(t)) for i, t in enumerate(texts)] + [(500, None, None, None, None), (None, base[0], "en", "s1", 3)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOC)
+
+
+def sets_of(text, k):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else (frozenset([tuple(w)]) if w else frozenset())
+
+
+def components(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def brute_minhash(rows, k, percent):
+    sets = {i: sets_of(t, k) for i, t, *_ in rows if i is not None}
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return sets, components(ids, links)
+
+
+@pytest.mark.parametrize("crowd", [16, 2])
+def test_minhash(spark, docs, monkeypatch, crowd):
+    monkeypatch.setattr(minhash, "CROWD", crowd)
+    sets, comp = brute_minhash(corpus(), 3, 85)
+    got = minhash.near_duplicates(docs, k=3, percent=85).collect()
+    assert len(got) == len(corpus())
+    for r in got:
+        if r.id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.id]), comp[r.id], comp[r.id] == r.id)
+    left = minhash.without_near_duplicates(docs, k=3, percent=85)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == sorted(i for i in comp if comp[i] == i)
+
+
+def test_minhash_tiles_agree_with_pairs():
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 1 << 40, 120).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[int(rng.integers(0, 25)) :], rng.integers(0, 1 << 40, int(rng.integers(0, 20))).astype(np.uint64)])) for _ in range(40)]
+    j = lambda a, b: len(np.intersect1d(a, b)) * 100 >= 85 * len(np.union1d(a, b))
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if j(sets[a], sets[b])}
+    assert set(zip(*map(list, minhash.tile_links(sets, 85)))) == want
+    assert set(zip(*map(list, minhash.tile_links(sets, 85, 15)))) == {(a, b) for a, b in want if a < 15 <= b}
+
+
+def test_sketches_fill_every_coordinate():
+    for n in (1, 2, 7, 500):
+        sketch = minhash.sketches([np.arange(n, dtype=np.uint64) * np.uint64(77)], 120)
+        assert (sketch != np.iinfo(np.uint64).max).all()
+
+
+def test_components_both_ways(spark):
+    edges = [(i, i + 1) for i in range(0, 40) if i % 9] + [(50, 60), (60, 3), (7, 7), (50, 60)]
+    want = components({x for e in edges for x in e if e[0] != e[1]}, edges)
+    df = spark.createDataFrame(edges, "a long, b long")
+    for limit in (1000, 0):
+        got = connected_components(df, Scratch(spark, "t"), one_task=limit)
+        assert dict(got.collect()) == want
+        assert connected_components(df.limit(0), Scratch(spark, "t"), one_task=limit).count() == 0
+
+
+def vectors(seed=5):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(12, 8))
+    rows = []
+    for i in range(90):
+        v = base[i % 12] + rng.normal(size=8) * rng.choice([0, 0.02, 0.08, 0.3])
+        rows.append((i * 7 % 97, [float(x) for x in v * rng.choice([1, 3])], int(i % 12 % 3)))
+    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [1.0] + [None] * 7, 1), (203, [float("nan")] * 8, 1), (204, [1.0] * 8, None), (205, [1.0] * 3, 1), (206, [1.0] * 3, 1), (207, [], 1)]
+    return rows
+
+
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_vector_dedup(spark, tile):
+    rows = vectors()
+    ok = {i: (np.array(v), x) for i, v, x in rows if v and x is not None and all(y is not None and np.isfinite(y) for y in v) and any(v)}
+    cos = lambda a, b: len(a) == len(b) and a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= 0.98
+    links = [(a, b) for a in ok for b in ok if a < b and ok[a][1] == ok[b][1] and cos(ok[a][0], ok[b][0])]
+    n, comp = Counter(x for e in links for x in e), components([r[0] for r in rows], links)
+    df = spark.createDataFrame([(*r, "clash") for r in rows] + [(None, [1.0] * 8, 1, "clash")], "vec_id long, embedding array<double>, label int, n_links string")
+    for r in vector_dedup.near_duplicates(df, tile=tile).collect():
+        if r.id is None:
+            assert (r.n_links, r.component_id, r.kept) == (0, None, True)
+        else:
+            assert (r.n_links, r.component_id, r.kept) == (n[r.id], comp[r.id], comp[r.id] == r.id)
+    assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_top_k(spark):
+    rows = vectors()
+    q = {i: np.floor(64 * np.array(v)).astype(int) for i, v, _ in rows if v and all(y is not None and np.isfinite(y) for y in v)}
+    df = spark.createDataFrame([(*r, "x") for r in rows] + [(None, [1.0] * 8, 1, "x")], "vec_id long, embedding array<double>, label int, rank string")
+    for k, tile in ((5, 4096), (20, 16), (200, 16)):
+        got = topk.top_k(df, F.col("id") % 20 == 0, k=k, tile=tile, block=3).collect()
+        want = []
+        for a in (i for i in q if i % 20 == 0):
+            best = sorted((-int(q[a] @ q[b]), b) for b in q if b != a and len(q[b]) == len(q[a]))[:k]
+            want += [(a, n, b, -s) for n, (s, b) in enumerate(best, 1)]
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_top_k_ties_and_large_integers(spark):
+    rows = [(i, [3e9, 2.0]) for i in range(0, 40)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 20, k=3, scale=1.0, tile=8).collect()
+    assert [(r.id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(i, 9 * 10**18 + 4) for i in (0, 1, 2)]
+
+
+@pytest.mark.parametrize("window", [3, 13])
+def test_substring(spark, docs, monkeypatch, window):
+    monkeypatch.setattr(substring, "BATCH", 200)
+    rows = [(i, (t or "").encode().split()) for i, t, *_ in corpus()]
+    first = {}
+    for i, w in rows:
+        for p in range(len(w) - window + 1):
+            if i is not None:
+                first[tuple(w[p : p + window])] = min(i, first.get(tuple(w[p : p + window]), i))
+    want = []
+    for i, w in rows:
+        gone = {p + j for p in range(len(w) - window + 1) if i is not None and first[tuple(w[p : p + window])] < i for j in range(window)}
+        kept = b" ".join(x for n, x in enumerate(w) if n not in gone)
+        want.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    got = [tuple(r) for r in substring.digests(docs, window).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    cut = substring.deduplicated(docs, window)
+    assert cut.columns == docs.columns
+    mine = sorted((r.doc_id, hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest()) for r in cut.where("doc_id is not null").collect())
+    assert mine == sorted((w[0], w[3]) for w in want if w[0] is not None)
+    assert substring.digests(docs.limit(0), window).count() == 0
+
+
+def test_substring_leaves_clean_texts_alone(spark):
+    rows = spark.createDataFrame([(1, " a  b\tc d\n"), (2, "x a  b\tc y")], "doc_id long, text string")
+    assert dict(substring.deduplicated(rows, 3).collect()) == {1: " a  b\tc d\n", 2: "x y"}
+
+
+def test_prefix_groups_split_only_what_is_large():
+    counts = np.ones(np.prod(substring.LEVELS), np.int64)
+    counts[: substring.LEVELS[2]] = 1000
+    groups = substring.prefix_groups(counts, 2000)
+    totals = np.bincount(groups, weights=counts)
+    assert (totals <= 2000).all() and groups[0] == 0 and (np.diff(groups) >= 0).all()
+
+
+def test_token_files(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    extra = [(900, "Ünïcode İstanbul ΣΑΣ don't 12345 é 世界 🙂   x", "", "", 0), (901, "a" * 3000, "", "", 0)]
+    rows = corpus() + extra
+    df = spark.createDataFrame(rows, DOC).withColumn("ids", F.lit("clash"))
+    out = token_files.written_digests(df, path, 1).collect()
+    want = Counter((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t, *_ in rows for ids in [library.encode(t or "", add_special_tokens=False).ids + [1]])
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
+    at = 0
+    for r in sorted(out, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    order = [r.doc_id for r in sorted(out, key=lambda r: r.start) if r.doc_id is not None]
+    assert order == sorted(order)
+    assert token_files.written_digests(df.limit(0), path, 1).count() == 0
+
+
+def test_word_encoder_with_a_small_memory():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    small = token_files.WordEncoder(path, keep=5)
+    texts = [t or "" for _, t, *_ in corpus()] + ["Don't STOP, e.g. x2y!"]
+    whole = token_files.WordEncoder(path)
+    assert [small.encode([t])[0] for t in texts] == [whole.whole(t) for t in texts] == small.encode(texts)
+
+
+def test_sharding(spark, docs):
+    out = sharding.sharded(docs, shards=3, slots=64).collect()
+    assert len(out) == len(corpus())
+    texts = {i: t for i, t, *_ in corpus()}
+    for s in range(3):
+        places = sorted(r.slot for r in out if r.shard == s)
+        assert places == list(range(len(places)))
+    for r in out:
+        text = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(text) + 1, zlib.crc32(text), "bytes", None)
+    sizes = [sum(r.size for r in out if r.shard == s) for s in range(3)]
+    assert max(sizes) < 1.25 * min(sizes)
+    assert sharding.sharded(docs.limit(0)).count() == 0
+
+
+def test_rebalancing_moves_little(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    weights = {i: int(w) for i, w in enumerate(rng.integers(50, 150, 512))}
+    old = sharding.packed(weights, 8)
+    new = sharding.rebalanced(old, weights, 9)
+    loads = Counter()
+    for slot, shard in new.items():
+        loads[shard] += weights[slot]
+    moved = [s for s in old if old[s] != new[s]]
+    assert max(loads.values()) < 1.05 * min(loads.values()) and len(moved) < 512 / 9 * 1.5 and sum(new[s] != 8 for s in moved) <= 1
+    stored = sharding.SlotMap(spark, str(tmp_path))
+    stored.save(1, old)
+    stored.save(2, new)
+    assert dict(stored.load(1).collect()) == old and dict(stored.load(2).collect()) == new
+
+
+def test_mixing(spark, docs):
+    table = {r["__source"]: r.rate for r in mixing.rates(docs, alpha=0.5).collect()}
+    weight = {}
+    for i, t, _, s, _ in corpus():
+        weight[s] = weight.get(s, 0) + len((t or "").encode()) + 1
+    total, roots = sum(weight.values()), sum(w**0.5 for w in weight.values())
+    assert all(abs(table[s] - w**0.5 / roots * total / w) < 1e-9 for s, w in weight.items())
+    out = mixing.mixed(docs, alpha=0.5)
+    again = mixing.mixed(docs.repartition(7), alpha=0.5)
+    key = lambda df: sorted(((r.doc_id, r.text, r.copy_no, r.n_copies) for r in df.collect()), key=str)
+    assert key(out) == key(again)
+    for i, t, _, s, _ in corpus():
+        u = int(hashlib.md5(f"17|{'null' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+        k, p = 0, np.exp(-table[s])
+        c = p
+        while c <= u:
+            k += 1
+            p *= table[s] / k
+            c += p
+        got = [r.copy_no for r in out.collect() if r.doc_id == i and r.text == t]
+        assert len(got) % max(k, 1) == 0 and (len(got) > 0) == (k > 0)
+    assert mixing.mixed(docs.limit(0)).count() == 0
+    fixed = {r["__source"]: r.rate for r in mixing.rates(docs, weights={"s0": 1.0}).collect()}
+    assert fixed["s1"] == 0 and fixed[None] == 0 and fixed["s0"] > 1
+
+
+def test_poisson_counts_have_the_target_mean(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") < 3000, "big").otherwise("small").alias("source"))
+    out = mixing.mixed(rows, weights={"big": 1.0, "small": 1.0}).groupBy("source").count().collect()
+    assert all(abs(r["count"] - 2000) < 5 * 2000**0.5 for r in out)
+
+
+def test_licenses(spark, docs):
+    texts = {1: "intro words\nReleased under the MIT License.\nmore", 2: "licensed UNDER cc by-nc 4.0", 3: None, 4: "", 5: "License", 6: "released under\nthe mit\nlicense", 7: "This work is licensed under the GNU General Public License, version 3."}
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, best_license string")
+    got = {r.doc_id: (r.best_license, r.best_dice) for r in licenses.scanned(df).collect()}
+    assert got == {1: ("MIT", 1.0), 2: ("CC-BY-NC-4.0", 1.0), 3: (None, None), 4: (None, None), 5: (None, None), 6: ("MIT", 1.0), 7: ("GPL-3.0", 1.0)}
+    assert licenses.scanned(docs).count() == len(corpus()) and licenses.scanned(docs.limit(0)).count() == 0
+
+
+def test_license_bounds_lose_nothing():
+    for size in range(1, 60):
+        low, high = licenses.bounds(size, 0.8)
+        for n in range(1, 120):
+            can = 2 * min(size, n) / (size + n) >= 0.8
+            assert can == (low <= n <= high)
+
+
+def test_quality(spark):
+    good = ["The hen and the goat went to a fair, and the fox stayed at home with the owl."] * 3
+    rows, labels = [], []
+    rng = np.random.default_rng(4)
+    for i in range(400):
+        words = list(rng.permutation(" ".join(good).split()))
+        bad = i % 3 == 0
+        text = " ".join(f"{w.upper()}!!" for w in words) if bad else " ".join(words)
+        rows.append((i, text * (1 + i % 4), "x"))
+        labels.append((i, int(not bad), 0))
+    rows += [(1000, None, "x"), (1001, "", "x"), (None, "words", "x"), (5, rows[5][1], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame(labels + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    out = quality_mil.judged(docs, labels).collect()
+    assert len(out) == len(rows)
+    truth = {i: int(i % 3 != 0) for i in range(400)}
+    held = [r for r in out if r.held_out and r.doc_id in truth]
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out)
+    none = quality_mil.judged(docs, labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.5}
+    assert quality_mil.judged(docs.limit(0), labels).count() == 0
+
+
+def test_attention_gradients():
+    rng = np.random.default_rng(0)
+    x, starts, y = rng.normal(size=(9, 5)), np.array([0, 2, 5]), np.array([1.0, 0.0, 1.0])
+    model = quality_mil.GatedAttention(np.zeros(5), np.ones(5), hidden=4, gates=3)
+    loss = lambda: -np.mean(y * np.log((s := model.forward(x, starts)["score"])) + (1 - y) * np.log(1 - s))
+    grads = model.gradients(model.forward(x, starts), starts, y, 0.0)
+    for k, p in model.p.items():
+        at = np.unravel_index(p.size // 2, p.shape)
+        keep = p[at]
+        p[at] = keep + 1e-6
+        up = loss()
+        p[at] = keep - 1e-6
+        down = loss()
+        p[at] = keep
+        assert abs((up - down) / 2e-6 - grads[k][at]) < 1e-6
