@@ -113,14 +113,14 @@ def collected(k: int, m: int):
                 cut = np.array([known.get(i) if known.get(i) is not None else LEAST for i in qid.tolist()], np.int64)
                 lists = _lists(q.shape[1], m)
                 share = -(-cut // len(lists))  # rounded up: partial scores are integers
-                bound = np.zeros((len(qid), len(cid)), np.int64)
+                bound = np.zeros((len(qid), len(cid)))  # in doubles, with room for their rounding
                 entered = np.zeros(bound.shape, bool)
                 for part in lists:
                     scores = _products(q[:, part], c[:, part])
                     sent = scores >= share[:, None]
                     entered |= sent
                     bound += np.where(sent, scores, share[:, None] - 1)
-                entered &= (bound >= cut[:, None]) & (qid[:, None] != cid[None, :])
+                entered &= (bound >= cut[:, None] - np.abs(cut[:, None]) * 1e-12 - 1) & (qid[:, None] != cid[None, :])
                 i, j = np.nonzero(entered)
                 score = np.empty(len(i), np.int64)
                 for at in range(0, len(i), 65536):
