@@ -109,10 +109,9 @@ def matching(rows: DataFrame, start: int | None = None, end: int | None = None,
 
 def capped_text(rows: DataFrame, id_: int, text: str = "text") -> DataFrame:
     """One moment's text of at most TEXT_BYTES bytes, never cut inside a character."""
-    cut = F.left(text, F.lit(TEXT_BYTES))
-    fits = F.aggregate(
-        F.sequence(F.lit(0), F.lit(3)), cut, lambda best, i: F.when(F.octet_length(best) <= TEXT_BYTES, best).otherwise(F.left(best, F.floor(F.length(best) * TEXT_BYTES / F.octet_length(best)).cast("int")))
-    )
+    head = F.make_valid_utf8(F.substring(F.col(text).cast("binary"), 1, TEXT_BYTES).cast("string"))
+    whole = F.octet_length(text) <= TEXT_BYTES
+    fits = F.when(whole, F.col(text)).otherwise(F.regexp_replace(head, "\ufffd+$", ""))
     return rows.where(F.col("id") == id_).withColumn(text, fits)
 
 
