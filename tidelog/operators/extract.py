@@ -141,8 +141,8 @@ def context_header(app, title, url, ts, body):
     return F.when(F.coalesce(body, F.lit("")) == "", F.lit("")).otherwise(F.concat(head, body))
 
 
-def repeated_chrome(rows: DataFrame, group: list[str], frame: str, title: str, text: str = "text", top: int = 8, bottom: int = 4) -> DataFrame:
-    """Lines (group, line) at the edge of a window that half the frames of a group have, under three titles at least.
+def repeated_chrome(rows: DataFrame, group: list[str], frame: str, title: str, text: str = "text", top: int = 8, bottom: int = 4, one_in: int = 2) -> DataFrame:
+    """Lines (group, line) at the edge of a window that one in `one_in` frames of a group has, under three titles at least.
 
     A line has 2 to 40 words and is among the first `top` or the last `bottom`.
     """
@@ -153,7 +153,7 @@ def repeated_chrome(rows: DataFrame, group: list[str], frame: str, title: str, t
     fit = F.size(F.split(F.trim("line"), r"\s+")).between(2, 40)
     frames = rows.groupBy(*group).agg(F.countDistinct(frame).alias("__frames"))
     seen = spread.where(fit).groupBy(*group, "line").agg(F.countDistinct(frame).alias("__seen"), F.countDistinct(title).alias("__titles"))
-    return seen.join(frames, group).where("__seen * 2 >= __frames and __titles >= 3").select(*group, "line")
+    return seen.join(frames, group).where((F.col("__seen") * one_in >= F.col("__frames")) & (F.col("__titles") >= 3)).select(*group, "line")
 
 
 def picture_verdict(distance):

@@ -94,9 +94,6 @@ def web_pages(spark, sf):
     return rows.groupBy("host").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page")).orderBy(F.desc("pages"), "host").limit(24)
 
 
-_CASCADE = (("app", "error", "suppress: denied app"), ("k", "13", "suppress: denied site"), ("v", "", "suppress: private window"))
-
-
 @query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'suppress: denied app' WHEN (props::JSON ->> '$.k')::INT = 13 THEN 'suppress: denied site'
 WHEN value IS NULL THEN 'suppress: unknown' WHEN value > 40 THEN 'suppress: private window' ELSE 'allow' END AS verdict FROM events""")
 def suppression_cascade(spark, sf):
@@ -137,14 +134,7 @@ f AS (SELECT * FROM e WHERE len(regexp_split_to_array(trim(line), '\s+')) BETWEE
 SELECT lang, line FROM (SELECT lang, line, count(DISTINCT doc_id) AS seen, count(DISTINCT source) AS titles FROM f GROUP BY ALL) JOIN n USING (lang) WHERE seen * 20 >= frames AND titles >= 3""")
 def repeated_chrome(spark, sf):
     """At a twentieth of the frames here: the test texts repeat lines more rarely than windows do."""
-    rows = table(spark, sf, "documents")
-    frames = rows.groupBy("lang").agg(F.countDistinct("doc_id").alias("frames"))
-    all_ = x.F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda z: F.trim(z) != "")
-    n = F.size(all_)
-    edge = F.concat(F.slice(all_, 1, 8), F.when(n > 8, F.slice(all_, F.greatest(n - 3, F.lit(9)), 4)).otherwise(F.array().cast("array<string>")))
-    spread = rows.select("lang", "doc_id", "source", F.explode(F.array_distinct(edge)).alias("line")).where(F.size(F.split(F.trim("line"), r"\s+")).between(2, 40))
-    seen = spread.groupBy("lang", "line").agg(F.countDistinct("doc_id").alias("seen"), F.countDistinct("source").alias("titles"))
-    return seen.join(frames, "lang").where("seen * 20 >= frames and titles >= 3").select("lang", "line")
+    return x.repeated_chrome(table(spark, sf, "documents"), ["lang"], "doc_id", "source", one_in=20)
 
 
 @query(r"""WITH a AS (SELECT conv_id, turn, string_split(text, chr(10)) AS now, lag(string_split(text, chr(10))) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM conversations)
