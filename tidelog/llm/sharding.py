@@ -4,8 +4,8 @@ Records hash into thousands of slots and never change slot; only the map from
 slots to shards is edited.  Its first version packs the bytes of the slots, the
 largest first, into the lightest shard; a later version moves just the slots
 that bring the shards level again.  Equal texts share a slot, so groups of
-copies stay in one shard, unless a group is larger than a quarter of a
-shard: such groups, at most 4 for each shard, are spread by id over all slots.
+copies stay in one shard, unless a group is larger than half a
+shard: such groups, at most 2 for each shard, are spread by id over all slots.
 
 The law held is `bytes`: shard sizes nearly equal.  A null text counts no
 bytes; every record counts one more.  Repeated rows are records of their own.
@@ -92,8 +92,8 @@ def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def slotted(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
     """rows of records() with their virtual slot."""
     total = rows.agg(F.sum("size")).first()[0] or 0
-    heavy = rows.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > total / (4 * shards))
-    large = [r[0] for r in heavy.select("group").collect()]  # fewer than 4 for each shard
+    heavy = rows.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > total / (2 * shards))
+    large = [r[0] for r in heavy.select("group").collect()]  # fewer than 2 for each shard
     key = F.xxhash64("group")
     if large:
         key = F.when(F.col("group").isin(large), F.xxhash64("group", "doc_id")).otherwise(key)
