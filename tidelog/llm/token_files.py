@@ -35,7 +35,7 @@ class WordEncoder:
     PLAIN = regex.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*")
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -48,14 +48,12 @@ class WordEncoder:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.keep:
-            self.words.clear()
-            words = words if len(words) < self.keep else set(words)
         split = {w: self.PARTS.findall(w.lower()) for w in words}
-        new = sorted({p for parts in split.values() for p in parts} - self.parts.keys())
-        if len(self.parts) + len(new) > 2 * self.keep:
-            self.parts.clear()
-            new = sorted({p for parts in split.values() for p in parts})
+        parts = self.parts
+        new = sorted({p for own in split.values() for p in own if p not in parts})
+        if len(parts) + len(new) > self.keep:
+            parts.clear()
+            new = sorted({p for own in split.values() for p in own})
         for at in range(0, len(new), 4096):
             block = new[at : at + 4096]
             starts = np.cumsum([0, *(len(p) + 1 for p in block)])
@@ -63,26 +61,30 @@ class WordEncoder:
             where = np.searchsorted(starts, [a for a, _ in got.offsets], side="right") - 1
             cuts = np.searchsorted(where, np.arange(len(block) + 1))
             ids = np.asarray(got.ids, "<u4")
-            self.parts |= {p: ids[i:j].tobytes() for p, i, j in zip(block, cuts, cuts[1:])}
-        parts = self.parts
+            parts |= {p: ids[i:j].tobytes() for p, i, j in zip(block, cuts.tolist(), cuts[1:].tolist())}
         self.words |= {w: b"".join([parts[p] for p in own]) for w, own in split.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         plain = [t.split() if self.PLAIN.fullmatch(t) else None for t in texts]
-        out = []
-        for text, words in zip(texts, plain):
+        known, out, fresh, again = self.words, [], set(), []
+        for i, (text, words) in enumerate(zip(texts, plain)):
             if words is None:
                 out.append(self.whole(text))
                 continue
-            try:
-                out.append(b"".join(map(self.words.__getitem__, words)))
-            except KeyError:
-                fresh = set(words) - self.words.keys()
-                self._learn(fresh)
-                if not all(w in self.words for w in words):
-                    self._learn(set(words))
-                out.append(b"".join(map(self.words.__getitem__, words)))
+            ids = list(map(known.get, words))
+            if None in ids:
+                fresh.update([w for w, x in zip(words, ids) if x is None])
+                again.append(i)
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        if len(known) + len(fresh) > self.keep:
+            known.clear()
+            fresh = {w for i in again for w in plain[i]}
+        self._learn(fresh)
+        for i in again:
+            out[i] = b"".join(map(known.__getitem__, plain[i]))
         return out
 
 
