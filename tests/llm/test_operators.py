@@ -209,6 +209,7 @@ def test_word_encoder_with_a_small_memory():
     path = public_tokenizers.path("word_bpe_49k.json")
     small = token_files.WordEncoder(path, keep=5)
     texts = [t or "" for _, t, *_ in corpus()] + ["Don't STOP, e.g. x2y!"]
+    texts += [f"a{chr(c)}b {chr(c)} '{chr(c)}" for c in (*range(9, 14), *range(32, 0x260), 0x307, 0x3A3, 0x2028)]
     whole = token_files.WordEncoder(path)
     assert [small.encode([t])[0] for t in texts] == [whole.whole(t) for t in texts] == small.encode(texts)
 

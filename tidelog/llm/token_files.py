@@ -12,79 +12,85 @@ ordered by a hash of the text, null ids first.
 from __future__ import annotations
 
 import functools
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import Scratch, ready
 
 
+def _plain_patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Texts of plain Latin characters, and the tokenizer's own parts of such a text in lower case.
+
+    Characters from U+00A1 to U+024F whose lower case is one of these too, but
+    for the soft hyphen.
+    """
+    plain = [c for c in map(chr, range(0xA1, 0x250)) if "\u00a0" < c.lower() < "\u0250" and len(c.lower()) == 1 and c != "\u00ad"]
+    kind = lambda k: "".join(c for c in plain if unicodedata.category(c)[0] == k)
+    letters, numbers = "a-zA-Z" + kind("L"), "0-9" + kind("N")
+    text = re.compile("[\\t\\n\\x0b\\x0c\\r\\x20-\\x7e" + "".join(plain) + "]*")
+    return text, re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
+
+
 class WordEncoder:
-    """Whole-text ids of a tokenizer none of whose matches crosses white space.
+    """Whole-text ids of a tokenizer that splits texts into parts which it encodes one by one.
 
     Texts of plain Latin characters, on which normalising and lower-casing work
-    character by character, are encoded word by word with the results kept;
-    any other text goes to the library whole.
+    character by character, are split here and the ids of each part kept; any
+    other text goes to the library whole.
     """
 
-    PLAIN = regex.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*")
-    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    PLAIN, PARTS = _plain_patterns()
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.keep = keep
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        split = {w: self.PARTS.findall(w.lower()) for w in words}
-        parts = self.parts
-        new = sorted({p for own in split.values() for p in own if p not in parts})
-        if len(parts) + len(new) > self.keep:
-            parts.clear()
-            new = sorted({p for own in split.values() for p in own})
+    def _learn(self, fresh: set[str]) -> None:
+        new = sorted(fresh)
         for at in range(0, len(new), 4096):
             block = new[at : at + 4096]
             starts = np.cumsum([0, *(len(p) + 1 for p in block)])
             got = self.library.encode(" ".join(block), add_special_tokens=False)
             where = np.searchsorted(starts, [a for a, _ in got.offsets], side="right") - 1
-            cuts = np.searchsorted(where, np.arange(len(block) + 1))
-            ids = np.asarray(got.ids, "<u4")
-            parts |= {p: ids[i:j].tobytes() for p, i, j in zip(block, cuts.tolist(), cuts[1:].tolist())}
-        self.words |= {w: b"".join([parts[p] for p in own]) for w, own in split.items()}
+            cuts = (4 * np.searchsorted(where, np.arange(len(block) + 1))).tolist()
+            ids = np.asarray(got.ids, "<u4").tobytes()
+            self.parts |= {p: ids[i:j] for p, i, j in zip(block, cuts, cuts[1:])}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        plain = [t.split() if self.PLAIN.fullmatch(t) else None for t in texts]
-        known, out, fresh, again = self.words, [], set(), []
-        for i, (text, words) in enumerate(zip(texts, plain)):
-            if words is None:
+        known, out, fresh, again = self.parts, [], set(), []
+        for i, text in enumerate(texts):
+            if not self.PLAIN.fullmatch(text):
                 out.append(self.whole(text))
                 continue
-            ids = list(map(known.get, words))
+            parts = self.PARTS.findall(text.lower())
+            ids = list(map(known.get, parts))
             if None in ids:
-                fresh.update([w for w, x in zip(words, ids) if x is None])
-                again.append(i)
+                fresh.update([p for p, x in zip(parts, ids) if x is None])
+                again.append((i, parts))
                 out.append(b"")
             else:
                 out.append(b"".join(ids))
         if len(known) + len(fresh) > self.keep:
             known.clear()
-            fresh = {w for i in again for w in plain[i]}
+            fresh = {p for _, parts in again for p in parts}
         self._learn(fresh)
-        for i in again:
-            out[i] = b"".join(map(known.__getitem__, plain[i]))
+        for i, parts in again:
+            out[i] = b"".join(map(known.__getitem__, parts))
         return out
 
 
