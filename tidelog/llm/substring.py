@@ -38,7 +38,7 @@ from tidelog.llm.common import Scratch, ready
 from tidelog.llm.words import hashes_of, runs, words_of
 
 #: Words of a batch that is sorted in one worker, and suffixes of a group.
-BATCH, GROUP = 3_000_000, 8_000_000
+BATCH, GROUP = 500_000, 1_500_000
 #: Cells of the first 2 words, of the first 4, and of the whole window.
 LEVELS = (64, 64, 16)
 
@@ -195,7 +195,8 @@ def suffixes(docs: DataFrame, window: int, groups: np.ndarray) -> DataFrame:
                 if i < j:
                     own = by[i:j]
                     first = path[own]
-                    body = _pack(np.diff(first, prepend=np.uint64(0)), doc[own].astype("<u4"), place[own].astype("<u4"), np.diff(doc_ids, prepend=0), marks)
+                    used, index = np.unique(doc[own], return_inverse=True)
+                    body = _pack(np.diff(first, prepend=np.uint64(0)), index.astype("<u4"), place[own].astype("<u4"), np.diff(doc_ids[used], prepend=0), marks[used])
                     packets.append(body)
                     where.append(g)
             yield pa.RecordBatch.from_arrays(
@@ -220,21 +221,21 @@ def _subtree(table: pa.Table) -> pa.Table:
             continue
         deltas, d, p, id_deltas, m = _unpack(body.as_buffer())
         path.append(np.cumsum(deltas, dtype=np.uint64))
-        doc.append(d.astype(np.int64) + at)
+        doc.append(d.astype(np.int32) + np.int32(at))
         place.append(p)
         ids.append(np.cumsum(id_deltas))
         marks.append(m)
         at += len(m)
     out = [[i for i, _, _ in answered], [m for _, m, _ in answered], [b.as_py() for _, _, b in answered]]
     if path:
-        path, doc, place, ids, marks = map(np.concatenate, (path, doc, place, ids, marks))
-        order = np.argsort(path, kind="stable")
+        path = np.concatenate(path)
+        order = np.argsort(path)
         path = path[order]
         head = np.append(True, path[1:] != path[:-1])
         several = ~(head & np.append(head[1:], True))
         order, head = order[several], head[several]
-        del path
-        doc, place = doc[order], place[order]
+        del path, several
+        doc, place, ids, marks = np.concatenate(doc)[order], np.concatenate(place)[order], np.concatenate(ids), np.concatenate(marks)
         owned = ids[doc]
         if len(owned):
             heads = np.nonzero(head)[0]
