@@ -36,7 +36,7 @@ from tidelog.llm.common import Scratch, connected_components, forest, sized
 from tidelog.llm.words import hashes_of, mix, runs, words_of
 
 #: Shingles that are sketched together in one worker.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Members from which on an open bucket is a crowd, and the sets and bytes of a tile of a cluster of crowds.
 CROWD, TILE_SETS, TILE_BYTES = 16, 512, 2 << 20
 
@@ -177,7 +177,7 @@ def tile_links(sets: list[np.ndarray], percent: int, split: int | None = None) -
     return back[i], back[j]
 
 
-def crowded(cluster: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def crowded(cluster: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): a spanning forest of the links within each cluster, tile by tile.  cluster: (rep, cluster)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +192,13 @@ def crowded(cluster: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at = np.nonzero(low != np.arange(len(ids)))[0]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[low[at]])], ["a", "b"])
 
-    rows = cluster.join(sets.withColumnRenamed("id", "rep"), "rep")
+    rows = scratch.table(cluster.join(sets.withColumnRenamed("id", "rep"), "rep"), "clustered")
     bytes_ = rows.groupBy("cluster").agg(F.sum(F.length("words")).alias("bytes"), F.count("*").alias("n"))
     tiles = F.ceil(F.greatest(F.col("bytes") / TILE_BYTES, F.col("n") / TILE_SETS))
-    dealt = rows.join(bytes_.select("cluster", tiles.alias("tiles")), "cluster")
+    counts = scratch.table(bytes_.select("cluster", tiles.alias("tiles")), "clusters")
+    dealt = rows.join(sized(counts, counts.count()), "cluster")
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    dealt = dealt.repartition("cluster", "tile")  # a large cluster spreads over tasks by its tiles
     packed = dealt.groupBy("cluster", "tile").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "words")).alias("sets"))
     left = packed.select("cluster", F.col("tile").alias("own"), F.col("sets").alias("sets_a"))
     pairs = left.join(packed, "cluster").where("own <= tile").select(F.expr("own = tile").alias("same"), "sets_a", "sets")
@@ -257,7 +259,7 @@ def near_duplicates(
         & ~F.coalesce(F.col("cluster") == F.col("cluster_b"), F.lit(False))
     )
     more = confirmed(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct(), sets, percent)
-    links = links.union(scratch.table(more.union(crowded(cluster, sets, percent)), "links"))
+    links = links.union(scratch.table(more.union(crowded(cluster, sets, percent, scratch)), "links"))
     component = connected_components(links, scratch)
     named = classes.select("set_key", "rep")
     named = named.join(component.withColumnRenamed("id", "rep"), "rep", "left")

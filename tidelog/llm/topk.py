@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch
+from tidelog.llm.common import Scratch, sized
 
 TILE, BLOCK = 4096, 256
 
@@ -50,9 +50,9 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
 def blocked(rows: DataFrame, size: int) -> DataFrame:
     """(d, block, members): rows of one length in blocks of about `size`, dealt by a hash of the id."""
     counts = rows.groupBy("d").agg(F.count("*").alias("n"))
-    dealt = rows.join(counts, "d")
+    dealt = rows.join(sized(counts, counts.count()), "d")
     block = F.pmod(F.xxhash64("id", F.lit(size)), F.ceil(F.col("n") / size)).cast("int")
-    return dealt.withColumn("block", block).groupBy("d", "block").agg(F.collect_list(F.struct("id", "q")).alias("members"))
+    return dealt.withColumn("block", block).repartition("d", "block").groupBy("d", "block").agg(F.collect_list(F.struct("id", "q")).alias("members"))
 
 
 def _matrix(members) -> tuple[np.ndarray, np.ndarray]:

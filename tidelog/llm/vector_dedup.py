@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, connected_components, forest
+from tidelog.llm.common import Scratch, connected_components, forest, sized
 
 TILE = 1024
 #: Dimensions after which a pair of tiles looks again whether any product can still reach the threshold.
@@ -167,8 +167,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         classes.select("label", "rep", "copies", "vec").mapInArrow(cells, "label string, rep long, copies long, vec binary, d int, x int, y int"), "cells"
     )
     cell = ["label", "d", "x", "y"]
-    sizes = celled.groupBy(*cell).agg(F.count("*").alias("n"))
-    tiled = celled.join(sizes, cell).withColumn("tile", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / tile)).cast("int"))
+    sizes = scratch.table(celled.groupBy(*cell).agg(F.count("*").alias("n")), "sizes")
+    tiled = celled.join(sized(sizes, sizes.count()), cell).withColumn("tile", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / tile)).cast("int"))
+    tiled = tiled.repartition(*cell, "tile")  # a crowded cell spreads over tasks by its tiles
     tiles = scratch.table(tiled.groupBy(*cell, "tile").agg(F.collect_list(F.struct("rep", "copies", "vec")).alias("members")), "tiles")
     # Each tile meets the tiles of its own cell from itself on, and those of four of its eight neighbours.
     offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
