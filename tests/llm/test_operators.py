@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import textwrap
 import zlib
 from collections import Counter
 
@@ -285,6 +286,45 @@ def test_licenses(spark, docs):
     assert licenses.scanned(docs).count() == len(corpus()) and licenses.scanned(docs.limit(0)).count() == 0
 
 
+def test_licenses_inside_longer_texts(spark):
+    notice = {name: text for name, text in licenses.TEMPLATES}
+    full = dict(licenses.TEXTS)
+    prose = "The hen and the goat went to the fair of the town, and the fox stayed in the house with the owl.\n" * 40
+    wrapped = lambda text, mark="# ": "\n".join(mark + x for x in textwrap.wrap(text, 60))
+    texts = {
+        1: ("MIT", "import os\n" + wrapped(notice["MIT"]) + "\n" + prose),
+        2: ("BSD-3-Clause", prose + wrapped(full["BSD-3-Clause"], " * ") + "\n" + prose),
+        3: ("GPL-3.0", prose + wrapped(notice["GPL-3.0"], "// ") + "\n" + prose),
+        4: ("MPL-2.0", "Read this first. " + notice["MPL-2.0"] + " " + prose.replace("\n", " ")),
+        5: ("MIT", wrapped(full["MIT"], "")),
+        6: ("GPL-2.0", prose + wrapped(full["GPL-2.0"], "")),
+        7: ("GPL-3.0", full["GPL-3.0"]),
+        8: ("Apache-2.0", "x y\n" + full["Apache-2.0"] + prose),
+        9: (None, prose),
+        10: (None, prose + " ".join(notice["MIT"].split()[:30]) + " " + prose),
+    }
+    df = spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.best_license, r.n_matches > 0) for r in licenses.scanned(df).collect()}
+    assert got == {i: (name, name is not None) for i, (name, _) in texts.items()}
+
+
+def test_license_runs_lose_nothing(spark):
+    """Every run of words, by brute force."""
+    rng, words = np.random.default_rng(7), "a b c d e f g h".split()
+    template = "a b c d e f g h a c"
+    texts = [" ".join(rng.choice(words[: rng.integers(4, 9)], 6)) + "\n" + template[: rng.integers(8, 20)] + " " + " ".join(rng.choice(words, 6)) for _ in range(60)]
+
+    def best(text):
+        row, known = licenses._row_of(text), set(licenses.bigrams_of(template))
+        runs = [set(row[i:j]) for i in range(len(row)) for j in range(i + 1, min(len(row), i + int(9 * 1.5)) + 1)]
+        return max((d for d in (2 * len(r & known) / (len(r) + len(known)) for r in runs) if d >= 0.8), default=None)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.best_dice for r in licenses.scanned(df, templates=(), texts=(("T", template),)).collect()}
+    want = {i: best(t) for i, t in enumerate(texts)}
+    assert got == {i: d if d is None else round(d, 6) for i, d in want.items()} and any(want.values()) and not all(want.values())
+
+
 def test_license_bounds_lose_nothing():
     for size in range(1, 60):
         low, high = licenses.bounds(size, 0.8)

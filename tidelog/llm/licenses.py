@@ -1,11 +1,20 @@
 """Licence scans: normalised passages against licence templates by the Dice coefficient of word bigrams.
 
-Passages are the lines of a text and the whole text.  They are lower-cased, all
-but letters and digits becomes a space, and their distinct word bigrams are
-compared with each template's: 2 |A and B| / (|A| + |B|).  As the smaller set
-bounds the intersection, a template of size s can reach the threshold t only
-for passages of s * t / (2 - t) to s * (2 - t) / t bigrams; others are skipped
-before any comparison.
+Passages are the lines of a text, the whole text, and runs of its words across
+line ends.  They are lower-cased, all but letters and digits becomes a space,
+and their distinct word bigrams are compared with each template's:
+2 |A and B| / (|A| + |B|).  As the smaller set bounds the intersection, a
+template of size s can reach the threshold t only for passages of
+s * t / (2 - t) to s * (2 - t) / t bigrams; others are skipped before any
+comparison.
+
+Runs are looked at for a template that no line and not the whole text matches,
+and for each full licence text.  A text with fewer than s * t / (2 - t) of the
+template's bigrams has no run that matches.  In the others every run is
+compared that begins where a stretch of the template's bigrams begins, ends
+where one ends, and is up to (2 - t) / t times as long as the template; a longer
+or shorter end only adds bigrams the template lacks or drops some it has.  The
+best run counts: one match for each template.
 
 Null or empty texts and passages of one word match nothing; they give a row
 with no licence.  Every row of the input gives one row.
@@ -14,6 +23,7 @@ with no licence.  Every row of the input gives one row.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +46,17 @@ TEMPLATES = (
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: Complete licence texts, one file each.
+TEXTS = tuple((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
 
 
-def bigrams_of(text: str) -> list[str]:
+def _row_of(text: str) -> list[str]:
     words = re.sub(r"[\W_]+", " ", text.lower()).split()
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def bigrams_of(text: str) -> list[str]:
+    return sorted(set(_row_of(text)))
 
 
 def bounds(size: int, threshold: float) -> tuple[int, int]:
@@ -61,6 +77,22 @@ def _pairs(words):
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _row(words):
+    """All bigrams of an array of words, in order."""
+    n = F.size(words) - 1
+    return F.when(n > 0, F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+
+
+def _let(value, f):
+    """f(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _among(pairs) -> str:
+    """SQL for "g is one of the bigrams": a hash lookup, whatever their number."""
+    return f"g IN ({', '.join(repr(p) for p in sorted(pairs))})"
+
+
 def _matches(name: str, pairs: list[str], threshold: float):
     """Structs (minus the coefficient, licence) of the passages that match one template."""
     (low, high), known, n = bounds(len(pairs), threshold), F.array(*[F.lit(p) for p in pairs]), len(pairs)
@@ -69,7 +101,34 @@ def _matches(name: str, pairs: list[str], threshold: float):
     return F.transform(F.filter(dice, lambda d: d >= threshold), lambda d: F.struct((-d).alias("minus"), F.lit(name).alias("license")))
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, templates=TEMPLATES) -> DataFrame:
+def _runs(pairs: list[str], length: int, threshold: float):
+    """Structs (at, n): the runs of __row to compare with a template of `length` bigrams."""
+    low, most = max(bounds(len(pairs), threshold)[0], 1), int(length * (2 - threshold) / threshold + 1e-9)
+    places = F.expr(f"filter(transform(__row, (g, i) -> if({_among(pairs)}, i, -1)), i -> i >= 0)")
+
+    def of(place):
+        hits = F.transform(place, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+        begins = F.filter(hits, lambda h: (h["i"] == 0) | (F.get(place, h["i"] - 1) != h["p"] - 1))
+        ends = F.filter(hits, lambda h: (h["i"] == F.size(place) - 1) | (F.get(place, h["i"] + 1) != h["p"] + 1))
+        fit = lambda a: lambda b: (b["p"] - a["p"] < most) & (b["i"] - a["i"] + 1 >= low)
+        run = lambda a: lambda b: F.struct((a["p"] + 1).alias("at"), (b["p"] - a["p"] + 1).alias("n"))
+        return _let(begins, lambda bs: _let(ends, lambda es: F.flatten(F.transform(bs, lambda a, k: F.transform(F.filter(F.slice(es, k + 1, F.lit(most)), fit(a)), run(a))))))
+
+    return _let(places, of)
+
+
+def _inside(name: str, text: str, near: str, threshold: float, unless=None):
+    """At most one struct like those of _matches: the best run of a text that matches one template."""
+    pairs, length = bigrams_of(text), len(_row_of(text))
+    known, n, low = F.split(F.lit("\n".join(pairs)), "\n"), len(pairs), max(bounds(len(pairs), threshold)[0], 1)
+    dice = F.transform(_runs(pairs, length, threshold), lambda r: _let(F.array_distinct(F.slice("__row", r["at"], r["n"])), lambda p: F.lit(2.0) * F.size(F.array_intersect(p, known)) / (F.size(p) + n)))
+    none = F.array().cast("array<struct<minus:double,license:string>>")
+    may = (F.size(near) >= low) & (F.size(F.array_intersect(F.col(near), known)) >= low)
+    found = _let(F.array_max(dice), lambda d: F.when(d >= threshold, F.array(F.struct((-d).alias("minus"), F.lit(name).alias("license")))).otherwise(none))
+    return F.when(may if unless is None else may & (F.size(unless) == 0), found).otherwise(none)
+
+
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, templates=TEMPLATES, texts=TEXTS) -> DataFrame:
     """id, n_matches, licenses (distinct, sorted, joined by commas), best_license and best_dice (null without a match)."""
     sets = [(name, bigrams_of(text)) for name, text in templates]
     sets = [(name, pairs) for name, pairs in sets if pairs]
@@ -82,8 +141,14 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     together = F.flatten("__words")
     few = F.size(F.array_distinct(together)) <= 2 * largest + 2
     every = F.when((F.size("__words") > 1) & few, F.array(F.filter(together, lambda w: w != ""))).otherwise(F.array().cast("array<array<string>>"))
-    rows = rows.select(id_col, F.transform(F.concat("__words", every), _pairs).alias("__pairs"))
-    matches = [_matches(name, pairs, threshold) for name, pairs in sets]
+    rows = rows.select(id_col, F.transform(F.concat("__words", every), _pairs).alias("__pairs"), _row(F.filter(together, lambda w: w != "")).alias("__row"))
+    short, full = [(name, t) for name, t in templates if bigrams_of(t)], [(name, t) for name, t in texts if bigrams_of(t)]
+    known, noticed = ({p for _, t in x for p in bigrams_of(t)} for x in (short + full, short))
+    near = lambda column, pairs: F.expr(f"filter({column}, g -> {_among(pairs)})" if pairs else f"slice({column}, 1, 0)")
+    rows = rows.select("*", F.array_distinct(near("__row", known)).alias("__near"))
+    rows = rows.select("*", near("__near", noticed).alias("__noticed"), *[_matches(name, pairs, threshold).alias(f"__m{i}") for i, (name, pairs) in enumerate(sets)])
+    matches = [f"__m{i}" for i in range(len(sets))]
+    matches += [_inside(name, t, "__noticed", threshold, f"__m{i}") for i, (name, t) in enumerate(short)] + [_inside(name, t, "__near", threshold) for name, t in full]
     found = F.flatten(F.array(*matches)) if matches else F.array().cast("array<struct<minus:double,license:string>>")
     rows = rows.select(id_col, found.alias("__found"))
     best = F.array_min("__found")
