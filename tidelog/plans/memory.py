@@ -273,7 +273,7 @@ def span_scores(spark, sf):
 SELECT d.id, contains(lower(text), 'stupid')::INT + contains(lower(text), 'idiot')::INT AS forbidden, 0 AS citations, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS words,
 len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) BETWEEN 20 AND 400 AS fits, c.coverage FROM d JOIN (SELECT d.id, avg(contains(lower(text), lower(fact))::INT) AS coverage FROM d JOIN f USING (id) GROUP BY d.id) c USING (id)""")
 def digest_scores(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 300").select(F.col("doc_id").alias("id"), "text", "source")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     facts = d.select("id", F.col("source").alias("fact")).union(d.select("id", F.lit("the")))
     return e.digest_scores(d.select("id", "text"), facts, ["stupid", "idiot"], 20, 400).withColumn("words", F.col("words").cast("long"))
 
