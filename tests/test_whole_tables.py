@@ -16,3 +16,20 @@ def test_digest_scores_takes_every_document(spark, tmp_path):
     got = run(spark, "digest_scores", tmp_path, documents=([(i, t, "web") for i, t in texts.items()], "doc_id long, text string, source string"))
     want = {i: (("stupid" in t.lower()) + ("idiot" in t), len(t.split()), 20 <= len(t.split()) <= 400, (("web" in t) + ("the" in t.lower())) / 2) for i, t in texts.items()}
     assert {r["id"]: (r["forbidden"], r["words"], r["fits"], r["coverage"]) for r in got} == want
+
+
+def test_window_attribution_takes_every_frame(spark, tmp_path):
+    keys = [1, 2, 1998, 1999, 2000, 2001, 7000, 10**10]
+    orders = [(k, (k * 7) % 50) for k in keys]
+    lineitem = [(k, n, (k * 31 + n * 17) % 100, (k * 13 + n * 29) % 100) for k in [*keys, 2002, 7002] for n in range(1, 5)]
+    got = run(
+        spark, "window_attribution", tmp_path,
+        orders=(orders, "o_orderkey long, o_custkey long"),
+        lineitem=(lineitem, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"),
+    )
+    want = {}
+    for (frame, line, x, y), (k, c), d in itertools.product(lineitem, orders, range(3)):
+        if k + d == frame and c % 40 <= x <= c % 40 + 60 and c % 30 <= y <= c % 30 + 60:
+            want[frame, line] = min(want.get((frame, line), (99, 0)), (k % 5 + d, c))
+    assert {(r["frame"], r["line"]): r["window"] for r in got} == {k: v[1] for k, v in want.items()}
+    assert max(want)[0] > 2000

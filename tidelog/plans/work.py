@@ -78,8 +78,8 @@ def overlap_resolution(spark, sf):
 v AS (SELECT o_orderkey + d AS frame, o_custkey AS win, o_orderkey % 5 + d AS z, o_custkey % 40 AS a, o_custkey % 30 AS b FROM orders, range(3) AS t(d) WHERE o_orderkey < 2000)
 SELECT frame, line, win AS "window" FROM (SELECT * FROM l JOIN v USING (frame) WHERE x BETWEEN a AND a + 60 AND y BETWEEN b AND b + 60) QUALIFY row_number() OVER (PARTITION BY frame, line ORDER BY z, win) = 1""")
 def window_attribution(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 100).alias("x"), (F.col("l_suppkey") % 100).alias("y"))
-    own = table(spark, sf, "orders").where("o_orderkey < 2000").withColumn("d", F.explode(F.array(*map(F.lit, range(3)))))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 100).alias("x"), (F.col("l_suppkey") % 100).alias("y"))
+    own = table(spark, sf, "orders").withColumn("d", F.explode(F.array(*map(F.lit, range(3)))))
     left, top = F.col("o_custkey") % 40, F.col("o_custkey") % 30
     windows = own.select((F.col("o_orderkey") + F.col("d")).alias("frame"), F.col("o_custkey").alias("window"), (F.col("o_orderkey") % 5 + F.col("d")).alias("z"), left.alias("left"), top.alias("top"), (left + 60).alias("right"), (top + 60).alias("bottom"))
     return w.windows_of_lines(lines, windows)
