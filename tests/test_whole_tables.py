@@ -1,6 +1,7 @@
 """Queries take every row of their tables, whatever its key or length: small tables, worked out by brute force."""
 
 import itertools
+import random
 
 from tidelog import plans
 
@@ -33,3 +34,46 @@ def test_window_attribution_takes_every_frame(spark, tmp_path):
             want[frame, line] = min(want.get((frame, line), (99, 0)), (k % 5 + d, c))
     assert {(r["frame"], r["line"]): r["window"] for r in got} == {k: v[1] for k, v in want.items()}
     assert max(want)[0] > 2000
+
+
+def sentences(n):
+    """Texts of 1 to 60 words of which many restate another; some without a length."""
+    rng = random.Random(3)
+    words = [f"w{i}x" for i in range(70)] + ["the", "and"] * 4
+    rows = []
+    for i in range(n):
+        picked = rng.choices(words, k=rng.randint(1, 60))
+        if rows and i % 3:
+            old = rng.choice(rows)[1].split()
+            picked = rng.sample(old, -(-len(old) * 4 // 5)) + picked[: len(old) // 4]
+        text = " ".join(picked) if i != 5 else None
+        rows.append((i, text or "", "en" if i % 2 else "de", None if i % 7 == 0 else len(text or "")))
+    return rows, "doc_id long, text string, lang string, n_chars long"
+
+
+def restating(a, b):
+    return len(a & b) >= 2 and len(a & b) * 5 >= min(len(a), len(b)) * 3
+
+
+def test_restated_lines_takes_every_text(spark, tmp_path):
+    rows, schema = sentences(90)
+    got = run(spark, "restated_lines", tmp_path, documents=(rows, schema))
+    sets = {i: set(t.split()) for i, t, *_ in rows}
+    want = sorted((a, b) for a, b in itertools.combinations(sets, 2) if restating(sets[a], sets[b]))
+    assert sorted((r["a"], r["b"]) for r in got) == want
+    assert any(len(rows[a][1]) >= 250 for a, _ in want)
+
+
+def test_proposition_integration_takes_every_text(spark, tmp_path):
+    rows, schema = sentences(120)
+    got = run(spark, "proposition_integration", tmp_path, documents=(rows, schema))
+    sets, topic = {i: set(t.split()) for i, t, *_ in rows}, {i: lang for i, _, lang, _ in rows}
+    alike = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    want = {}
+    for i in sets:
+        if i % 3 == 0:
+            near = [j for j in sets if topic[j] == topic[i] and j != i]
+            gone = any(alike(sets[i], sets[j]) >= 0.6 or restating(sets[i], sets[j]) for j in near if j % 3 == 2)
+            best = max(((alike(sets[i], sets[j]), -j) for j in near if j % 3 == 1), default=(0, 0))
+            want[i] = ("skip", None) if gone else ("merge", -best[1]) if best[0] >= 0.7 else ("insert", None)
+    assert {r["id"]: (r["fate"], r["into"]) for r in got} == want

@@ -314,7 +314,7 @@ def recent_work(spark, sf):
 
 @query()
 def proposition_integration(spark, sf):
-    rows = table(spark, sf, "documents").where("n_chars < 250").select(F.col("doc_id").alias("id"), F.col("lang").alias("topic"), long_words(F.col("text")).alias("words"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("topic"), long_words(F.col("text")).alias("words"))
     return u.integrated(rows.where("id % 3 = 0"), rows.where("id % 3 = 1"), rows.where("id % 3 = 2")).select("id", "fate", "into")
 
 

@@ -169,11 +169,11 @@ def anchor_window(spark, sf):
 JOIN (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t: length(t) >= 3)) AS w FROM documents WHERE n_chars < 250) b
 ON a.doc_id < b.doc_id AND len(list_intersect(a.w, b.w)) >= 2 AND len(list_intersect(a.w, b.w)) * 5 >= least(len(a.w), len(b.w)) * 3""")
 def restated_lines(spark, sf):
-    """Pairs of short lines of which one restates the other, met over their shared words."""
-    rows = table(spark, sf, "documents").where("n_chars < 250").select("doc_id", long_words(F.col("text")).alias("w"))
-    words = rows.select("doc_id", "w", F.explode("w").alias("x"))
-    a, b = words.toDF("a", "wa", "x"), words.toDF("b", "wb", "x")
-    return a.join(b, "x").where((F.col("a") < F.col("b")) & restates(F.col("wa"), F.col("wb"))).select("a", "b").distinct()
+    """Pairs of texts of which one restates the other, met over the rarest words of the smaller."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), long_words(F.col("text")).alias("words")).where(F.size("words") >= 2)
+    pairs = s.meeting(rows, rows, 0.6).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    both = pairs.join(rows.toDF("a", "wa"), "a").join(rows.toDF("b", "wb"), "b")
+    return both.where(restates(F.col("wa"), F.col("wb"))).select("a", "b")
 
 
 @query(f"""WITH {_VEC}, h AS (SELECT id, score FROM vs ORDER BY score DESC, id LIMIT 20)
