@@ -150,9 +150,11 @@ def test_top_k_ties_and_large_integers(spark):
     assert [(r.id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(i, 9 * 10**18 + 4) for i in (0, 1, 2)]
 
 
-@pytest.mark.parametrize("window", [3, 13])
-def test_substring(spark, docs, monkeypatch, window):
-    monkeypatch.setattr(substring, "BATCH", 200)
+@pytest.mark.parametrize("window, batch, fan, least", [(3, 200, 1024, 16384), (13, 200, 3, 20), (3, 200, 3, 20), (2, 60, 2, 20)])
+def test_substring(spark, docs, monkeypatch, window, batch, fan, least):
+    """Small batches, groups and fans make packets go through several steps."""
+    for name, value in (("BATCH", batch), ("FAN", fan), ("LEAST", least), ("GROUP", least * 4)):
+        monkeypatch.setattr(substring, name, value)
     rows = [(i, (t or "").encode().split()) for i, t, *_ in corpus()]
     first = {}
     for i, w in rows:
@@ -178,12 +180,47 @@ def test_substring_leaves_clean_texts_alone(spark):
     assert dict(substring.deduplicated(rows, 3).collect()) == {1: " a  b\tc d\n", 2: "x y"}
 
 
-def test_prefix_groups_split_only_what_is_large():
+def test_substring_of_one_passage_in_every_text(spark, monkeypatch):
+    """A hot passage, very long texts, extra columns, and ids that several rows have."""
+    for name, value in (("BATCH", 300), ("FAN", 4), ("LEAST", 50), ("GROUP", 80)):
+        monkeypatch.setattr(substring, name, value)
+    rng, passage = np.random.default_rng(8), " ".join(f"p{i}" for i in range(20))
+    rows = [(int(i), " ".join([*(f"x{n}" for n in rng.integers(0, 10**6, 5)), passage, f"end{k}"]), "c") for k, i in enumerate(rng.integers(5, 60, 150))]
+    long = " ".join(f"long{i}" for i in range(5000))
+    rows += [(2, long, "c"), (70, "a " + long + " " + passage, "c"), (None, passage, "c"), (None, None, None), (71, None, "c"), (3, passage + " first", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row string").repartition(5)
+    got = {(r.doc_id, r.text[-9:] if r.text else r.text) for r in substring.deduplicated(df, 13).collect()}
+    want = [(i, (t if i is None or i in (2, 3) or t is None else " ".join(w for w in t.split() if not w.startswith("p"))), c) for i, t, c in rows]
+    want = [(i, t.replace(long, "").strip() if i == 70 else t, c) for i, t, c in want]
+    cut = substring.deduplicated(df, 13)
+    assert cut.columns == df.columns
+    assert sorted(((r[0], (r[1] or "").strip(), r[2]) for r in cut.collect()), key=str) == sorted(((i, t or "", c) for i, t, c in want), key=str)
+    assert got
+
+
+def test_substring_packets_grow_with_the_batches(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BATCH", 500)
+    monkeypatch.setattr(substring, "LEAST", 100)
+    words = np.random.default_rng(1).integers(0, 50, 80_000)
+    made = []
+    for n in (1, 4):
+        texts = [(i, " ".join(f"w{x}" for x in words[i * 100 : i * 100 + 100])) for i in range(200 * n)]
+        df = spark.createDataFrame(texts, "__id long, __text string").repartition(2)
+        batches = Scratch(spark, "t").table(substring.batched(df, 3, "__id", "__text"), "b")
+        counts, _ = substring.suffix_counts(batches)
+        first, parts = substring.prefix_groups(counts, 32)
+        made.append(substring.suffixes(batches, 3, first, parts, 1).count())
+        assert counts.sum() == 200 * n * 98
+    assert made[1] < 5 * made[0]
+
+
+def test_prefix_groups_split_only_what_is_large(monkeypatch):
+    monkeypatch.setattr(substring, "LEAST", 2000)
     counts = np.ones(np.prod(substring.LEVELS), np.int64)
-    counts[: substring.LEVELS[2]] = 1000
-    groups = substring.prefix_groups(counts, 2000)
-    totals = np.bincount(groups, weights=counts)
-    assert (totals <= 2000).all() and groups[0] == 0 and (np.diff(groups) >= 0).all()
+    counts[:3] = 10_000
+    first, parts = substring.prefix_groups(counts, 1000)
+    assert parts[:3].tolist() == [5, 5, 5] and (parts[3:] == 1).all() and (np.diff(first) >= 0).all()
+    assert first[1] == 5 and np.bincount(first[3:], weights=counts[3:]).max() <= 2000
 
 
 def test_token_files(spark, docs):

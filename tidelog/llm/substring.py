@@ -2,16 +2,24 @@
 
 A suffix begins at every word of every document.  Variable-length prefixes deal
 the suffixes into groups that fit in memory: a first pass counts suffixes by
-hash cells of their first 2 words, of their first 4 words and of the whole
-window; small cells are put together, and a cell too large for a group is
-split by the next longer prefix.  A group's suffixes are then sorted by
+hash cells of their first 2 and of their first 4 words; small cells are put
+together, and a cell too large for a group is split by the next longer prefix,
+last by the whole window.  A group's suffixes are then sorted by
 their path of `window` words.  Sorted paths are the leaves of the group's
 suffix tree in order; a run of equal paths is an internal node at depth
 `window` or below it, that is, a repeat, and the run's smallest document owns
 it.  The tree isn't needed below that depth: longer repeats are runs of windows.
 
+Suffixes travel in packets.  Documents are written in batches of bounded size; a
+batch sends at most FAN packets, one for each group, and gets at most one packet
+of answers from each.  Where there are more than FAN groups, a packet goes to a
+range of FAN, FAN ** 2 ... groups first; packets of one range are put together
+to a batch's size and dealt again, and answers to more than FAN batches go back
+by such steps too.  So the number of packets grows as the number of batches,
+not as batches times groups.
+
 Paths are compared by 64-bit hashes of their words, so that a suffix travels in
-about 8 bytes; two different windows among n agree with a chance of n / 2**64
+about 10 bytes; two different windows among n agree with a chance of n / 2**64
 each.  Within a batch of documents a path is sent once, by its smallest
 document, and the batch's other occurrences are answered where they are, so a
 passage that a third of all documents share sends one suffix a batch.
@@ -19,14 +27,16 @@ passage that a third of all documents share sends one suffix a batch.
 Every word covered by a window that also starts in a document with a smaller id
 is removed; windows are judged on the input.  Null and empty texts have no
 words.  Rows with a null id own nothing and lose nothing.  Rows with equal ids
-don't take from each other.  Extra columns are kept by `deduplicated`.
+don't take from each other.  A very long text is a batch of its own.  Extra
+columns, of whatever names, are kept by `deduplicated`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,56 +47,62 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import Scratch, ready
 from tidelog.llm.words import hashes_of, runs, words_of
 
-#: Words of a batch that is sorted in one worker, and suffixes of a group.
-BATCH, GROUP = 500_000, 1_500_000
-#: Cells of the first 2 words, of the first 4, and of the whole window.
-LEVELS = (64, 64, 16)
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes, the bytes of equal weight together, compressed."""
-    squeeze = zstandard.ZstdCompressor(level=1)
-    out = []
-    for a in arrays:
-        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
-        body = squeeze.compress(planes)
-        out.append(struct.pack("<2sqq", a.dtype.str[1:].encode(), len(a), len(body)) + body)
-    return b"".join(out)
-
-
-def _unpack(data) -> list[np.ndarray]:
-    at, out, data = 0, [], memoryview(data)
-    while at < len(data):
-        kind, n, size = struct.unpack_from("<2sqq", data, at)
-        at += struct.calcsize("<2sqq")
-        dtype = np.dtype("<" + kind.decode())
-        planes = zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=n * dtype.itemsize) if n else b""
-        at += size
-        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T).view(dtype).reshape(n))
+#: Words of a batch; suffixes of a group at most, and where few are spread over many groups; packets of a batch.
+BATCH, GROUP, LEAST, FAN = 1_000_000, 6_000_000, 16_384, 1024
+#: Cells of the first 2 words, and of the first 4 within them.
+LEVELS = (64, 64)
+#: What a packet holds of each suffix, and of each answer: the row in the high, the first word in the low half.
+SUFFIX = (("path", "<u8"), ("id", "<i8"), ("batch", "<u8"), ("row", "<u4"), ("place", "<u4"), ("group", "<u4"))
+ANSWER = (("batch", "<u8"), ("at", "<u8"))
+_RUNNING = ("path", "at")  # sent as differences, wrapping round
+
+
+def _pack(columns: tuple, arrays: list[np.ndarray]) -> bytes:
+    """Arrays of one length as bytes, the bytes of equal weight together, compressed."""
+    planes = []
+    for (name, kind), a in zip(columns, arrays):
+        a = np.diff(a, prepend=a.dtype.type(0)) if name in _RUNNING else a
+        planes.append(np.ascontiguousarray(a.astype(kind, copy=False).view(np.uint8).reshape(len(a), np.dtype(kind).itemsize).T).tobytes())
+    return struct.pack("<I", len(arrays[0])) + zstandard.compress(b"".join(planes), 1)
+
+
+def _unpack(columns: tuple, data) -> list[np.ndarray]:
+    data = memoryview(data)
+    (n,) = struct.unpack_from("<I", data)
+    planes, at, out = np.frombuffer(zstandard.decompress(data[4:]), np.uint8), 0, []
+    for name, kind in columns:
+        width = np.dtype(kind).itemsize
+        a = np.ascontiguousarray(planes[at : at + n * width].reshape(width, n).T).view(kind).reshape(n)
+        out.append(np.cumsum(a, dtype=a.dtype) if name in _RUNNING else a)
+        at += n * width
     return out
 
 
-def _cells(h: np.ndarray, path: np.ndarray) -> np.ndarray:
-    """The finest prefix cell of every window of one document's word hashes."""
-    n = len(path)
-    one, two = runs(h, 2)[:n] % np.uint64(LEVELS[0]), runs(h, 4)[:n] % np.uint64(LEVELS[1])
-    if len(two) < n:  # windows of fewer than 4 words have no longer prefix
-        one, two = path % np.uint64(LEVELS[0]), path // np.uint64(LEVELS[0]) % np.uint64(LEVELS[1])
-    three = (path >> np.uint64(40)) % np.uint64(LEVELS[2])
-    return ((one * np.uint64(LEVELS[1]) + two) * np.uint64(LEVELS[2]) + three).astype(np.int32)
+def _together(columns: tuple, bodies: list) -> list[np.ndarray]:
+    return [np.concatenate(a) for a in zip(*(_unpack(columns, b) for b in bodies))]
+
+
+def _cells(h: np.ndarray, n: int) -> np.ndarray:
+    """The prefix cells of the first n windows of one document's word hashes; windows of under 4 words have one prefix."""
+    one, two = runs(h, 2)[:n], runs(h, 4)[:n]
+    two = two if len(two) == n else np.zeros(n, np.uint64)
+    one = one if len(one) == n else np.zeros(n, np.uint64)
+    return (one % np.uint64(LEVELS[0]) * np.uint64(LEVELS[1]) + two % np.uint64(LEVELS[1])).astype(np.int32)
 
 
-def prefix_groups(counts: np.ndarray, budget: int = GROUP) -> np.ndarray:
-    """The group of each finest cell: neighbouring cells share one, a large cell is split by longer prefixes."""
+def prefix_groups(counts: np.ndarray, fan: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first group and the number of groups of each cell: neighbouring cells share one, a large cell has several."""
+    fan = fan or FAN
     tree = counts.reshape(LEVELS)
-    group, out, load = 0, np.zeros(LEVELS, np.int32), 0
+    budget = min(max(int(counts.sum()) // fan, LEAST), GROUP)
+    group, out, parts, load = 0, np.zeros(LEVELS, np.int64), np.ones(LEVELS, np.int64), 0
 
     def put(index, total: int) -> None:
         nonlocal group, load
         if load and load + total > budget:
             group, load = group + 1, 0
-        out[index] = group
-        load += total
+        out[index], parts[index] = group, max(1, -(-total // budget))
+        group, load = group + int(np.max(parts[index])) - 1, load + total
 
     for a in range(LEVELS[0]):
         total = int(tree[a].sum())
@@ -94,221 +110,279 @@ def prefix_groups(counts: np.ndarray, budget: int = GROUP) -> np.ndarray:
             put(a, total)
             continue
         for b in range(LEVELS[1]):
-            total = int(tree[a, b].sum())
-            if total <= budget:
-                put((a, b), total)
-                continue
-            for c in range(LEVELS[2]):
-                put((a, b, c), int(tree[a, b, c]))
-    return out.reshape(-1)
-
-
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
-    """Ids, marks of the texts and word hashes, of about BATCH words together."""
-    ids, marks, hashed, n = [], [], [], 0
-    for batch in batches:
-        for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if i is None:
-                continue
-            words = words_of(x.as_py())
-            ids.append(i)
-            hashed.append(hashes_of(words))
-            marks.append(mark_of(hashed[-1]))
-            n += len(words)
-            if n >= BATCH:
-                yield ids, marks, hashed
-                ids, marks, hashed, n = [], [], [], 0
-    if ids:
-        yield ids, marks, hashed
-
+            put((a, b), int(tree[a, b]))
+    return out.reshape(-1), parts.reshape(-1)
 
-def mark_of(h: np.ndarray) -> int:
-    """Tells rows with equal ids and different words apart."""
-    return int(np.bitwise_xor.reduce(h * np.arange(1, 2 * len(h), 2, dtype=np.uint64)) & np.uint64(0x7FFFFFFF)) if len(h) else 0
 
+def _steps(n: int) -> list[int]:
+    """Widths of the key ranges that packets for n keys go through, down to 1."""
+    width, out = 1, [1]
+    while width * FAN < n:
+        width *= FAN
+        out.insert(0, width)
+    return out
 
-def _answers(doc_ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Repeated windows (doc: index, place: word) as ids, marks and packed places for each document."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order].astype("<u4")
-    heads = np.nonzero(np.append(True, doc[1:] != doc[:-1]))[0] if len(doc) else np.empty(0, np.int64)
-    cuts = np.append(heads, len(doc))
-    return doc_ids[doc[heads]], marks[doc[heads]], [_spans(place[i:j]) for i, j in zip(cuts, cuts[1:])]
 
+def batched(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """docs with __batch, __row (a row's place among its partition's rows) and, on some rows, __cells: packed counts of cells."""
+    names = docs.schema.fieldNames()
+    i, t = names.index(id_col), names.index(text_col)
+    schema = docs.withColumns({"__batch": F.lit(0).cast("long"), "__row": F.lit(0), "__cells": F.lit(None).cast("binary")}).schema
 
-def _spans(places: np.ndarray) -> bytes:
-    """Sorted places as little-endian (first, last) pairs of their runs."""
-    cut = np.nonzero(np.diff(places) > 1)[0]
-    return np.stack([places[np.append(0, cut + 1)], places[np.append(cut, len(places) - 1)]], axis=1).astype("<u4").tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        base, number, row, load = TaskContext.get().partitionId() << 24, 0, 0, 0
 
-def suffix_counts(docs: DataFrame, window: int) -> np.ndarray:
-    """How many windows each finest prefix cell has."""
+        def part(batch, start: int, end: int, total: np.ndarray) -> pa.RecordBatch:
+            cell = np.nonzero(total)[0]
+            counts = [None] * (end - start - 1) + [_pack((("cell", "<u2"), ("n", "<u8")), [cell, total[cell]])]
+            own = [*batch.slice(start, end - start).columns, pa.array(np.full(end - start, base + number)), pa.array(np.arange(row + start, row + end, dtype=np.int32)), pa.array(counts, pa.binary())]
+            return pa.RecordBatch.from_arrays(own, schema.fieldNames())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LEVELS[0] * LEVELS[1] * LEVELS[2], np.int64)
-        for _, _, hashed in _batches(batches):
-            for h in hashed:
-                path = runs(h, window)
-                if len(path):
-                    np.add.at(total, _cells(h, path), 1)
-        cell = np.nonzero(total)[0].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
-
-    rows = docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros(LEVELS[0] * LEVELS[1] * LEVELS[2], np.int64)
+        for batch in batches:
+            start, total = 0, np.zeros(LEVELS[0] * LEVELS[1], np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(i), batch.column(t)), 1):
+                if x.is_valid and y.is_valid:
+                    h = hashes_of(words_of(y.as_py()))
+                    load += len(h)
+                    if len(h) >= window:
+                        total += np.bincount(_cells(h, len(h) - window + 1), minlength=len(total))
+                if load >= BATCH:
+                    yield part(batch, start, k, total)
+                    start, number, load, total = k, number + 1, 0, np.zeros_like(total)
+            if start < len(batch):
+                yield part(batch, start, len(batch), total)
+            row += len(batch)
+
+    return docs.mapInArrow(run, schema)
+
+
+def suffix_counts(batches: DataFrame) -> tuple[np.ndarray, int]:
+    """How many windows each cell has, and the number of batches at most."""
+    n_cells = LEVELS[0] * LEVELS[1]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(n_cells, np.int64), 0
+        for part in parts:
+            for x in part.column(0):
+                cell, count = _unpack((("cell", "<u2"), ("n", "<u8")), x.as_buffer())
+                total[cell] += count.astype(np.int64)
+                n += 1
+        cell = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(cell, n_cells).astype(np.int32)), pa.array(np.append(total[cell], n))], ["cell", "n"])
+
+    rows = batches.select("__cells").where("__cells is not null").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros(n_cells + 1, np.int64)
     for cell, n in rows.collect():  # a row for each cell
         out[cell] = n
-    return out
+    return out[:-1], int(out[-1])
 
 
-def suffixes(docs: DataFrame, window: int, groups: np.ndarray) -> DataFrame:
-    """(g, id, mark, body): packed suffixes of a batch for group g (id null), or an answered document's places."""
+def _packets(key: np.ndarray, columns: tuple, arrays: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """(key, body) for each of the keys, which are in order."""
+    cuts = np.append(np.nonzero(np.append(True, key[1:] != key[:-1]))[0], len(key)) if len(key) else [0]
+    for i, j in zip(cuts, cuts[1:]):
+        yield int(key[i]), _pack(columns, [a[i:j] for a in arrays])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, marks, hashed in _batches(batches):
-            doc_ids, marks = np.array(ids, np.int64), np.array(marks, np.int32)
-            order = np.argsort(doc_ids, kind="stable")  # places by ascending id, so the smallest owner comes first
-            doc_ids, marks, hashed = doc_ids[order], marks[order], [hashed[i] for i in order]
-            paths = [runs(h, window) for h in hashed]
-            sizes = np.array([len(p) for p in paths])
-            path = np.concatenate(paths)
-            if not len(path):
-                continue
-            group = np.concatenate([groups[_cells(h, p)] for h, p in zip(hashed, paths) if len(p)])
-            del paths, hashed
-            starts = np.cumsum(sizes) - sizes
-            order = np.argsort(path, kind="stable")
-            path, doc = path[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
-            place = order - starts[doc]
-            head = np.append(True, path[1:] != path[:-1])
-            owner = doc[np.maximum.accumulate(np.where(head, np.arange(len(path)), 0))]
-            known = doc_ids[doc] > doc_ids[owner]
-            got_ids, got_marks, bodies = _answers(doc_ids, marks, doc[known], place[known])
-            gs = [hash((int(i), 1)) % (int(groups.max()) + 1) for i in got_ids]
-            send = ~known  # equal ids with equal windows all go, each needs its own answer
-            path, doc, place, group = path[send], doc[send], place[send], group[order][send]
-            by = np.argsort(group, kind="stable")
-            cuts = np.searchsorted(group[by], np.arange(int(groups.max()) + 2))
-            packets, where = [], []
-            for g, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                if i < j:
-                    own = by[i:j]
-                    first = path[own]
-                    used, index = np.unique(doc[own], return_inverse=True)
-                    body = _pack(np.diff(first, prepend=np.uint64(0)), index.astype("<u4"), place[own].astype("<u4"), np.diff(doc_ids[used], prepend=0), marks[used])
-                    packets.append(body)
-                    where.append(g)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(gs + where, pa.int32()),
-                    pa.array([*got_ids.tolist(), *[None] * len(where)], pa.int64()),
-                    pa.array([*got_marks.tolist(), *[0] * len(where)], pa.int32()),
-                    pa.array(bodies + packets, pa.binary()),
-                ],
-                ["g", "id", "mark", "body"],
-            )
-
-    return docs.mapInArrow(run, "g int, id long, mark int, body binary")
-
-
-def _subtree(table: pa.Table) -> pa.Table:
-    """One group: sort its suffixes, and answer those in runs that a smaller document owns."""
-    path, doc, place, ids, marks, at = [], [], [], [], [], 0
-    answered = [(i, m, b) for i, m, b in zip(table.column("id").to_pylist(), table.column("mark").to_pylist(), table.column("body")) if i is not None]
-    for i, body in zip(table.column("id"), table.column("body")):
-        if i.is_valid:
-            continue
-        deltas, d, p, id_deltas, m = _unpack(body.as_buffer())
-        path.append(np.cumsum(deltas, dtype=np.uint64))
-        doc.append(d.astype(np.int32) + np.int32(at))
-        place.append(p)
-        ids.append(np.cumsum(id_deltas))
-        marks.append(m)
-        at += len(m)
-    out = [[i for i, _, _ in answered], [m for _, m, _ in answered], [b.as_py() for _, _, b in answered]]
-    if path:
-        path = np.concatenate(path)
-        order = np.argsort(path)
-        path = path[order]
-        head = np.append(True, path[1:] != path[:-1])
-        several = ~(head & np.append(head[1:], True))
-        order, head = order[several], head[several]
-        del path, several
-        doc, place, ids, marks = np.concatenate(doc)[order], np.concatenate(place)[order], np.concatenate(ids), np.concatenate(marks)
-        owned = ids[doc]
-        if len(owned):
-            heads = np.nonzero(head)[0]
-            least = np.repeat(np.minimum.reduceat(owned, heads), np.diff(np.append(heads, len(owned))))
-            lost = owned > least
-            got = _answers(ids, marks, doc[lost], place[lost])
-            out = [out[0] + got[0].tolist(), out[1] + got[1].tolist(), out[2] + got[2]]
-    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["id", "mark", "body"])
-
-
-def repeats(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", budget: int = GROUP) -> DataFrame:
-    """(id, mark, bodies): the windows of each document that start in a smaller one too, as runs of first words."""
-    ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    groups = prefix_groups(suffix_counts(rows, window), budget)
-    found = suffixes(rows, window, groups).groupBy("g").applyInArrow(_subtree, "id long, mark int, body binary")
-    return found.groupBy("id", "mark").agg(F.collect_list("body").alias("bodies"))
 
+def _out(keys: list[int], answered: list[bool], bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(answered, pa.bool_()), pa.array(bodies, pa.binary())], ["key", "answered", "body"])
 
-def covered(bodies: list[bytes], window: int, n_words: int) -> np.ndarray:
-    """Which of a document's words its repeated windows cover."""
-    edge = np.zeros(n_words + 1, np.int64)
-    for body in bodies:
-        spans = np.frombuffer(body, "<u4").reshape(-1, 2).astype(np.int64)
-        np.add.at(edge, spans[:, 0], 1)
-        np.add.at(edge, spans[:, 1] + window, -1)
-    return np.cumsum(edge)[:n_words] > 0
 
+PACKET = "key long, answered boolean, body binary"
+
+
+def suffixes(batches: DataFrame, window: int, first: np.ndarray, parts: np.ndarray, width: int) -> DataFrame:
+    """Packets of suffixes for each range of `width` groups, and one of answers found within a batch."""
+    groups = int(first[-1] + parts[-1])
+
+    def packets(batch: int, ids: list, rows: list, hashed: list) -> pa.RecordBatch | None:
+        ids, rows = np.array(ids, np.int64), np.array(rows, np.uint32)
+        order = np.argsort(ids, kind="stable")  # places by ascending id, so the smallest owner comes first
+        ids, rows, hashed = ids[order], rows[order], [hashed[i] for i in order]
+        paths = [runs(h, window) for h in hashed]
+        sizes = np.array([len(p) for p in paths])
+        path = np.concatenate(paths)
+        if not len(path):
+            return None
+        cell = np.concatenate([_cells(h, len(p)) for h, p in zip(hashed, paths)])
+        del paths, hashed
+        order = np.argsort(path, kind="stable")
+        path, doc, cell = path[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order], cell[order]
+        place = (order - (np.cumsum(sizes) - sizes)[doc]).astype(np.uint32)
+        head = np.append(True, path[1:] != path[:-1])
+        known = ids[doc] > ids[doc[np.maximum.accumulate(np.where(head, np.arange(len(path)), 0))]]
+        answers = np.sort(rows[doc[known]].astype(np.uint64) << np.uint64(32) | place[known])
+        send = ~known  # equal ids with equal windows all go, each needs its own answer
+        path, doc, place, cell = path[send], doc[send], place[send], cell[send]
+        group = first[cell] + ((path >> np.uint64(20)) % parts[cell].astype(np.uint64)).astype(np.int64)
+        by = np.argsort(group, kind="stable")
+        group, doc = group[by], doc[by]
+        every = lambda n: np.full(n, batch, np.uint64)
+        made = list(_packets(group // width, SUFFIX, [path[by], ids[doc], every(len(by)), rows[doc], place[by], group.astype(np.uint32)]))
+        keys, bodies = [k for k, _ in made], [b for _, b in made]
+        if len(answers):
+            keys.append(batch % groups // width)
+            bodies.append(_pack(ANSWER, [every(len(answers)), answers]))
+        return _out(keys, [False] * len(made) + [True] * (len(keys) - len(made)), bodies)
+
+    def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, rows, hashed = None, [], [], []
+        for part in record_batches:
+            for batch, row, i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3)):
+                if batch != last:
+                    if ids and (out := packets(last, ids, rows, hashed)):
+                        yield out
+                    last, ids, rows, hashed = batch, [], [], []
+                if i is not None and x.is_valid:
+                    ids.append(i)
+                    rows.append(row)
+                    hashed.append(hashes_of(words_of(x.as_py())))
+        if ids and (out := packets(last, ids, rows, hashed)):
+            yield out
+
+    return batches.select("__batch", "__row", "__id", "__text").mapInArrow(run, PACKET)
+
+
+def dealt(packets: DataFrame, columns: tuple, tasks: int, key_of: Callable[[list[np.ndarray]], np.ndarray], pass_on: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Packets of one key put together to a batch's size, and dealt again by key_of, a key in so many tasks; answers among suffixes pass on by their batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, bodies, load = None, [], 0
 
-def joined(docs: DataFrame, window: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """docs with __bodies, null for documents that lose nothing."""
+        def again() -> pa.RecordBatch:
+            arrays = _together(columns, bodies)
+            to = key_of(arrays)
+            order = np.lexsort((arrays[0 if columns is SUFFIX else 1], to))
+            made = list(_packets(to[order], columns, [a[order] for a in arrays]))
+            return _out([k for k, _ in made], [columns is ANSWER] * len(made), [b for _, b in made])
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [mark_of(hashes_of(words_of(x.as_py()))) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int32())], [*names, "__mark"])
+            for k, answered, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if answered and pass_on:
+                    body = x.as_py()
+                    yield _out([int(pass_on(_unpack(ANSWER, body)[0][:1])[0])], [True], [body])
+                    continue
+                if bodies and (k != key or load >= BATCH):
+                    yield again()
+                    bodies, load = [], 0
+                key, load = k, load + struct.unpack_from("<I", x.as_buffer())[0]
+                bodies.append(x.as_buffer())
+        if bodies:
+            yield again()
+
+    spread = packets.withColumn("salt", F.pmod(F.xxhash64("body"), F.lit(tasks)))
+    return spread.repartition("key", "salt").sortWithinPartitions("key").select("key", "answered", "body").mapInArrow(run, PACKET)
+
+
+def _subtree(key_of: Callable[[np.ndarray], np.ndarray]):
+    """One group: sort its suffixes, and answer those in runs that a smaller document owns."""
 
-    found = scratch.table(repeats(docs, window, id_col, text_col), "repeats").withColumnsRenamed({"id": "__id", "mark": "__mark", "bodies": "__bodies"})
+    def run(table: pa.Table) -> pa.Table:
+        answered = table.column("answered").to_pylist()
+        bodies = table.column("body")
+        keys, out = [], []
+        for x, done in zip(bodies, answered):
+            if done:
+                out.append(x.as_py())
+                keys.append(int(key_of(_unpack(ANSWER, out[-1])[0][:1])[0]))
+        packets = [x.as_buffer() for x, done in zip(bodies, answered) if not done]
+        if packets:
+            path = np.concatenate([_unpack(SUFFIX, b)[0] for b in packets])
+            order = np.argsort(path)
+            path = path[order]
+            head = np.append(True, path[1:] != path[:-1])
+            several = ~(head & np.append(head[1:], True))
+            order, head = order[several], head[several]
+            del path, several
+            if len(order):
+                _, ids, batch, row, place, _ = (a[order] for a in _together(SUFFIX, packets))
+                heads = np.nonzero(head)[0]
+                least = np.repeat(np.minimum.reduceat(ids, heads), np.diff(np.append(heads, len(ids))))
+                lost = ids > least
+                batch, at = batch[lost], row[lost].astype(np.uint64) << np.uint64(32) | place[lost]
+                to = key_of(batch)
+                order = np.lexsort((at, batch, to))
+                for k, body in _packets(to[order], ANSWER, [batch[order], at[order]]):
+                    keys.append(k)
+                    out.append(body)
+        return pa.Table.from_batches([_out(keys, [True] * len(out), out)])
+
+    return run
+
+
+def answers(batches: DataFrame, window: int) -> DataFrame:
+    """(key, body): for each batch the windows of its rows that start in a smaller document too."""
+    counts, n_batches = suffix_counts(batches)
+    first, parts = prefix_groups(counts)
+    steps = _steps(int(first[-1] + parts[-1]))
+    packets = suffixes(batches, window, first, parts, steps[0])
+    groups, total = int(first[-1] + parts[-1]), int(counts.sum())
+    tasks = lambda keys: max(1, total // (min(keys, groups) * BATCH * 16))
+    for n, width in enumerate(steps[1:], 1):
+        packets = dealt(packets, SUFFIX, tasks(FAN**n), lambda a, w=width: a[5].astype(np.int64) // w, lambda b, w=width: (b % np.uint64(groups)).astype(np.int64) // w)
+    # Ranges of batches are by remainder: batch numbers have gaps.
+    back = [lambda b, m=FAN**s: (b % np.uint64(m)).astype(np.int64) for s in range(1, len(_steps(n_batches)))] + [lambda b: b.astype(np.int64)]
+    found = packets.groupBy("key").applyInArrow(_subtree(back[0]), PACKET)
+    for n, key_of in enumerate(back[1:], 1):
+        found = dealt(found, ANSWER, tasks(FAN**n), lambda a, key_of=key_of: key_of(a[0]))
+    return found.select("key", "body")
+
+
+def resolved(docs: DataFrame, window: int, id_col: str, text_col: str, scratch: Scratch, apply: Callable[[pa.Table, Callable], pa.Table], schema) -> DataFrame:
+    """apply(rows, lost) on each batch of docs; lost(i, n) tells which of the n words of row i are covered."""
+    ready(docs.sparkSession)
     names = docs.schema.fieldNames()
-    at = names.index(text_col)
-    schema = docs.withColumn("__mark", F.lit(None).cast("int")).schema
-    rows = docs.mapInArrow(marked, schema).withColumn("__id", F.col(id_col).cast("long"))
-    return rows.join(found, ["__id", "__mark"], "left").drop("__id", "__mark")
+    plain = [f"c{i}" for i in range(len(names))]  # whatever the columns are called, they clash with none here
+    named = docs.toDF(*plain).withColumns({"__id": F.col(plain[names.index(id_col)]).cast("long"), "__text": F.col(plain[names.index(text_col)]).cast("string")})
+    batches = scratch.table(batched(named, window, "__id", "__text"), "batches")
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        at = np.concatenate([_unpack(ANSWER, x.as_buffer())[1] for x in found.column("body")]) if len(found) else np.empty(0, np.uint64)
+        at = np.sort(at)
+        own = rows.column("__row").to_numpy().astype(np.uint64) << np.uint64(32)
+        starts, ends = np.searchsorted(at, own), np.searchsorted(at, own + (np.uint64(1) << np.uint64(32)))
+        lost = lambda i, n: covered(at[starts[i] : ends[i]] & np.uint64(0xFFFFFFFF), window, n) if starts[i] < ends[i] else None
+        return apply(rows.select(plain).rename_columns(names), lost)
+
+    rows = batches.drop("__cells", "__id", "__text")
+    return rows.groupBy("__batch").cogroup(answers(batches, window).groupBy("key")).applyInArrow(run, schema)
+
+
+def covered(places: np.ndarray, window: int, n_words: int) -> np.ndarray:
+    """Which of a document's words the windows at these places cover."""
+    edge = np.zeros(n_words + 1, np.int64)
+    places = places.astype(np.int64)
+    np.add.at(edge, places, 1)
+    np.add.at(edge, places + window, -1)
+    return np.cumsum(edge)[:n_words] > 0
 
 
 def digests(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 (of the kept words joined by single spaces) for each row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, gone, shas = [], [], []
-            for x, bodies in zip(batch.column(1), batch.column(2)):
-                words = words_of(x.as_py())
-                total.append(len(words))
-                lost = covered(bodies.as_py(), window, len(words)) if bodies.is_valid else np.zeros(len(words), bool)
-                gone.append(int(lost.sum()))
-                kept = words if not gone[-1] else [w for w, cut in zip(words, lost.tolist()) if not cut]
-                shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], [id_col, "n_words", "n_removed", "kept_sha256"])
+    def apply(rows: pa.Table, lost: Callable) -> pa.Table:
+        total, gone, shas = [], [], []
+        for i, x in enumerate(rows.column(1)):
+            words = words_of(x.as_py())
+            cut = lost(i, len(words))
+            kept = words if cut is None else [w for w, c in zip(words, cut.tolist()) if not c]
+            total.append(len(words))
+            gone.append(len(words) - len(kept))
+            shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+        return pa.table([rows.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], [id_col, "n_words", "n_removed", "kept_sha256"])
 
     scratch = scratch or Scratch(docs.sparkSession, "substring")
-    rows = joined(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), window, id_col, text_col, scratch)
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, text_col, "__bodies").mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    return resolved(rows, window, id_col, text_col, scratch, apply, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
-def cut(text: str, bodies: list[bytes], window: int) -> str:
-    """text without the covered words and the blanks after them; the rest as it was."""
-    import re
-
+def cut(text: str, lost: np.ndarray) -> str:
+    """text without the lost words and the blanks after them; the rest as it was."""
     data = text.encode("utf-8", "surrogatepass")
     spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
-    lost = covered(bodies, window, len(spans))
     out, at = [], 0
     for i, (begin, _) in enumerate(spans):
         end = spans[i + 1][0] if i + 1 < len(spans) else len(data)
@@ -321,15 +395,15 @@ def cut(text: str, bodies: list[bytes], window: int) -> str:
 
 def deduplicated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """docs with the covered words cut out of the text column; rows without repeats are unchanged."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [cut(x.as_py(), b.as_py(), window) if b.is_valid and x.is_valid else x.as_py() for x, b in zip(batch.column(at), batch.column(len(names)))]
-            columns = batch.columns[: len(names)]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    scratch = scratch or Scratch(docs.sparkSession, "substring")
     names = docs.schema.fieldNames()
     at = names.index(text_col)
-    return joined(docs, window, id_col, text_col, scratch).mapInArrow(run, docs.schema)
+
+    def apply(rows: pa.Table, lost: Callable) -> pa.Table:
+        texts = []
+        for i, x in enumerate(rows.column(at)):
+            text = x.as_py()
+            gone = lost(i, len(words_of(text))) if text else None
+            texts.append(text if gone is None else cut(text, gone))
+        return rows.set_column(at, names[at], pa.array(texts, rows.schema.field(at).type))
+
+    return resolved(docs, window, id_col, text_col, scratch or Scratch(docs.sparkSession, "substring"), apply, docs.schema)
