@@ -52,7 +52,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def delete(self, df: DataFrame) -> None:

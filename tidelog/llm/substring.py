@@ -36,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,10 +52,10 @@ from tidelog.llm.words import hashes_of, runs, words_of
 BATCH, GROUP, LEAST, FAN = 1_000_000, 6_000_000, 16_384, 1024
 #: Cells of the first 2 words, and of the first 4 within them.
 LEVELS = (64, 64)
-#: What a packet holds of each suffix, and of each answer: the row in the high, the first word in the low half.
-SUFFIX = (("path", "<u8"), ("id", "<i8"), ("batch", "<u8"), ("row", "<u4"), ("place", "<u4"), ("group", "<u4"))
-ANSWER = (("batch", "<u8"), ("at", "<u8"))
-_RUNNING = ("path", "at")  # sent as differences, wrapping round
+#: What a packet holds of each suffix, and of each answer.  A twin counts the rows of a batch with one id.
+SUFFIX = (("path", "<u8"), ("id", "<i8"), ("batch", "<u8"), ("twin", "<u4"), ("place", "<u4"), ("group", "<u4"))
+ANSWER = (("batch", "<u8"), ("doc", "<i8"), ("twin", "<u4"), ("first", "<u4"))
+_RUNNING = ("path", "doc", "first")  # sent as differences, wrapping round
 
 
 def _pack(columns: tuple, arrays: list[np.ndarray]) -> bytes:
@@ -124,25 +125,28 @@ def _steps(n: int) -> list[int]:
 
 
 def batched(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """docs with __batch, __row (a row's place among its partition's rows) and, on some rows, __cells: packed counts of cells."""
+    """docs with __batch, __twin (how many rows of the batch before have its id) and, on some rows, __cells: packed counts of cells."""
     names = docs.schema.fieldNames()
     i, t = names.index(id_col), names.index(text_col)
-    schema = docs.withColumns({"__batch": F.lit(0).cast("long"), "__row": F.lit(0), "__cells": F.lit(None).cast("binary")}).schema
+    schema = docs.withColumns({"__batch": F.lit(0).cast("long"), "__twin": F.lit(0), "__cells": F.lit(None).cast("binary")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, number, row, load = TaskContext.get().partitionId() << 24, 0, 0, 0
+        base, number, load, seen = TaskContext.get().partitionId() << 24, 0, 0, Counter()
 
         def part(batch, start: int, end: int, total: np.ndarray) -> pa.RecordBatch:
             cell = np.nonzero(total)[0]
             counts = [None] * (end - start - 1) + [_pack((("cell", "<u2"), ("n", "<u8")), [cell, total[cell]])]
-            own = [*batch.slice(start, end - start).columns, pa.array(np.full(end - start, base + number)), pa.array(np.arange(row + start, row + end, dtype=np.int32)), pa.array(counts, pa.binary())]
+            own = [*batch.slice(start, end - start).columns, pa.array(np.full(end - start, base + number)), pa.array(twins[start:end], pa.int32()), pa.array(counts, pa.binary())]
             return pa.RecordBatch.from_arrays(own, schema.fieldNames())
 
         for batch in batches:
-            start, total = 0, np.zeros(LEVELS[0] * LEVELS[1], np.int64)
+            start, total, twins = 0, np.zeros(LEVELS[0] * LEVELS[1], np.int64), []
             for k, (x, y) in enumerate(zip(batch.column(i), batch.column(t)), 1):
+                own = x.as_py()
+                twins.append(seen[own])
+                seen[own] += 1
                 if x.is_valid and y.is_valid:
                     h = hashes_of(words_of(y.as_py()))
                     load += len(h)
@@ -151,9 +155,9 @@ def batched(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFra
                 if load >= BATCH:
                     yield part(batch, start, k, total)
                     start, number, load, total = k, number + 1, 0, np.zeros_like(total)
+                    seen.clear()
             if start < len(batch):
                 yield part(batch, start, len(batch), total)
-            row += len(batch)
 
     return docs.mapInArrow(run, schema)
 
@@ -197,10 +201,10 @@ def suffixes(batches: DataFrame, window: int, first: np.ndarray, parts: np.ndarr
     """Packets of suffixes for each range of `width` groups, and one of answers found within a batch."""
     groups = int(first[-1] + parts[-1])
 
-    def packets(batch: int, ids: list, rows: list, hashed: list) -> pa.RecordBatch | None:
-        ids, rows = np.array(ids, np.int64), np.array(rows, np.uint32)
+    def packets(batch: int, ids: list, twins: list, hashed: list) -> pa.RecordBatch | None:
+        ids, twins = np.array(ids, np.int64), np.array(twins, np.uint32)
         order = np.argsort(ids, kind="stable")  # places by ascending id, so the smallest owner comes first
-        ids, rows, hashed = ids[order], rows[order], [hashed[i] for i in order]
+        ids, twins, hashed = ids[order], twins[order], [hashed[i] for i in order]
         paths = [runs(h, window) for h in hashed]
         sizes = np.array([len(p) for p in paths])
         path = np.concatenate(paths)
@@ -213,36 +217,37 @@ def suffixes(batches: DataFrame, window: int, first: np.ndarray, parts: np.ndarr
         place = (order - (np.cumsum(sizes) - sizes)[doc]).astype(np.uint32)
         head = np.append(True, path[1:] != path[:-1])
         known = ids[doc] > ids[doc[np.maximum.accumulate(np.where(head, np.arange(len(path)), 0))]]
-        answers = np.sort(rows[doc[known]].astype(np.uint64) << np.uint64(32) | place[known])
+        lost = np.nonzero(known)[0]
+        lost = lost[np.lexsort((place[lost], doc[lost]))]
+        answers = [np.full(len(lost), batch, np.uint64), ids[doc[lost]], twins[doc[lost]], place[lost]]
         send = ~known  # equal ids with equal windows all go, each needs its own answer
         path, doc, place, cell = path[send], doc[send], place[send], cell[send]
         group = first[cell] + ((path >> np.uint64(20)) % parts[cell].astype(np.uint64)).astype(np.int64)
         by = np.argsort(group, kind="stable")
         group, doc = group[by], doc[by]
-        every = lambda n: np.full(n, batch, np.uint64)
-        made = list(_packets(group // width, SUFFIX, [path[by], ids[doc], every(len(by)), rows[doc], place[by], group.astype(np.uint32)]))
+        made = list(_packets(group // width, SUFFIX, [path[by], ids[doc], np.full(len(by), batch, np.uint64), twins[doc], place[by], group.astype(np.uint32)]))
         keys, bodies = [k for k, _ in made], [b for _, b in made]
-        if len(answers):
+        if len(lost):
             keys.append(batch % groups // width)
-            bodies.append(_pack(ANSWER, [every(len(answers)), answers]))
+            bodies.append(_pack(ANSWER, answers))
         return _out(keys, [False] * len(made) + [True] * (len(keys) - len(made)), bodies)
 
     def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, rows, hashed = None, [], [], []
+        last, ids, twins, hashed = None, [], [], []
         for part in record_batches:
-            for batch, row, i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3)):
+            for batch, twin, i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3)):
                 if batch != last:
-                    if ids and (out := packets(last, ids, rows, hashed)):
+                    if ids and (out := packets(last, ids, twins, hashed)):
                         yield out
-                    last, ids, rows, hashed = batch, [], [], []
+                    last, ids, twins, hashed = batch, [], [], []
                 if i is not None and x.is_valid:
                     ids.append(i)
-                    rows.append(row)
+                    twins.append(twin)
                     hashed.append(hashes_of(words_of(x.as_py())))
-        if ids and (out := packets(last, ids, rows, hashed)):
+        if ids and (out := packets(last, ids, twins, hashed)):
             yield out
 
-    return batches.select("__batch", "__row", "__id", "__text").mapInArrow(run, PACKET)
+    return batches.select("__batch", "__twin", "__id", "__text").mapInArrow(run, PACKET)
 
 
 def dealt(packets: DataFrame, columns: tuple, tasks: int, key_of: Callable[[list[np.ndarray]], np.ndarray], pass_on: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
@@ -254,7 +259,7 @@ def dealt(packets: DataFrame, columns: tuple, tasks: int, key_of: Callable[[list
         def again() -> pa.RecordBatch:
             arrays = _together(columns, bodies)
             to = key_of(arrays)
-            order = np.lexsort((arrays[0 if columns is SUFFIX else 1], to))
+            order = np.lexsort((arrays[0], to) if columns is SUFFIX else (*arrays[:0:-1], arrays[0], to))
             made = list(_packets(to[order], columns, [a[order] for a in arrays]))
             return _out([k for k, _ in made], [columns is ANSWER] * len(made), [b for _, b in made])
 
@@ -297,14 +302,14 @@ def _subtree(key_of: Callable[[np.ndarray], np.ndarray]):
             order, head = order[several], head[several]
             del path, several
             if len(order):
-                _, ids, batch, row, place, _ = (a[order] for a in _together(SUFFIX, packets))
+                _, ids, batch, twin, place, _ = (a[order] for a in _together(SUFFIX, packets))
                 heads = np.nonzero(head)[0]
                 least = np.repeat(np.minimum.reduceat(ids, heads), np.diff(np.append(heads, len(ids))))
                 lost = ids > least
-                batch, at = batch[lost], row[lost].astype(np.uint64) << np.uint64(32) | place[lost]
-                to = key_of(batch)
-                order = np.lexsort((at, batch, to))
-                for k, body in _packets(to[order], ANSWER, [batch[order], at[order]]):
+                found = [a[lost] for a in (batch, ids, twin, place)]
+                to = key_of(found[0])
+                order = np.lexsort((*found[::-1], to))
+                for k, body in _packets(to[order], ANSWER, [a[order] for a in found]):
                     keys.append(k)
                     out.append(body)
         return pa.Table.from_batches([_out(keys, [True] * len(out), out)])
@@ -339,15 +344,19 @@ def resolved(docs: DataFrame, window: int, id_col: str, text_col: str, scratch:
     batches = scratch.table(batched(named, window, "__id", "__text"), "batches")
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        at = np.concatenate([_unpack(ANSWER, x.as_buffer())[1] for x in found.column("body")]) if len(found) else np.empty(0, np.uint64)
-        at = np.sort(at)
-        own = rows.column("__row").to_numpy().astype(np.uint64) << np.uint64(32)
-        starts, ends = np.searchsorted(at, own), np.searchsorted(at, own + (np.uint64(1) << np.uint64(32)))
-        lost = lambda i, n: covered(at[starts[i] : ends[i]] & np.uint64(0xFFFFFFFF), window, n) if starts[i] < ends[i] else None
+        places = {}
+        if len(found):
+            _, doc, twin, first = _together(ANSWER, [x.as_buffer() for x in found.column("body")])
+            order = np.lexsort((twin, doc))
+            doc, twin, first = doc[order], twin[order], first[order]
+            heads = np.nonzero(np.append(True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1])))[0]
+            places = dict(zip(zip(doc[heads].tolist(), twin[heads].tolist()), np.split(first, heads[1:])))
+        own = list(zip(rows.column("__id").to_pylist(), rows.column("__twin").to_pylist()))
+        lost = lambda i, n: covered(places[own[i]], window, n) if own[i] in places else None
         return apply(rows.select(plain).rename_columns(names), lost)
 
-    rows = batches.drop("__cells", "__id", "__text")
-    return rows.groupBy("__batch").cogroup(answers(batches, window).groupBy("key")).applyInArrow(run, schema)
+    found = scratch.table(answers(batches, window), "answers")
+    return batches.drop("__cells", "__text").groupBy("__batch").cogroup(found.groupBy("key")).applyInArrow(run, schema)
 
 
 def covered(places: np.ndarray, window: int, n_words: int) -> np.ndarray:
