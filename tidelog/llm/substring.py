@@ -49,7 +49,7 @@ from tidelog.llm.common import Scratch, ready
 from tidelog.llm.words import hashes_of, runs, words_of
 
 #: Words of a batch; suffixes of a group at most, and where few are spread over many groups; packets of a batch.
-BATCH, GROUP, LEAST, FAN = 1_000_000, 6_000_000, 16_384, 1024
+BATCH, GROUP, LEAST, FAN = 1_000_000, 9_000_000, 16_384, 2048
 #: Cells of the first 2 words, and of the first 4 within them.
 LEVELS = (64, 64)
 #: What a packet holds of each suffix, and of each answer.  A twin counts the rows of a batch with one id.
@@ -95,7 +95,7 @@ def prefix_groups(counts: np.ndarray, fan: int | None = None) -> tuple[np.ndarra
     """The first group and the number of groups of each cell: neighbouring cells share one, a large cell has several."""
     fan = fan or FAN
     tree = counts.reshape(LEVELS)
-    budget = min(max(int(counts.sum()) // fan, LEAST), GROUP)
+    budget = min(max(int(counts.sum()) * 9 // (4 * fan), LEAST), GROUP)  # groups are half full at least, so they number up to fan
     group, out, parts, load = 0, np.zeros(LEVELS, np.int64), np.ones(LEVELS, np.int64), 0
 
     def put(index, total: int) -> None:
@@ -294,15 +294,22 @@ def _subtree(key_of: Callable[[np.ndarray], np.ndarray]):
                 keys.append(int(key_of(_unpack(ANSWER, out[-1])[0][:1])[0]))
         packets = [x.as_buffer() for x, done in zip(bodies, answered) if not done]
         if packets:
-            path = np.concatenate([_unpack(SUFFIX, b)[0] for b in packets])
+            paths = [_unpack(SUFFIX, b)[0] for b in packets]
+            starts = np.cumsum([0, *map(len, paths)])
+            path = np.concatenate(paths)
+            del paths
             order = np.argsort(path)
             path = path[order]
-            head = np.append(True, path[1:] != path[:-1])
-            several = ~(head & np.append(head[1:], True))
-            order, head = order[several], head[several]
-            del path, several
-            if len(order):
-                _, ids, batch, twin, place, _ = (a[order] for a in _together(SUFFIX, packets))
+            same = path[1:] == path[:-1]
+            repeated = np.zeros(len(path), bool)
+            repeated[order[np.append(same, False) | np.append(False, same)]] = True
+            del path, order, same
+            if repeated.any():
+                own = [repeated[i:j] for i, j in zip(starts, starts[1:])]
+                found = [np.concatenate(a) for a in zip(*([a[keep] for a in _unpack(SUFFIX, b)] for b, keep in zip(packets, own) if keep.any()))]
+                order = np.argsort(found[0])
+                path, ids, batch, twin, place, _ = (a[order] for a in found)
+                head = np.append(True, path[1:] != path[:-1])
                 heads = np.nonzero(head)[0]
                 least = np.repeat(np.minimum.reduceat(ids, heads), np.diff(np.append(heads, len(ids))))
                 lost = ids > least
