@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 #: Edges up to which one task finds all components: 16 bytes each, and a few times that to work on.
 ONE_TASK_EDGES = 2_000_000
+#: Spark's setting to remove a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -51,8 +53,13 @@ class Scratch:
         return f"{self.root}/{self.n:02d}-{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        """df as a written table; the shuffle files behind it go with the job, as nothing reads them any more."""
+        path, before = self.path(name), self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def delete(self, df: DataFrame) -> None:
