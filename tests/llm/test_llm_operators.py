@@ -205,11 +205,10 @@ def test_substring_packets_grow_with_the_batches(spark, monkeypatch):
     made = []
     for n in (1, 4):
         texts = [(i, " ".join(f"w{x}" for x in words[i * 100 : i * 100 + 100])) for i in range(200 * n)]
-        df = spark.createDataFrame(texts, "__id long, __text string").repartition(2)
-        batches = Scratch(spark, "t").table(substring.batched(df, 3, "__id", "__text"), "b")
-        counts, _ = substring.suffix_counts(batches)
+        df = spark.createDataFrame(texts, "id long, text string").repartition(2).selectExpr("id", "0L AS mark", "text")
+        counts = substring.suffix_counts(df, 3)
         first, parts = substring.prefix_groups(counts, 32)
-        made.append(substring.suffixes(batches, 3, first, parts, 1).count())
+        made.append(substring.suffixes(df, 3, first, parts, 1).count())
         assert counts.sum() == 200 * n * 98
     assert made[1] < 5 * made[0]
 

@@ -10,13 +10,14 @@ suffix tree in order; a run of equal paths is an internal node at depth
 `window` or below it, that is, a repeat, and the run's smallest document owns
 it.  The tree isn't needed below that depth: longer repeats are runs of windows.
 
-Suffixes travel in packets.  Documents are written in batches of bounded size; a
-batch sends at most FAN packets, one for each group, and gets at most one packet
-of answers from each.  Where there are more than FAN groups, a packet goes to a
-range of FAN, FAN ** 2 ... groups first; packets of one range are put together
-to a batch's size and dealt again, and answers to more than FAN batches go back
-by such steps too.  So the number of packets grows as the number of batches,
-not as batches times groups.
+Suffixes travel in packets.  Documents are taken in batches of bounded size; a
+batch sends at most FAN packets, one for each group.  Where there are more than
+FAN groups, a packet goes to a range of FAN, FAN ** 2 ... groups first; packets
+of one range are put together to a batch's size and dealt again.  Answers go
+to buckets of documents, each of about a batch's size, in the same way: a group sends at
+most FAN packets.  So the number of packets grows as the input, not as batches
+times groups or documents times groups.  A bucket gives one row for each
+document that loses something, which is joined to the documents.
 
 Paths are compared by 64-bit hashes of their words, so that a suffix travels in
 about 10 bytes; two different windows among n agree with a chance of n / 2**64
@@ -27,8 +28,9 @@ passage that a third of all documents share sends one suffix a batch.
 Every word covered by a window that also starts in a document with a smaller id
 is removed; windows are judged on the input.  Null and empty texts have no
 words.  Rows with a null id own nothing and lose nothing.  Rows with equal ids
-don't take from each other.  A very long text is a batch of its own.  Extra
-columns, of whatever names, are kept by `deduplicated`.
+don't take from each other; ids with several texts are listed first, and their
+rows told apart by a hash of the text.  A very long text is a batch of its own.
+Extra columns, of whatever names, are kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -36,25 +38,26 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections import Counter
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, ready
-from tidelog.llm.words import hashes_of, runs, words_of
+from tidelog.llm.common import Scratch, ready, sized
+from tidelog.llm.words import hashes_of, mix, runs, words_of
 
-#: Words of a batch; suffixes of a group at most, and where few are spread over many groups; packets of a batch.
+#: Words of a batch; suffixes of a group at most, and at least where there are few; packets of a batch.
 BATCH, GROUP, LEAST, FAN = 1_000_000, 9_000_000, 16_384, 2048
 #: Cells of the first 2 words, and of the first 4 within them.
 LEVELS = (64, 64)
-#: What a packet holds of each suffix, and of each answer.  A twin counts the rows of a batch with one id.
-SUFFIX = (("path", "<u8"), ("id", "<i8"), ("batch", "<u8"), ("twin", "<u4"), ("place", "<u4"), ("group", "<u4"))
-ANSWER = (("batch", "<u8"), ("doc", "<i8"), ("twin", "<u4"), ("first", "<u4"))
+#: What a packet holds of each suffix, and of each answer.  Marks tell rows apart that share an id, else they are 0.
+SUFFIX = (("path", "<u8"), ("id", "<i8"), ("mark", "<u8"), ("place", "<u4"), ("group", "<u4"))
+ANSWER = (("doc", "<i8"), ("mark", "<u8"), ("first", "<u4"))
 _RUNNING = ("path", "doc", "first")  # sent as differences, wrapping round
 
 
@@ -124,63 +127,29 @@ def _steps(n: int) -> list[int]:
     return out
 
 
-def batched(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """docs with __batch, __twin (how many rows of the batch before have its id) and, on some rows, __cells: packed counts of cells."""
-    names = docs.schema.fieldNames()
-    i, t = names.index(id_col), names.index(text_col)
-    schema = docs.withColumns({"__batch": F.lit(0).cast("long"), "__twin": F.lit(0), "__cells": F.lit(None).cast("binary")}).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        base, number, load, seen = TaskContext.get().partitionId() << 24, 0, 0, Counter()
-
-        def part(batch, start: int, end: int, total: np.ndarray) -> pa.RecordBatch:
-            cell = np.nonzero(total)[0]
-            counts = [None] * (end - start - 1) + [_pack((("cell", "<u2"), ("n", "<u8")), [cell, total[cell]])]
-            own = [*batch.slice(start, end - start).columns, pa.array(np.full(end - start, base + number)), pa.array(twins[start:end], pa.int32()), pa.array(counts, pa.binary())]
-            return pa.RecordBatch.from_arrays(own, schema.fieldNames())
-
-        for batch in batches:
-            start, total, twins = 0, np.zeros(LEVELS[0] * LEVELS[1], np.int64), []
-            for k, (x, y) in enumerate(zip(batch.column(i), batch.column(t)), 1):
-                own = x.as_py()
-                twins.append(seen[own])
-                seen[own] += 1
-                if x.is_valid and y.is_valid:
-                    h = hashes_of(words_of(y.as_py()))
-                    load += len(h)
-                    if len(h) >= window:
-                        total += np.bincount(_cells(h, len(h) - window + 1), minlength=len(total))
-                if load >= BATCH:
-                    yield part(batch, start, k, total)
-                    start, number, load, total = k, number + 1, 0, np.zeros_like(total)
-                    seen.clear()
-            if start < len(batch):
-                yield part(batch, start, len(batch), total)
-
-    return docs.mapInArrow(run, schema)
+def _bucket(ids: np.ndarray, marks: np.ndarray, width: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(ids.view(np.uint64) ^ marks) % np.uint64(width)).astype(np.int64)
 
 
-def suffix_counts(batches: DataFrame) -> tuple[np.ndarray, int]:
-    """How many windows each cell has, and the number of batches at most."""
+def suffix_counts(rows: DataFrame, window: int) -> np.ndarray:
+    """How many windows each cell has.  rows: (id, mark, text)."""
     n_cells = LEVELS[0] * LEVELS[1]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(n_cells, np.int64), 0
+        total = np.zeros(n_cells, np.int64)
         for part in parts:
-            for x in part.column(0):
-                cell, count = _unpack((("cell", "<u2"), ("n", "<u8")), x.as_buffer())
-                total[cell] += count.astype(np.int64)
-                n += 1
+            for x in part.column(2):
+                h = hashes_of(words_of(x.as_py()))
+                if len(h) >= window:
+                    total += np.bincount(_cells(h, len(h) - window + 1), minlength=n_cells)
         cell = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(cell, n_cells).astype(np.int32)), pa.array(np.append(total[cell], n))], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "n"])
 
-    rows = batches.select("__cells").where("__cells is not null").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros(n_cells + 1, np.int64)
-    for cell, n in rows.collect():  # a row for each cell
+    out = np.zeros(n_cells, np.int64)
+    for cell, n in rows.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row for each cell
         out[cell] = n
-    return out[:-1], int(out[-1])
+    return out
 
 
 def _packets(key: np.ndarray, columns: tuple, arrays: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
@@ -197,14 +166,14 @@ def _out(keys: list[int], answered: list[bool], bodies: list[bytes]) -> pa.Recor
 PACKET = "key long, answered boolean, body binary"
 
 
-def suffixes(batches: DataFrame, window: int, first: np.ndarray, parts: np.ndarray, width: int) -> DataFrame:
-    """Packets of suffixes for each range of `width` groups, and one of answers found within a batch."""
+def suffixes(rows: DataFrame, window: int, first: np.ndarray, parts: np.ndarray, width: int) -> DataFrame:
+    """Packets of suffixes for each range of `width` groups, and one of the answers found within a batch, for any group."""
     groups = int(first[-1] + parts[-1])
 
-    def packets(batch: int, ids: list, twins: list, hashed: list) -> pa.RecordBatch | None:
-        ids, twins = np.array(ids, np.int64), np.array(twins, np.uint32)
+    def packets(ids: list, marks: list, hashed: list) -> pa.RecordBatch | None:
+        ids, marks = np.array(ids, np.int64), np.array(marks, np.int64).view(np.uint64)
         order = np.argsort(ids, kind="stable")  # places by ascending id, so the smallest owner comes first
-        ids, twins, hashed = ids[order], twins[order], [hashed[i] for i in order]
+        ids, marks, hashed = ids[order], marks[order], [hashed[i] for i in order]
         paths = [runs(h, window) for h in hashed]
         sizes = np.array([len(p) for p in paths])
         path = np.concatenate(paths)
@@ -215,43 +184,57 @@ def suffixes(batches: DataFrame, window: int, first: np.ndarray, parts: np.ndarr
         order = np.argsort(path, kind="stable")
         path, doc, cell = path[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order], cell[order]
         place = (order - (np.cumsum(sizes) - sizes)[doc]).astype(np.uint32)
+        del order
         head = np.append(True, path[1:] != path[:-1])
-        known = ids[doc] > ids[doc[np.maximum.accumulate(np.where(head, np.arange(len(path)), 0))]]
-        lost = np.nonzero(known)[0]
-        lost = lost[np.lexsort((place[lost], doc[lost]))]
-        answers = [np.full(len(lost), batch, np.uint64), ids[doc[lost]], twins[doc[lost]], place[lost]]
+        known = ids[doc] > ids[doc[np.maximum.accumulate(np.where(head, np.arange(len(path), dtype=np.int32), 0))]]
+        lost = [ids[doc[known]], marks[doc[known]], place[known]]
         send = ~known  # equal ids with equal windows all go, each needs its own answer
         path, doc, place, cell = path[send], doc[send], place[send], cell[send]
-        group = first[cell] + ((path >> np.uint64(20)) % parts[cell].astype(np.uint64)).astype(np.int64)
+        group = (first[cell] + ((path >> np.uint64(20)) % parts[cell].astype(np.uint64)).astype(np.int64)).astype(np.uint32)
         by = np.argsort(group, kind="stable")
         group, doc = group[by], doc[by]
-        made = list(_packets(group // width, SUFFIX, [path[by], ids[doc], np.full(len(by), batch, np.uint64), twins[doc], place[by], group.astype(np.uint32)]))
-        keys, bodies = [k for k, _ in made], [b for _, b in made]
-        if len(lost):
-            keys.append(batch % groups // width)
-            bodies.append(_pack(ANSWER, answers))
-        return _out(keys, [False] * len(made) + [True] * (len(keys) - len(made)), bodies)
-
-    def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, twins, hashed = None, [], [], []
-        for part in record_batches:
-            for batch, twin, i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3)):
-                if batch != last:
-                    if ids and (out := packets(last, ids, twins, hashed)):
+        made = list(_packets((group // width).astype(np.int64), SUFFIX, [path[by], ids[doc], marks[doc], place[by], group]))
+        keys, bodies, n = [k for k, _ in made], [b for _, b in made], len(made)
+        if len(lost[0]):
+            order = np.lexsort(lost[::-1])
+            bodies.append(_pack(ANSWER, [a[order] for a in lost]))
+            keys.append(_any(bodies[-1], groups, width))
+        return _out(keys, [False] * n + [True] * (len(keys) - n), bodies)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, marks, hashed, load = [], [], [], 0
+        for part in batches:
+            for i, m, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                ids.append(i)
+                marks.append(m)
+                hashed.append(hashes_of(words_of(x.as_py())))
+                load += len(hashed[-1])
+                if load >= BATCH:
+                    if out := packets(ids, marks, hashed):
                         yield out
-                    last, ids, twins, hashed = batch, [], [], []
-                if i is not None and x.is_valid:
-                    ids.append(i)
-                    twins.append(twin)
-                    hashed.append(hashes_of(words_of(x.as_py())))
-        if ids and (out := packets(last, ids, twins, hashed)):
+                    ids, marks, hashed, load = [], [], [], 0
+        if ids and (out := packets(ids, marks, hashed)):
             yield out
 
-    return batches.select("__batch", "__twin", "__id", "__text").mapInArrow(run, PACKET)
+    return rows.mapInArrow(run, PACKET)
+
+
+def _any(body: bytes, groups: int, width: int) -> int:
+    return zlib.crc32(body) % groups // width
+
+
+def _answers(ids: np.ndarray, marks: np.ndarray, first: np.ndarray, bucket: int) -> list[tuple[int, bytes]]:
+    """Packets of answers, one for each bucket."""
+    to = _bucket(ids, marks, bucket)
+    order = np.lexsort((first, marks, ids, to))
+    return list(_packets(to[order], ANSWER, [a[order] for a in (ids, marks, first)]))
 
 
-def dealt(packets: DataFrame, columns: tuple, tasks: int, key_of: Callable[[list[np.ndarray]], np.ndarray], pass_on: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """Packets of one key put together to a batch's size, and dealt again by key_of, a key in so many tasks; answers among suffixes pass on by their batch."""
+def dealt(packets: DataFrame, columns: tuple, tasks: int, key_of: Callable[[list[np.ndarray]], np.ndarray], pass_on: Callable[[bytes], int] | None = None) -> DataFrame:
+    """Packets of one key put together to a batch's size, and dealt again by key_of; a key is dealt in so many tasks.
+
+    Answers among suffixes go on as they are, to the key of pass_on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, bodies, load = None, [], 0
@@ -259,15 +242,14 @@ def dealt(packets: DataFrame, columns: tuple, tasks: int, key_of: Callable[[list
         def again() -> pa.RecordBatch:
             arrays = _together(columns, bodies)
             to = key_of(arrays)
-            order = np.lexsort((arrays[0], to) if columns is SUFFIX else (*arrays[:0:-1], arrays[0], to))
+            order = np.lexsort((arrays[0], to) if columns is SUFFIX else (*arrays[::-1], to))
             made = list(_packets(to[order], columns, [a[order] for a in arrays]))
             return _out([k for k, _ in made], [columns is ANSWER] * len(made), [b for _, b in made])
 
         for batch in batches:
             for k, answered, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if answered and pass_on:
-                    body = x.as_py()
-                    yield _out([int(pass_on(_unpack(ANSWER, body)[0][:1])[0])], [True], [body])
+                    yield _out([pass_on(x.as_py())], [True], [x.as_py()])
                     continue
                 if bodies and (k != key or load >= BATCH):
                     yield again()
@@ -281,118 +263,122 @@ def dealt(packets: DataFrame, columns: tuple, tasks: int, key_of: Callable[[list
     return spread.repartition("key", "salt").sortWithinPartitions("key").select("key", "answered", "body").mapInArrow(run, PACKET)
 
 
-def _subtree(key_of: Callable[[np.ndarray], np.ndarray]):
+def _subtree(bucket: int):
     """One group: sort its suffixes, and answer those in runs that a smaller document owns."""
 
     def run(table: pa.Table) -> pa.Table:
-        answered = table.column("answered").to_pylist()
-        bodies = table.column("body")
-        keys, out = [], []
-        for x, done in zip(bodies, answered):
-            if done:
-                out.append(x.as_py())
-                keys.append(int(key_of(_unpack(ANSWER, out[-1])[0][:1])[0]))
-        packets = [x.as_buffer() for x, done in zip(bodies, answered) if not done]
-        if packets:
-            paths = [_unpack(SUFFIX, b)[0] for b in packets]
-            starts = np.cumsum([0, *map(len, paths)])
-            path = np.concatenate(paths)
-            del paths
-            order = np.argsort(path)
-            path = path[order]
-            same = path[1:] == path[:-1]
-            repeated = np.zeros(len(path), bool)
-            repeated[order[np.append(same, False) | np.append(False, same)]] = True
-            del path, order, same
-            if repeated.any():
-                own = [repeated[i:j] for i, j in zip(starts, starts[1:])]
-                found = [np.concatenate(a) for a in zip(*([a[keep] for a in _unpack(SUFFIX, b)] for b, keep in zip(packets, own) if keep.any()))]
-                order = np.argsort(found[0])
-                path, ids, batch, twin, place, _ = (a[order] for a in found)
-                head = np.append(True, path[1:] != path[:-1])
-                heads = np.nonzero(head)[0]
-                least = np.repeat(np.minimum.reduceat(ids, heads), np.diff(np.append(heads, len(ids))))
-                lost = ids > least
-                found = [a[lost] for a in (batch, ids, twin, place)]
-                to = key_of(found[0])
-                order = np.lexsort((*found[::-1], to))
-                for k, body in _packets(to[order], ANSWER, [a[order] for a in found]):
-                    keys.append(k)
-                    out.append(body)
-        return pa.Table.from_batches([_out(keys, [True] * len(out), out)])
+        done = table.column("answered")
+        packets = [x.as_buffer() for x in table.column("body").filter(pc.invert(done))]
+        out = [p for x in table.column("body").filter(done) for p in _answers(*_unpack(ANSWER, x.as_buffer()), bucket)]
+        out += owned(packets)
+        return pa.Table.from_batches([_out([k for k, _ in out], [True] * len(out), [b for _, b in out])])
+
+    def owned(packets: list) -> list[tuple[int, bytes]]:
+        if not packets:
+            return []
+        paths = [_unpack(SUFFIX, b)[0] for b in packets]
+        starts = np.cumsum([0, *map(len, paths)])
+        path = np.concatenate(paths)
+        del paths
+        order = np.argsort(path)
+        path = path[order]
+        same = path[1:] == path[:-1]
+        repeated = np.zeros(len(path), bool)
+        repeated[order[np.append(same, False) | np.append(False, same)]] = True
+        del path, order, same
+        if not repeated.any():
+            return []
+        own = [repeated[i:j] for i, j in zip(starts, starts[1:])]
+        found = [np.concatenate(a) for a in zip(*([a[keep] for a in _unpack(SUFFIX, b)] for b, keep in zip(packets, own) if keep.any()))]
+        order = np.argsort(found[0])
+        path, ids, mark, place, _ = (a[order] for a in found)
+        heads = np.nonzero(np.append(True, path[1:] != path[:-1]))[0]
+        lost = ids > np.repeat(np.minimum.reduceat(ids, heads), np.diff(np.append(heads, len(ids))))
+        return _answers(ids[lost], mark[lost], place[lost], bucket)
 
     return run
 
 
-def answers(batches: DataFrame, window: int) -> DataFrame:
-    """(key, body): for each batch the windows of its rows that start in a smaller document too."""
-    counts, n_batches = suffix_counts(batches)
-    first, parts = prefix_groups(counts)
-    steps = _steps(int(first[-1] + parts[-1]))
-    packets = suffixes(batches, window, first, parts, steps[0])
-    groups, total = int(first[-1] + parts[-1]), int(counts.sum())
-    tasks = lambda keys: max(1, total // (min(keys, groups) * BATCH * 16))
+def _by_document(table: pa.Table) -> pa.Table:
+    """One bucket: (id, mark, spans) for each document with answers."""
+    ids, marks, first = _together(ANSWER, [x.as_buffer() for x in table.column("body")])
+    order = np.lexsort((first, marks, ids))
+    ids, marks, first = ids[order], marks[order], first[order]
+    heads = np.nonzero(np.append(True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))[0]
+    spans = [_spans(x) for x in np.split(first, heads[1:])]
+    return pa.table([pa.array(ids[heads]), pa.array(marks[heads].view(np.int64)), pa.array(spans, pa.binary())], ["id", "mark", "spans"])
+
+
+def _spans(first: np.ndarray) -> bytes:
+    """Sorted first words of windows as little-endian (first, last) pairs of their runs; one window can be answered twice."""
+    cut = np.nonzero(np.diff(first.astype(np.int64)) > 1)[0]
+    return np.stack([first[np.append(0, cut + 1)], first[np.append(cut, len(first) - 1)]], axis=1).astype("<u4").tobytes()
+
+
+def repeats(rows: DataFrame, window: int) -> DataFrame:
+    """(id, mark, spans): the windows of each document that start in a smaller one too, as runs of first words."""
+    counts = suffix_counts(rows, window)
+    total, (first, parts) = int(counts.sum()), prefix_groups(counts)
+    groups = int(first[-1] + parts[-1])
+    steps, back = _steps(groups), _steps(max(1, total // BATCH))
+    buckets = -(-max(1, total // BATCH) // back[0]) * back[0]  # so that each step's ranges are parts of those before
+    widths = [FAN**n for n in range(1, len(back))] + [buckets]
+    tasks = lambda keys: max(1, total // (keys * BATCH * 16))
+    packets = suffixes(rows, window, first, parts, steps[0])
     for n, width in enumerate(steps[1:], 1):
-        packets = dealt(packets, SUFFIX, tasks(FAN**n), lambda a, w=width: a[5].astype(np.int64) // w, lambda b, w=width: (b % np.uint64(groups)).astype(np.int64) // w)
-    # Ranges of batches are by remainder: batch numbers have gaps.
-    back = [lambda b, m=FAN**s: (b % np.uint64(m)).astype(np.int64) for s in range(1, len(_steps(n_batches)))] + [lambda b: b.astype(np.int64)]
-    found = packets.groupBy("key").applyInArrow(_subtree(back[0]), PACKET)
-    for n, key_of in enumerate(back[1:], 1):
-        found = dealt(found, ANSWER, tasks(FAN**n), lambda a, key_of=key_of: key_of(a[0]))
-    return found.select("key", "body")
+        packets = dealt(packets, SUFFIX, tasks(FAN**n), lambda a, w=width: a[4].astype(np.int64) // w, lambda body, w=width: _any(body, groups, w))
+    found = packets.groupBy("key").applyInArrow(_subtree(widths[0]), PACKET)
+    for n, width in enumerate(widths[1:], 1):
+        found = dealt(found, ANSWER, tasks(FAN**n), lambda a, w=width: _bucket(a[0], a[1], w))
+    return found.groupBy("key").applyInArrow(_by_document, "id long, mark long, spans binary")
 
 
-def resolved(docs: DataFrame, window: int, id_col: str, text_col: str, scratch: Scratch, apply: Callable[[pa.Table, Callable], pa.Table], schema) -> DataFrame:
-    """apply(rows, lost) on each batch of docs; lost(i, n) tells which of the n words of row i are covered."""
+def joined(docs: DataFrame, window: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """The columns of docs as c0, c1 ..., and spans, null for documents that lose nothing."""
     ready(docs.sparkSession)
     names = docs.schema.fieldNames()
-    plain = [f"c{i}" for i in range(len(names))]  # whatever the columns are called, they clash with none here
-    named = docs.toDF(*plain).withColumns({"__id": F.col(plain[names.index(id_col)]).cast("long"), "__text": F.col(plain[names.index(text_col)]).cast("string")})
-    batches = scratch.table(batched(named, window, "__id", "__text"), "batches")
-
-    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        places = {}
-        if len(found):
-            _, doc, twin, first = _together(ANSWER, [x.as_buffer() for x in found.column("body")])
-            order = np.lexsort((twin, doc))
-            doc, twin, first = doc[order], twin[order], first[order]
-            heads = np.nonzero(np.append(True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1])))[0]
-            places = dict(zip(zip(doc[heads].tolist(), twin[heads].tolist()), np.split(first, heads[1:])))
-        own = list(zip(rows.column("__id").to_pylist(), rows.column("__twin").to_pylist()))
-        lost = lambda i, n: covered(places[own[i]], window, n) if own[i] in places else None
-        return apply(rows.select(plain).rename_columns(names), lost)
-
-    found = scratch.table(answers(batches, window), "answers")
-    return batches.drop("__cells", "__text").groupBy("__batch").cogroup(found.groupBy("key")).applyInArrow(run, schema)
-
-
-def covered(places: np.ndarray, window: int, n_words: int) -> np.ndarray:
-    """Which of a document's words the windows at these places cover."""
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the columns are called, they clash with none here
+    i, t = F.col(f"c{names.index(id_col)}").cast("long"), F.col(f"c{names.index(text_col)}").cast("string")
+    named = rows.withColumns({"id": i, "text": t, "hash": F.xxhash64(t)})
+    several = named.where("id is not null").groupBy("id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select("id")
+    several = scratch.table(several, "several")
+    n = several.count()
+    several = sized(several.withColumn("again", F.lit(True)), n)
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(several, "id", "left").withColumn("mark", F.when(F.col("again"), F.col("hash")).otherwise(F.lit(0).cast("long"))) if n else df.withColumn("mark", F.lit(0).cast("long"))
+
+    found = scratch.table(repeats(marked(named.where("id is not null and text is not null")).select("id", "mark", "text"), window), "repeats")
+    return marked(named).drop("hash", "again", "text").join(found, ["id", "mark"], "left").drop("id", "mark")
+
+
+def covered(spans: bytes, window: int, n_words: int) -> np.ndarray:
+    """Which of a document's words its repeated windows cover."""
     edge = np.zeros(n_words + 1, np.int64)
-    places = places.astype(np.int64)
-    np.add.at(edge, places, 1)
-    np.add.at(edge, places + window, -1)
+    first, last = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64).T
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last + window, -1)
     return np.cumsum(edge)[:n_words] > 0
 
 
 def digests(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 (of the kept words joined by single spaces) for each row."""
 
-    def apply(rows: pa.Table, lost: Callable) -> pa.Table:
-        total, gone, shas = [], [], []
-        for i, x in enumerate(rows.column(1)):
-            words = words_of(x.as_py())
-            cut = lost(i, len(words))
-            kept = words if cut is None else [w for w, c in zip(words, cut.tolist()) if not c]
-            total.append(len(words))
-            gone.append(len(words) - len(kept))
-            shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return pa.table([rows.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], [id_col, "n_words", "n_removed", "kept_sha256"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, gone, shas = [], [], []
+            for x, spans in zip(batch.column(1), batch.column(2)):
+                words = words_of(x.as_py())
+                kept = [w for w, c in zip(words, covered(spans.as_py(), window, len(words)).tolist()) if not c] if spans.is_valid else words
+                total.append(len(words))
+                gone.append(len(words) - len(kept))
+                shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], [id_col, "n_words", "n_removed", "kept_sha256"])
 
     scratch = scratch or Scratch(docs.sparkSession, "substring")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
-    return resolved(rows, window, id_col, text_col, scratch, apply, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return joined(rows, window, "id", "text", scratch).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(text: str, lost: np.ndarray) -> str:
@@ -414,12 +400,13 @@ def deduplicated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     names = docs.schema.fieldNames()
     at = names.index(text_col)
 
-    def apply(rows: pa.Table, lost: Callable) -> pa.Table:
-        texts = []
-        for i, x in enumerate(rows.column(at)):
-            text = x.as_py()
-            gone = lost(i, len(words_of(text))) if text else None
-            texts.append(text if gone is None else cut(text, gone))
-        return rows.set_column(at, names[at], pa.array(texts, rows.schema.field(at).type))
+    def one(text: str | None, spans: pa.Scalar) -> str | None:
+        return cut(text, covered(spans.as_py(), window, len(words_of(text)))) if text and spans.is_valid else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[: len(names)]
+            columns[at] = pa.array([one(x.as_py(), spans) for x, spans in zip(batch.column(at), batch.column(len(names)))], batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return resolved(docs, window, id_col, text_col, scratch or Scratch(docs.sparkSession, "substring"), apply, docs.schema)
+    return joined(docs, window, id_col, text_col, scratch or Scratch(docs.sparkSession, "substring")).mapInArrow(run, docs.schema)
