@@ -349,7 +349,7 @@ def joined(docs: DataFrame, window: int, id_col: str, text_col: str, scratch: Sc
         return df.join(several, "id", "left").withColumn("mark", F.when(F.col("again"), F.col("hash")).otherwise(F.lit(0).cast("long"))) if n else df.withColumn("mark", F.lit(0).cast("long"))
 
     found = scratch.table(repeats(marked(named.where("id is not null and text is not null")).select("id", "mark", "text"), window), "repeats")
-    return marked(named).drop("hash", "again", "text").join(found, ["id", "mark"], "left").drop("id", "mark")
+    return marked(named).drop("hash", "again", "text").join(found.hint("merge"), ["id", "mark"], "left").drop("id", "mark")
 
 
 def covered(spans: bytes, window: int, n_words: int) -> np.ndarray:
