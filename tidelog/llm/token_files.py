@@ -5,6 +5,10 @@ disjoint id ranges: readers take stripes in parallel, skip by the minima and
 maxima of the row index and, for a single id, by the Bloom filter.  Each row
 keeps where its ids begin within its file; a file's total gives the rest.
 
+Strings of the tokenizer's added tokens in a text become those tokens' ids, as
+the library does it.  `lookup` reads single documents by id: the Bloom filter and
+the row index let it skip files and stripes.  Extra columns are not written.
+
 A null text is encoded as an empty one.  Rows with equal ids follow each other,
 ordered by a hash of the text, null ids first.
 """
@@ -12,6 +16,7 @@ ordered by a hash of the text, null ids first.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 import zlib
@@ -43,16 +48,32 @@ class WordEncoder:
 
     Texts of plain Latin characters, on which normalising and lower-casing work
     character by character, are split here and the ids of each part kept; any
-    other text goes to the library whole.
+    other text goes to the library whole, and so do texts that may hold an added
+    token, such as <|endoftext|>.  A file whose normaliser or parts are others
+    than SPLITS says has all its texts encoded by the library.
     """
 
+    #: The normaliser and the parts on which PLAIN and PARTS rest.
+    SPLITS = (
+        ("NFC", "Replace", "Lowercase"),
+        r"\s+",
+        r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    )
+
     PLAIN, PARTS = _plain_patterns()
 
     def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        content = json.loads(self.library.to_str())
+        steps = (content["normalizer"] or {}).get("normalizers", [])
+        parts = (content["pre_tokenizer"] or {}).get("pretokenizers", [])
+        regex = lambda x: x.get("pattern", {}).get("Regex")
+        found = tuple(s["type"] for s in steps), *(regex(s) for s in steps if s["type"] == "Replace"), *(regex(p) for p in parts if p["type"] == "Split")
+        added = [re.escape(t["content"]) for t in content["added_tokens"]]
+        self.added = re.compile("|".join(added) if added else r"(?!)", re.IGNORECASE)
+        self.splits = found == self.SPLITS
         self.keep = keep
         self.parts: dict[str, bytes] = {}
 
@@ -74,7 +95,7 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         known, out, fresh, again = self.parts, [], set(), []
         for i, text in enumerate(texts):
-            if not self.PLAIN.fullmatch(text):
+            if not self.splits or not self.PLAIN.fullmatch(text) or self.added.search(text):
                 out.append(self.whole(text))
                 continue
             parts = self.PARTS.findall(text.lower())
@@ -146,6 +167,11 @@ def read(spark: SparkSession, out_dir: str) -> DataFrame:
     )
 
 
+def lookup(spark: SparkSession, out_dir: str, ids: list[int]) -> DataFrame:
+    """The rows of the files with one of these ids; the condition reaches the ORC reader."""
+    return spark.read.orc(out_dir).where(F.col("doc_id").isin(ids))
+
+
 def digests(rows: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of rows read back."""
 
