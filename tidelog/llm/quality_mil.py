@@ -7,7 +7,9 @@ weighs the passages, and the weighted mean is scored by a logistic unit (Ilse,
 Tomczak and Welling, 2018).
 
 Fitting uses at most `sample_rows` labelled documents, the first in the order
-of a hash of the id, and runs on the driver; scoring covers every document.
+of a hash of the id, with at most `sample_passages` passages together, and runs
+on the driver; scoring covers every document.  An id with several texts counts once, with
+the smallest bag.
 Only the text is ever an input of a score.
 
 A null or empty text is one passage without words and gets that passage's
@@ -21,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import ready
@@ -136,8 +139,8 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000) -> GatedAttention | None:
-    """A model from at most sample_rows labelled, not held-out documents; None if no label can be used."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, sample_passages: int = 400_000) -> GatedAttention | None:
+    """A model from at most sample_rows labelled, not held-out documents, the first whose passages fit; None if no label can be used."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(F.col(id_col).cast("long").alias("__id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("__y"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    rows = texts.join(F.broadcast(chosen), "__id").select("__id", "__text", "__y").mapInArrow(encode, "id long, bag binary, y int").toArrow()
+    bags = texts.join(F.broadcast(chosen), "__id").select("__id", "__text", "__y").mapInArrow(encode, "id long, bag binary, y int")
+    bags = bags.groupBy("id", "y").agg(F.min("bag").alias("bag"))  # sample_rows rows at most from here on
+    before = F.sum(F.length("bag") / (2 * N_FEATURES)).over(W.orderBy(F.xxhash64("id"), "id").rowsBetween(W.unboundedPreceding, 0))
+    rows = bags.withColumn("passages", before).where(F.col("passages") <= sample_passages).drop("passages").toArrow()
     if not len(rows):
         return None
     rows = rows.to_pandas().sort_values(["id", "bag"])
