@@ -5,8 +5,8 @@ of its partial scores over the lists.  Rows come in tiles, each of which holds
 its part of all m lists, and queries in blocks; a task takes one block over one
 tile (Cao and Wang's TPUT, 2004, with the lists of a tile on one machine).
 
-1. Each tile finds the k best of each of its lists for each query and returns
-   the k best full scores among them; the k-th best over all tiles is a cutoff
+1. Each tile finds the k best of each of its lists for each query, scores these
+   few in full and returns the k best scores; the k-th best over all tiles is a cutoff
    that k different rows reach, so it is safe.
 2. The cutoff c goes to all tiles.  A row that reaches it has a partial score of
    c / m at least in some list; only those entries are collected.
@@ -21,7 +21,9 @@ else in 64-bit integers.
 Null vectors, empty ones, or ones with null or non-finite components, take no
 part, nor do rows with a null id.  Ties go to the smaller id.  A query never
 meets rows of its own id.  Vectors of other lengths than the query's don't meet
-it.  Repeated rows count each.
+it.  Repeated rows count each; of several query rows with one id the
+smallest vector asks.  Components whose scaled value leaves 64 bits are not
+supported.
 """
 
 from __future__ import annotations
@@ -69,6 +71,15 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def _pairwise(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Full scores of the pairs (i, j)."""
+    score = np.empty(len(i), np.int64)
+    for at in range(0, len(i), 65536):
+        at = slice(at, at + 65536)
+        score[at] = (q[i[at]] * c[j[at]]).sum(axis=1)
+    return score
+
+
 def _lists(d: int, m: int) -> list[slice]:
     cuts = np.linspace(0, d, min(m, d) + 1).astype(int)
     return [slice(i, j) for i, j in zip(cuts, cuts[1:])]
@@ -86,17 +97,19 @@ def local_lists(k: int, m: int):
                 qid, q = _matrix(batch.column(0)[row].values)
                 cid, c = _matrix(batch.column(1)[row].values)
                 own = qid[:, None] == cid[None, :]
-                full = np.zeros(own.shape, np.int64)
                 seen = np.zeros(own.shape, bool)
                 for part in _lists(q.shape[1], m):
                     scores = _products(q[:, part], c[:, part])
-                    full += scores
                     scores[own] = LEAST
                     best = np.argpartition(-scores, min(k, len(cid)) - 1, axis=1)[:, :k]
                     np.put_along_axis(seen, best, True, axis=1)
-                full[own | ~seen] = LEAST
-                top = -np.sort(-full, axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array([t[t > LEAST] for t in top], pa.list_(pa.int64()))], ["query", "scores"])
+                i, j = np.nonzero(seen & ~own)
+                score = _pairwise(q, c, i, j)
+                order = np.lexsort((-score, i))
+                i, score = i[order], score[order]
+                first = np.searchsorted(i, np.arange(len(qid) + 1))
+                top = [score[a : min(a + k, b)] for a, b in zip(first, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(top, pa.list_(pa.int64()))], ["query", "scores"])
 
     return run
 
@@ -122,10 +135,7 @@ def collected(k: int, m: int):
                     bound += np.where(sent, scores, share[:, None] - 1)
                 entered &= (bound >= cut[:, None] - np.abs(cut[:, None]) * 1e-12 - 1) & (qid[:, None] != cid[None, :])
                 i, j = np.nonzero(entered)
-                score = np.empty(len(i), np.int64)
-                for at in range(0, len(i), 65536):
-                    at = slice(at, at + 65536)
-                    score[at] = (q[i[at]] * c[j[at]]).sum(axis=1)
+                score = _pairwise(q, c, i, j)
                 good = score >= cut[i]
                 i, j, score = i[good], j[good], score[good]
                 order = np.lexsort((cid[j], -score, i))
@@ -142,9 +152,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, lists:
     scratch = scratch or Scratch(vectors.sparkSession, "topk")
     rows = scratch.table(quantised(vectors, id_col, vector_col, scale), "integers")
     tiles = scratch.table(blocked(rows, tile).select("d", F.col("block").alias("tile"), F.col("members").alias("c")), "tiles")
-    queries = scratch.table(blocked(rows.where(is_query).dropDuplicates(["id"]), block).select("d", "block", F.col("members").alias("q")), "queries")
+    queries = scratch.table(blocked(rows.where(is_query).groupBy("id").agg(F.min(F.struct("d", "q")).alias("v")).select("id", "v.d", "v.q"), block).select("d", "block", F.col("members").alias("q")), "queries")
     # The stated query set against all rows, a block of queries and a tile of rows at a time.
-    work = queries.join(tiles, "d").repartition(F.col("d"), F.col("block"), F.col("tile"))
+    # Pairs of keys come first; the vectors are fetched by (d, block), then by (d, tile), so that no key has all rows.
+    numbers = tiles.groupBy("d").agg(F.max("tile").alias("last"))
+    pairs = queries.select("d", "block").join(sized(numbers, numbers.count()), "d")
+    pairs = pairs.select("d", "block", F.explode(F.sequence(F.lit(0), "last")).alias("tile"))
+    meet = lambda asked: pairs.join(asked, ["d", "block"]).join(tiles, ["d", "tile"])
+    work = meet(queries).repartition("d", "block", "tile")
     firsts = work.select("q", "c").mapInArrow(local_lists(k, lists), "query long, scores array<bigint>")
     cutoffs = scratch.table(
         firsts.select("query", F.explode("scores").alias("score"))
@@ -159,7 +174,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, lists:
         .groupBy("d", "block")
         .agg(F.collect_list(F.struct("id", "cutoff")).alias("cutoffs"))
     )
-    work = queries.join(told, ["d", "block"], "left").join(tiles, "d").repartition(F.col("d"), F.col("block"), F.col("tile"))
+    work = meet(queries.join(told, ["d", "block"], "left")).repartition("d", "block", "tile")
     found = work.select("q", "c", "cutoffs").mapInArrow(collected(k, lists), "query long, id long, score long")
     best = W.partitionBy("query").orderBy(F.desc("score"), "id")
     return (
