@@ -3,8 +3,10 @@
 Vectors are made unit length and rotated onto the principal axes of all
 vectors, largest variance first.  A link at cosine t means a distance of at
 most r = sqrt(2 - 2t), so linked vectors lie in equal or neighbouring cells of
-width r of the two leading axes.  Cells are split into tiles of bounded size
-and only tiles of neighbouring cells meet.  In a pair of tiles dot products
+width r of the leading axes: two, and one more for each threefold of vectors
+beyond 64 tiles, up to six.  Cells are split into tiles of bounded size
+and only tiles of neighbouring cells meet: their keys are paired first, then
+the vectors fetched by tile, so that a crowded cell spreads over tasks.  In a pair of tiles dot products
 accumulate over the leading dimensions; what the rest can add is at most the
 product of the two suffix norms, and a pair is given up once the sum of both
 cannot reach t.  Survivors are decided on the vectors as they came, in double
@@ -23,6 +25,7 @@ rows with one id are one node with a link for each other row of another id.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import Scratch, connected_components, forest, sized
 
-TILE = 1024
+TILE = 2048
 #: Dimensions after which a pair of tiles looks again whether any product can still reach the threshold.
 STEPS = (8, 16, 32)
 
@@ -142,7 +145,7 @@ def _compare(threshold: float, axes: dict[int, np.ndarray]):
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tile: int = TILE, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tile: int = TILE, n_axes: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """id, n_links, component_id, kept for each row of vectors; threshold from above 0 to 1."""
     scratch = scratch or Scratch(vectors.sparkSession, "vector-dedup")
     rows = scratch.table(packed(vectors, id_col, vector_col, label_col), "packed")
@@ -152,33 +155,40 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     )
     axes = principal_axes(classes)
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    n_axes = n_axes or min(6, 2 + max(0, math.ceil(math.log(max(1, classes.count()) / (64 * tile), 3))))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.array([len(x.as_buffer()) // 8 for x in batch.column(3)])
             for d in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == d))
-                turned = _units(part.column(3)) @ axes[d][:, :2]
-                where = np.floor(turned / width).astype(np.int32)
-                second = where[:, 1] if d > 1 else np.zeros(len(part), np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(part), d, np.int32)), pa.array(where[:, 0].copy()), pa.array(second.copy())], ["label", "rep", "copies", "vec", "d", "x", "y"])
+                turned = _units(part.column(3)) @ axes[d][:, :n_axes]
+                where = np.zeros((len(part), n_axes), np.int32)
+                where[:, : turned.shape[1]] = np.floor(turned / width)
+                cell = pa.FixedSizeListArray.from_arrays(pa.array(where.reshape(-1)), n_axes).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(part), d, np.int32)), cell], ["label", "rep", "copies", "vec", "d", "cell"])
 
     celled = scratch.table(
-        classes.select("label", "rep", "copies", "vec").mapInArrow(cells, "label string, rep long, copies long, vec binary, d int, x int, y int"), "cells"
+        classes.select("label", "rep", "copies", "vec").mapInArrow(cells, "label string, rep long, copies long, vec binary, d int, cell array<int>"), "cells"
     )
-    cell = ["label", "d", "x", "y"]
-    sizes = scratch.table(celled.groupBy(*cell).agg(F.count("*").alias("n")), "sizes")
-    tiled = celled.join(sized(sizes, sizes.count()), cell).withColumn("tile", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / tile)).cast("int"))
-    tiled = tiled.repartition(*cell, "tile")  # a crowded cell spreads over tasks by its tiles
-    tiles = scratch.table(tiled.groupBy(*cell, "tile").agg(F.collect_list(F.struct("rep", "copies", "vec")).alias("members")), "tiles")
-    # Each tile meets the tiles of its own cell from itself on, and those of four of its eight neighbours.
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    left = tiles.withColumn("o", F.explode(offsets)).select(
-        "label", "d", (F.col("x") + F.col("o.a")).alias("x"), (F.col("y") + F.col("o.b")).alias("y"),
-        F.col("tile").alias("own"), F.col("members").alias("members_a"), ((F.col("o.a") == 0) & (F.col("o.b") == 0)).alias("home"),
-    )
-    pairs = left.join(tiles, cell).where("not home or own <= tile")
-    pairs = pairs.select((F.col("home") & (F.col("own") == F.col("tile"))).alias("same"), "members_a", "members")
+    place = ["label", "d", "cell"]
+    sizes = scratch.table(celled.groupBy(*place).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "sizes")
+    few = sized(sizes, sizes.count())
+    tiled = celled.join(few, place).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    tiled = tiled.repartition(*place, "tile")  # a crowded cell spreads over tasks by its tiles
+    tiles = scratch.table(tiled.groupBy(*place, "tile").agg(F.collect_list(F.struct("rep", "copies", "vec")).alias("members")), "tiles")
+    # Each cell meets itself and half of its neighbours: those ahead of it in the order of cells.
+    ahead = [o for o in itertools.product((-1, 0, 1), repeat=n_axes) if o >= (0,) * n_axes]
+    offsets = F.explode(F.array(*[F.array(*map(F.lit, o)) for o in ahead]))
+    left = sizes.withColumn("o", offsets).select(
+        "label", "d", F.col("cell").alias("own_cell"), F.zip_with("cell", "o", lambda a, b: a + b).alias("cell"), F.col("tiles").alias("own_tiles")
+    )
+    keys = left.join(few, place).withColumn("own", F.explode(F.expr("sequence(0, own_tiles - 1)")))
+    keys = keys.withColumn("tile", F.explode(F.expr("sequence(if(own_cell = cell, own, 0), tiles - 1)"))).drop("tiles", "own_tiles")
+    own = tiles.select("label", "d", F.col("cell").alias("own_cell"), F.col("tile").alias("own"), F.col("members").alias("members_a"))
+    pairs = keys.join(own, ["label", "d", "own_cell", "own"]).join(tiles, [*place, "tile"])
+    pairs = pairs.repartition("label", "d", "own_cell", "own", "cell", "tile")
+    pairs = pairs.select(F.expr("own_cell = cell AND own = tile").alias("same"), "members_a", "members")
     partial = scratch.table(pairs.mapInArrow(_compare(threshold, axes), "rep long, links long, root long"), "links")
     component = connected_components(partial.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     linked = partial.groupBy("rep").agg(F.sum("links").alias("links"))
