@@ -19,7 +19,9 @@ full shingle sets.
 
 Nulls and empties: a null or empty text has an empty set and links with
 nothing.  A row with a null id takes no part: its component is null and it is
-kept.  Repeated rows share a component.  Extra columns don't matter.
+kept.  Rows with one id are one document, whose texts all link: repeated rows
+share a component, and of an id that stays, `without_near_duplicates` keeps
+each text once.  Very long texts are sets like any other.  Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -107,7 +109,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int,
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(id, words): the sorted shingle hashes of the wanted (id, set_key), packed as bytes."""
+    """(id, words): the sorted shingle hashes of the wanted (id, set_key, node), packed as bytes; here id is the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,11 +119,11 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataF
                 keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
                 right = [k == w.as_py() for k, w in zip(keys, part.column(2))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sets, pa.binary())], ["id", "words"]
+                    [part.column(3), pa.array(sets, pa.binary())], ["id", "words"]
                 ).filter(pa.array(right))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(wanted, "id").mapInArrow(run, "id long, words binary").dropDuplicates(["id"])
+    return rows.join(wanted, "id").select("id", "text", "set_key", "node").mapInArrow(run, "id long, words binary").dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,8 +202,13 @@ def crowded(cluster: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     dealt = dealt.repartition("cluster", "tile")  # a large cluster spreads over tasks by its tiles
     packed = dealt.groupBy("cluster", "tile").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "words")).alias("sets"))
+    packed = scratch.table(packed, "tiles")
+    # Keys of tiles are paired first, then the sets fetched by tile: a large cluster's pairs spread over tasks.
+    keys = counts.withColumn("own", F.explode(F.expr("sequence(0, int(tiles) - 1)"))).repartition("cluster", "own")
+    keys = keys.withColumn("tile", F.explode(F.expr("sequence(own, int(tiles) - 1)"))).drop("tiles")
     left = packed.select("cluster", F.col("tile").alias("own"), F.col("sets").alias("sets_a"))
-    pairs = left.join(packed, "cluster").where("own <= tile").select(F.expr("own = tile").alias("same"), "sets_a", "sets")
+    pairs = keys.join(left, ["cluster", "own"]).join(packed, ["cluster", "tile"]).repartition("cluster", "own", "tile")
+    pairs = pairs.select(F.expr("own = tile").alias("same"), "sets_a", "sets")
     return pairs.mapInArrow(run, "a long, b long")
 
 
@@ -230,13 +237,28 @@ def near_duplicates(
         .agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")),
         "classes",
     )
+    # Ids with several sets: their classes are one document.  A class whose smallest id is taken gets a stand-in.
+    several = sig.where("set_key is not null and id is not null").groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi"))
+    several = scratch.table(several.where("lo <> hi").select("id"), "several")
+    n_several = several.count()
+    classes = classes.withColumn("first_id", F.col("rep"))
+    if n_several:
+        held = sig.where("set_key is not null").join(sized(several, n_several), "id").select("id", "set_key").distinct()
+        held = held.join(classes.select("set_key", "rep"), "set_key")
+        first = held.where("id = rep").groupBy("id").agg(F.min("set_key").alias("set_key")).withColumn("own", F.lit(True))
+        node = F.when(F.col("own") | (F.col("id") != F.col("rep")), F.col("rep")).otherwise(F.xxhash64("set_key").bitwiseOR(F.lit(1 << 62)))
+        held = scratch.table(held.join(first, ["id", "set_key"], "left").select("id", "set_key", "rep", node.alias("node")), "held")
+        stand_in = held.where("node <> rep").select("set_key", "node")
+        classes = classes.join(stand_in, "set_key", "left").withColumn("rep", F.coalesce("node", "rep")).drop("node")
+        classes = scratch.table(classes, "classes")
+        same = held.join(stand_in.withColumnRenamed("node", "other"), "set_key", "left").select(F.col("id").alias("a"), F.coalesce("other", "node").alias("b"))
     spread = classes.select(F.explode("buckets").alias("bucket"), "rep", "n")
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("pivot")).where("size > 1")
     members = scratch.table(spread.join(shared, "bucket").select("bucket", "rep", "n", "size", "pivot"), "members")
     wanted = scratch.table(members.select(F.col("rep").alias("id")).distinct(), "wanted")
     n_wanted = wanted.count()
     # A list of ids that is small enough is broadcast; else the texts are shuffled to it.
-    keyed = classes.select(F.col("rep").alias("id"), "set_key").join(wanted, "id", "left_semi")
+    keyed = classes.select(F.col("rep").alias("node"), "set_key", F.col("first_id").alias("id")).join(wanted.withColumnRenamed("id", "node"), "node", "left_semi")
     sets = scratch.table(full_sets(docs, id_col, text_col, k, sized(keyed, n_wanted)), "sets")
     near = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent  # noqa: E731  else the sizes rule a link out
     pairs = members.where(F.col("rep") != F.col("pivot.rep")).where(near(F.col("n"), F.col("pivot.n")))
@@ -260,7 +282,13 @@ def near_duplicates(
     )
     more = confirmed(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct(), sets, percent)
     links = links.union(scratch.table(more.union(crowded(cluster, sets, percent, scratch)), "links"))
+    if n_several:
+        links = links.union(same)
     component = connected_components(links, scratch)
+    if n_several:  # a stand-in is no id: the smallest true id names the component
+        true = component.join(stand_in.select(F.col("node").alias("id")), "id", "left_anti")
+        least = true.groupBy("component").agg(F.min("id").alias("least"))
+        component = component.join(least, "component").select("id", F.col("least").alias("component"))
     named = classes.select("set_key", "rep")
     named = named.join(component.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("set_key", F.coalesce("component", "rep").alias("component"))
@@ -273,12 +301,15 @@ def near_duplicates(
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", scratch: Scratch | None = None, **options) -> DataFrame:
-    """The rows of docs whose id is kept in some row: one document of each group stays."""
+    """The rows of docs whose id is kept in some row, each text of an id once: one document of each group stays."""
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     result = near_duplicates(docs, id_col, scratch=scratch, **options)
-    gone = scratch.table(
-        result.where("id is not null").groupBy("id").agg(F.max("kept").alias("any_kept")).where("not any_kept").select("id"),
-        "gone",
-    )
-    gone = sized(gone.withColumnRenamed("id", "__gone"), gone.count())
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    marks = result.where("id is not null").groupBy("id").agg(F.max("kept").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    marks = scratch.table(marks.select(F.col("id").alias("__id"), "stays"), "marks")
+    n, again = marks.count(), marks.where("stays").limit(1).count()
+    rows = docs.join(sized(marks, n), F.col(id_col).cast("long") == F.col("__id"), "left")
+    once = rows.where("__id is null").drop("__id", "stays")
+    if not again:
+        return once
+    text_col = options.get("text_col", "text")
+    return once.union(rows.where("stays").drop("__id", "stays").dropDuplicates([id_col, text_col]))
