@@ -409,3 +409,95 @@ def test_attention_gradients():
         down = loss()
         p[at] = keep
         assert abs((up - down) / 2e-6 - grads[k][at]) < 1e-6
+
+
+def test_minhash_links_both_texts_of_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (1, a), (4, "c " * 9), (5, None), (6, b + " even more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in minhash.near_duplicates(df, k=3, percent=85).collect():
+        assert (r.component_id, r.kept) == ((1, r.id == 1) if r.id in (1, 2, 3, 6) else (r.id, True))
+    left = minhash.without_near_duplicates(df, k=3, percent=85).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, a), (1, b), (4, "c " * 9), (5, None)], key=str)
+
+
+def test_minhash_recall_on_the_given_documents(spark):
+    """Every pair at the threshold, by the inverted index of all shingles."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sets, comp = brute_minhash([(r.doc_id, r.text) for r in df.collect()], 5, 80)
+    got = {r.id: r.component_id for r in minhash.near_duplicates(df, k=5, percent=80, bands=30, rows=4).collect()}
+    assert got == comp
+
+
+def test_mixing_has_no_largest_rate(spark):
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "x").otherwise("y" * 100).alias("text"), F.when(F.col("id") == 0, "rare").otherwise("big").alias("source"), F.lit(1).alias("n_copies"))
+    weights = {"rare": 1.0, "big": 1.0}
+    rate = {r["__source"]: r.rate for r in mixing.rates(rows, weights=weights).collect()}["rare"]
+    assert rate == pytest.approx(0.5 * (2 + 199 * 101) / 2)
+    out = mixing.mixed(rows, weights=weights).where("source = 'rare'").collect()
+    assert abs(len(out) - rate) < 5 * rate**0.5 and sorted(r.copy_no for r in out) == list(range(1, len(out) + 1))
+    assert {r.n_copies for r in out} == {len(out)}
+
+
+def test_mixing_by_shuffled_salted_sources(spark, docs, monkeypatch):
+    key = lambda df: sorted(((r.doc_id, r.text, r.copy_no) for r in df.collect()), key=str)
+    want = key(mixing.mixed(docs))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert key(mixing.mixed(docs)) == want
+
+
+def test_token_files_with_added_tokens_and_lookup(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["x <|endoftext|> y", "<|startoftext|>", "a<|ENDOFTEXT|>b", "plain words", "<|endoftext", None]
+    rows = [(i * 10, t) for i, t in enumerate(texts)] + [(10, "another text of ten")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    out_dir = scratch.path("orc")
+    token_files.write(df, path, out_dir, 1)
+    got = Counter((r.doc_id, tuple(r.ids)) for r in token_files.read(spark, out_dir).collect())
+    assert got == Counter((i, (*library.encode(t or "", add_special_tokens=False).ids, 1)) for i, t in rows)
+    assert token_files.WordEncoder(path).splits
+    found = token_files.lookup(spark, out_dir, [10, 30])
+    assert sorted(r.doc_id for r in found.collect()) == [10, 10, 30]
+    assert "PushedFilters: [In(doc_id, [10,30])]" in found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_top_k_of_repeated_query_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [0.0, 3.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0, k=5, scale=1.0).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 2, 3), (0, 2, 1, 1)]
+
+
+@pytest.mark.parametrize("n_axes", [1, 3, 5])
+def test_vector_dedup_with_other_cells(spark, n_axes):
+    df = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>, label int")
+    key = lambda out: sorted(map(tuple, out.collect()))
+    assert key(vector_dedup.near_duplicates(df, tile=4, n_axes=n_axes)) == key(vector_dedup.near_duplicates(df))
+
+
+def test_quality_of_repeated_ids_and_long_texts(spark):
+    rows = [(i, ("good text here. " if i % 2 else "BAD!! ") * (3000 if i == 5 else 8)) for i in range(80)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    assert quality_mil.fit(docs, labels, sample_passages=50) is not None
+    out = quality_mil.judged(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in out) and len(out) == 160
+
+
+def test_sharding_of_a_group_over_half_a_shard(spark):
+    rows = [(i, "hot text", "s") for i in range(900)] + [(i, f"text {i}", "s") for i in range(900, 1500)] + [(1, "hot text", "s"), (None, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    out = sharding.sharded(df, shards=4, slots=512).collect()
+    sizes = [sum(r.size for r in out if r.shard == s) for s in range(4)]
+    assert len(out) == len(rows) and max(sizes) < 1.05 * min(sizes)
+    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out))) for s in range(4))
+
+
+def test_licenses_with_ties_repeats_and_long_texts(spark):
+    long = "word " * 30_000
+    rows = [(1, "Released under the MIT License.\nLicensed under CC BY 4.0."), (1, "Released under the MIT License.\nLicensed under CC BY 4.0."), (2, long + "\nReleased under the MIT License."), (None, "Released under the MIT License.")]
+    got = licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.licenses, r.best_license) for r in got) == [(0, "MIT", "MIT"), (1, "CC-BY-4.0,MIT", "CC-BY-4.0"), (1, "CC-BY-4.0,MIT", "CC-BY-4.0"), (2, "MIT", "MIT")]
