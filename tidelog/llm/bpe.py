@@ -9,7 +9,13 @@ is matched anew and grows, doubling, until one of its matches ends where a
 match of the right node ends, with LOOK characters to spare: matching goes on
 from equal places over equal text, so every later id of the right node stands.
 
-A null text is encoded as an empty one, without ids.
+Every text goes through the tree, down to leaves of some 50 matches; of a leaf
+each match's ids are looked up or, the first time, encoded.
+
+A null text is encoded as an empty one, without ids.  Very long texts make deep
+trees of the same leaves; a single match of any length is one leaf's at last.
+Repeated rows each give a row; `encoded` and `decoded` keep extra columns, and
+overwrite one of the output's name.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,31 +33,58 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import ready
 
+#: Fixed value: the one splitting pattern that LOOK is true of; its matches leave no gap.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters past a match's end on which it can depend: of the pattern's parts only contractions read two.
 LOOK = 3
+#: Matches whose ids a worker remembers, and the longest of them.
+KNOWN, LONGEST = 200_000, 64
+
+
+class _Pieces(dict):
+    """Ids of matches; filled on demand, emptied when full."""
+
+    def __init__(self, piece: Callable[[str], list[int]]):
+        self.piece = piece
+
+    def __missing__(self, match: str) -> list[int]:
+        ids = self.piece(match)
+        if len(match) <= LONGEST:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[match] = ids
+        return ids
 
 
 class TreeCodec:
-    """encode and decode over a balanced tree; piece(text) gives the ids of one match."""
+    """encode and decode over a balanced tree; piece(text) gives the ids of one match of PATTERN."""
 
-    def __init__(self, pattern: str, whole: Callable[[str], list[int]], piece: Callable[[str], list[int]], raw: Callable[[list[int]], bytes], leaf: int = 4096, window: int = 64):
-        self.find, self.whole, self.piece, self.raw = regex.compile(pattern), whole, piece, raw
+    def __init__(self, pattern: str, piece: Callable[[str], list[int]], raw: Callable[[list[int]], bytes], leaf: int = 256, window: int = 32):
+        if pattern != PATTERN:
+            raise ValueError("how far a match looks ahead is known of one pattern only")
+        self.matches, self.raw = regex.compile(pattern).findall, raw
+        self.ids_of = _Pieces(piece).__getitem__
         self.leaf, self.window = max(leaf, 2), max(window, 1)
 
     def encode(self, text: str) -> list[int]:
-        return self.whole(text) if len(text) <= self.leaf else self._node(text)[0]
+        return self._node(text)[0]
 
     def _node(self, text: str) -> tuple[list[int], int, int]:
         """Ids of text; then characters and ids from its last border that no text to the right can move."""
         if len(text) <= self.leaf:
-            return self.whole(text), *self._tail(text)
+            return self._leaf(text)
         middle = len(text) // 2
         return self.join(text[:middle], self._node(text[:middle]), text[middle:], self._node(text[middle:]))
 
-    def _tail(self, text: str) -> tuple[int, int]:
-        matches = list(self.find.finditer(text))
-        at = max((i for i, m in enumerate(matches) if m.start() < len(text) - LOOK), default=0)
-        return len(text) - (matches[at].start() if matches else 0), sum(len(self.piece(m.group())) for m in matches[at:])
+    def _leaf(self, text: str) -> tuple[list[int], int, int]:
+        matches = self.matches(text)
+        found = list(map(self.ids_of, matches))
+        size = count = 0
+        for m, ids in zip(reversed(matches), reversed(found)):
+            size, count = size + len(m), count + len(ids)
+            if size > LOOK:
+                break
+        return list(itertools.chain.from_iterable(found)), size, count
 
     def join(self, left: str, a: tuple[list[int], int, int], right: str, b: tuple[list[int], int, int]) -> tuple[list[int], int, int]:
         """The node of left + right from the nodes of both."""
@@ -60,26 +94,28 @@ class TreeCodec:
         while size < len(right):
             if found := self._resync(text + right[:size], right[:size], len(text)):
                 fresh, skipped, border = found
-                tail = b[1:] if len(right) - b[1] >= border else self._tail(left + right)
-                return kept + fresh + b[0][skipped:], *tail
+                if len(right) - b[1] >= border:
+                    return kept + fresh + b[0][skipped:], *b[1:]
+                break
             size *= 2
-        return kept + self.whole(text + right), *self._tail(left + right)
+        ids, *tail = self._leaf(text + right)
+        return kept + ids, *tail
 
     def _resync(self, joined: str, right: str, offset: int) -> tuple[list[int], int, int] | None:
         """Fresh ids up to a border that both matchings share, how many of the right node's ids they replace, and the border."""
         own, count, n = {0: 0}, 0, 0
-        for m in self.find.finditer(right):
-            count += len(self.piece(m.group()))
-            own[m.end()] = count
-        fresh: list[int] = []
-        for m in self.find.finditer(joined):
-            fresh += self.piece(m.group())
-            n = m.end() - offset
-            if n >= 0 and n in own and n <= len(right) - LOOK - 1:
+        for m in self.matches(right):
+            n, count = n + len(m), count + len(self.ids_of(m))
+            own[n] = count
+        fresh, n = [], -offset
+        for m in self.matches(joined):
+            n += len(m)
+            fresh += self.ids_of(m)
+            if n in own and 0 <= n <= len(right) - LOOK - 1:
                 return fresh, own[n], n
         return None
 
-    def decode(self, ids: list[int], leaf: int = 65536) -> bytes:
+    def decode(self, ids: list[int], leaf: int = 1024) -> bytes:
         if len(ids) <= leaf:
             return self.raw(ids)
         middle = len(ids) // 2
@@ -94,7 +130,7 @@ def rank_codec(path: str, pattern: str) -> TreeCodec:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return TreeCodec(pattern, encoding.encode_ordinary, encoding._encode_single_piece, encoding.decode_bytes)
+    return TreeCodec(pattern, encoding.encode_ordinary, encoding.decode_bytes)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
