@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from brute import components, cut_words, sets_of
 from pyspark.sql import functions as F
 
 from tidelog.llm import licenses, minhash, mixing, quality_mil, sharding, substring, token_files, topk, vector_dedup
@@ -35,25 +36,6 @@ def docs(spark):
     return spark.createDataFrame(corpus(), DOC)
 
 
-def sets_of(text, k):
-    w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else (frozenset([tuple(w)]) if w else frozenset())
-
-
-def components(nodes, links):
-    root = {n: n for n in nodes}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in links:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {n: find(n) for n in nodes}
-
-
 def brute_minhash(rows, k, percent):
     sets = {i: sets_of(t, k) for i, t, *_ in rows if i is not None}
     ids = sorted(sets)
@@ -155,17 +137,7 @@ def test_substring(spark, docs, monkeypatch, window, batch, fan, least):
     """Small batches, groups and fans make packets go through several steps."""
     for name, value in (("BATCH", batch), ("FAN", fan), ("LEAST", least), ("GROUP", least * 4)):
         monkeypatch.setattr(substring, name, value)
-    rows = [(i, (t or "").encode().split()) for i, t, *_ in corpus()]
-    first = {}
-    for i, w in rows:
-        for p in range(len(w) - window + 1):
-            if i is not None:
-                first[tuple(w[p : p + window])] = min(i, first.get(tuple(w[p : p + window]), i))
-    want = []
-    for i, w in rows:
-        gone = {p + j for p in range(len(w) - window + 1) if i is not None and first[tuple(w[p : p + window])] < i for j in range(window)}
-        kept = b" ".join(x for n, x in enumerate(w) if n not in gone)
-        want.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    want = [(i, len(kept) + gone, gone, hashlib.sha256(b" ".join(kept)).hexdigest()) for i, kept, gone in cut_words([r[:2] for r in corpus()], window)]
     got = [tuple(r) for r in substring.digests(docs, window).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     cut = substring.deduplicated(docs, window)
