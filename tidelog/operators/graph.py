@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.text import tokens
 
 #: Forms of address that begin a name.
-HONORIFICS = ("mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam")
+HONORIFICS = ("mr", "mrs", "ms", "mx", "miss", "dr", "prof", "professor", "sir", "madam", "rev")
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -25,10 +25,11 @@ def consolidated(pairs: DataFrame) -> DataFrame:
 
 
 def normal_name(name):
-    """A person's name as tokens in lower case, a leading form of address dropped while two tokens remain."""
+    """A person's name as tokens in lower case, leading forms of address dropped while more than one token remains."""
+    step = lambda kept, word: F.when((F.size(kept) == 0) & word.isin(*HONORIFICS), kept).otherwise(F.concat(kept, F.array(word)))
     words = tokens(name)
-    first = F.try_element_at(words, F.lit(1))
-    return F.when((F.size(words) > 2) & first.isin(*HONORIFICS), F.slice(words, 2, F.size(words))).otherwise(words)
+    kept = F.aggregate(words, F.array().cast("array<string>"), step)
+    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(words, F.greatest(F.size(words), F.lit(1)), F.lit(1)))
 
 
 def local_tokens(email):

@@ -1,8 +1,10 @@
 """Finding moments: lexical and vector scores, ranks, fusion, evidence.
 
-BM25 works without an index: one pass gives document frequencies and lengths of
-the query's terms as a single row, a second scores every text in a projection.
-Nothing but that row and the best k rows is exchanged.
+BM25 works with or without an index.  `bm25` scans: one pass gives document
+frequencies and lengths of the query's terms as a single row, a second scores
+every text in a projection; nothing but that row and the best k rows is
+exchanged.  `write_index` stores postings by a hash of the term and one row of
+statistics; `indexed_bm25` reads the parts of its terms and no text.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 SEMANTIC, LEXICAL, RECENCY, ENTITY, SOURCE = 0.40, 0.30, 0.10, 0.15, 0.05
 HALF_LIFE_H, POOL = 24.0, 200
 HOUR, DAY = 3_600_000_000, 86_400_000_000
+#: Each side of an anchor.
+ANCHOR = 300_000_000
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
@@ -87,7 +91,9 @@ def bm25(rows: DataFrame, wanted: list[list[str]], text: str = "text", every: bo
         return rows.where(F.lit(False)).withColumn(out, F.lit(0.0))
     words = rows.withColumn("__w", tokens(F.col(text)))
     words = words.select(*rows.columns, F.size("__w").alias("__dl"), F.concat(F.lit(" "), F.array_join("__w", "  "), F.lit(" ")).alias("__w"))
-    counted = words.select(*rows.columns, "__dl", *[_hits(F.col("__w"), p).alias(f"__tf{i}") for i, p in enumerate(wanted)])
+    # A generated row of counts, through which no condition moves: else each condition would cut the text into words again.
+    counts = F.struct(*[_hits(F.col("__w"), p).alias(f"__tf{i}") for i, p in enumerate(wanted)])
+    counted = words.select(*rows.columns, "__dl", F.explode(F.array(counts)).alias("__tf")).select(*rows.columns, "__dl", "__tf.*")
     tf = [F.col(f"__tf{i}") for i in range(len(wanted))]
     corpus = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(t > 0).alias(f"__df{i}") for i, t in enumerate(tf)])  # one row
     keep = tf[0] > 0
@@ -96,12 +102,40 @@ def bm25(rows: DataFrame, wanted: list[list[str]], text: str = "text", every: bo
     scored = counted.where(keep).join(F.broadcast(corpus))
     total = F.lit(0.0)
     for i, t in enumerate(tf):
-        df = F.col(f"__df{i}")
-        idf = F.greatest(F.log((F.col("__n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        total = total + idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))
+        total = total + _weight(t, F.col(f"__df{i}"), F.col("__n"), F.col("__dl"), F.col("__avg"))
     return scored.select(*rows.columns, total.alias(out))
 
 
+def _weight(tf, df, n, dl, avg):
+    """The part of one term in a text's BM25 score."""
+    idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
+
+
+def write_index(rows: DataFrame, folder: str, text: str = "text", parts: int = 64) -> None:
+    """Postings (term, id, tf, dl) of rows (id, text) in `folder`/postings by a hash of the term; one row in `folder`/corpus."""
+    words = rows.select("id", tokens(F.col(text)).alias("w"))
+    terms = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    postings = terms.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))  # a text's own terms meet before the shuffle
+    postings = postings.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    dealt = postings.repartition("part", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("part", "term", "id")  # a frequent term spreads over 8 files
+    dealt.write.partitionBy("part").parquet(f"{folder}/postings")
+    words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg")).write.parquet(f"{folder}/corpus")
+
+
+def indexed_bm25(spark: SparkSession, folder: str, terms: list[str], every: bool = True, parts: int = 64, out: str = "score") -> DataFrame:
+    """(id, score) of the texts that have all (or any) of the terms, from the index alone."""
+    terms = list(dict.fromkeys(terms))
+    own = spark.createDataFrame([(t,) for t in terms], "term string").withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    wanted = sorted({r.part for r in own.select("part").collect()})  # of the question's own terms
+    found = spark.read.parquet(f"{folder}/postings").where(F.col("part").isin(wanted) & F.col("term").isin(terms))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the question
+    corpus = spark.read.parquet(f"{folder}/corpus")
+    weighed = found.join(F.broadcast(df), "term").join(F.broadcast(corpus))
+    scores = weighed.groupBy("id").agg(F.count("*").alias("n_terms"), F.sum(_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avg"))).alias(out))
+    return scores.where(F.col("n_terms") >= (len(terms) if every else 1)).select("id", out)
+
+
 def relaxed(rows: DataFrame, text: str, column: str = "text") -> DataFrame:
     """All terms if any row has them, else any of the content terms; `relaxed` says which."""
     strict = bm25(rows, phrases(text), column)
@@ -140,9 +174,18 @@ def fused(semantic: DataFrame, lexical: DataFrame, facts: DataFrame, k: int) ->
     semantic, lexical: (id, score), each the best of its arm; facts: (id,
     recency, mentions, source) of at least the ids of both.
     """
+    return ranked(pooled(semantic, lexical).join(facts, "id"), k)
+
+
+def pooled(semantic: DataFrame, lexical: DataFrame) -> DataFrame:
+    """(id, rr_semantic, rr_lexical): at most twice POOL rows, small enough to broadcast."""
     sem = reciprocal(semantic, "score", "rr_semantic").select("id", "rr_semantic")
     lex = reciprocal(lexical, "score", "rr_lexical").select("id", "rr_lexical")
-    pool = sem.join(lex, "id", "full").join(facts, "id")
+    return sem.join(lex, "id", "full")
+
+
+def ranked(pool: DataFrame, k: int) -> DataFrame:
+    """The k best of a pool of (id, rr_semantic, rr_lexical, recency, mentions, source)."""
     most = F.max("mentions").over(W.partitionBy(F.lit(0)))  # a pool of at most twice POOL rows
     entity = F.when(most > 0, F.col("mentions") / most).otherwise(0.0)
     rr = lambda c: F.coalesce(c, F.lit(0.0))

@@ -269,7 +269,7 @@ def span_scores(spark, sf):
     return out.select("doc", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")])
 
 
-@query(r"""WITH d AS (SELECT doc_id AS id, text FROM documents WHERE doc_id < 300), f AS (SELECT doc_id AS id, source AS fact FROM documents WHERE doc_id < 300 UNION ALL SELECT doc_id, 'the' FROM documents WHERE doc_id < 300)
+@query(r"""WITH d AS (SELECT doc_id AS id, text FROM documents), f AS (SELECT doc_id AS id, source AS fact FROM documents UNION ALL SELECT doc_id, 'the' FROM documents)
 SELECT d.id, contains(lower(text), 'stupid')::INT + contains(lower(text), 'idiot')::INT AS forbidden, 0 AS citations, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS words,
 len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) BETWEEN 20 AND 400 AS fits, c.coverage FROM d JOIN (SELECT d.id, avg(contains(lower(text), lower(fact))::INT) AS coverage FROM d JOIN f USING (id) GROUP BY d.id) c USING (id)""")
 def digest_scores(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidelog.functions.text import content_terms, coverage, long_words, restates
@@ -9,7 +11,7 @@ from tidelog.functions.urls import source_quality
 from tidelog.operators import search as s
 from tidelog.operators.store import top_per_group
 from tidelog.plans.registry import query
-from tidelog.sources.tables import micros, table
+from tidelog.sources.tables import micros, shared_folder, table
 
 #: 2024-01-31 in microseconds.
 NOW = 1_706_659_200_000_000
@@ -38,6 +40,15 @@ def bm25_search(spark, sf):
     return s.best(found.select("id", F.round("score", 6).alias("score")), 50)
 
 
+@query(f"WITH {_bm25(['the', 'that', 'with'], True)}, r AS (SELECT id, round(score, 6) AS score FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 50")
+def bm25_by_index(spark, sf):
+    """The same question as bm25_search, over postings written first."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    s.write_index(docs(spark, sf), folder)
+    found = s.indexed_bm25(spark, folder, ["the", "that", "with"])
+    return s.best(found.select("id", F.round("score", 6).alias("score")), 50)
+
+
 @query(f"WITH {_bm25(['stupid', 'idiot', 'licensed'], False)}, r AS (SELECT id, round(score, 6) AS score FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 50")
 def bm25_alternatives(spark, sf):
     found = s.bm25(docs(spark, sf), [["stupid"], ["idiot"], ["licensed"]], every=False)
@@ -111,8 +122,10 @@ def hybrid_recall(spark, sf):
     lexical = s.bm25(d, [[w] for w in ("stupid", "idiot", "the", "licensed")], every=False).select("id", F.round("score", 6).alias("score"))
     mentions = F.size(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: w.isin("apache", "mit", "gnu")))
     times = table(spark, sf, "events").select(F.col("event_id").alias("id"), s.recency(micros("ts"), NOW, 240.0).alias("recency"))
-    facts = d.select("id", mentions.alias("mentions"), F.lit(0.68).alias("source")).join(times, "id")
-    found = s.fused(s.best(vectors(spark, sf), s.POOL).select("id", "score"), s.best(lexical, s.POOL), facts, 10)
+    pool = s.pooled(s.best(vectors(spark, sf), s.POOL).select("id", "score"), s.best(lexical, s.POOL))
+    # Facts of the pool's rows only: the pool is broadcast to the texts and to the times.
+    pool = times.join(F.broadcast(d.select("id", "text").join(F.broadcast(pool), "id")), "id")
+    found = s.ranked(pool.withColumns({"mentions": mentions, "source": F.lit(0.68)}), 10)
     return found.select("id", F.round("score", 6).alias("score"))
 
 
@@ -155,19 +168,17 @@ def mmr(spark, sf):
     return s.diverse(pool, ["source"]).select("source", "id", "score", "place")
 
 
-@query("""WITH a AS (SELECT epoch_us(ts) AS t FROM events WHERE event_id = 0)
-SELECT event_id AS id FROM events, a WHERE epoch_us(ts) BETWEEN t - 3600000000 AND t + 3600000000""")
+@query(f"""WITH {_VEC}, a AS (SELECT epoch_us(ts) AS t FROM events WHERE event_id = (SELECT id FROM vs ORDER BY score DESC, id LIMIT 1))
+SELECT event_id AS id FROM events, a WHERE epoch_us(ts) BETWEEN t - 300000000 AND t + 300000000""")
 def anchor_window(spark, sf):
     """Moments about the best vector hit of a question (the probe's own)."""
     anchor = s.best(vectors(spark, sf), 1).select("id")
     rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), micros("ts").alias("ts_us"))
     at = rows.join(F.broadcast(anchor), "id").select(F.col("ts_us").alias("t"))  # one row
-    return rows.join(F.broadcast(at), F.col("ts_us").between(F.col("t") - s.HOUR, F.col("t") + s.HOUR)).select("id")
+    return rows.join(F.broadcast(at), F.col("ts_us").between(F.col("t") - s.ANCHOR, F.col("t") + s.ANCHOR)).select("id")
 
 
-@query(r"""SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t: length(t) >= 3)) AS w FROM documents WHERE n_chars < 250) a
-JOIN (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t: length(t) >= 3)) AS w FROM documents WHERE n_chars < 250) b
-ON a.doc_id < b.doc_id AND len(list_intersect(a.w, b.w)) >= 2 AND len(list_intersect(a.w, b.w)) * 5 >= least(len(a.w), len(b.w)) * 3""")
+@query()
 def restated_lines(spark, sf):
     """Pairs of texts of which one restates the other, met over the rarest words of the smaller."""
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), long_words(F.col("text")).alias("words")).where(F.size("words") >= 2)

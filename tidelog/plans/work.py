@@ -74,8 +74,8 @@ def overlap_resolution(spark, sf):
     return w.without_overlaps(rows, ["doc"])
 
 
-@query("""WITH l AS (SELECT l_orderkey AS frame, l_linenumber AS line, l_partkey % 100 AS x, l_suppkey % 100 AS y FROM lineitem WHERE l_orderkey < 2000),
-v AS (SELECT o_orderkey + d AS frame, o_custkey AS win, o_orderkey % 5 + d AS z, o_custkey % 40 AS a, o_custkey % 30 AS b FROM orders, range(3) AS t(d) WHERE o_orderkey < 2000)
+@query("""WITH l AS (SELECT l_orderkey AS frame, l_linenumber AS line, l_partkey % 100 AS x, l_suppkey % 100 AS y FROM lineitem),
+v AS (SELECT o_orderkey + d AS frame, o_custkey AS win, o_orderkey % 5 + d AS z, o_custkey % 40 AS a, o_custkey % 30 AS b FROM orders, range(3) AS t(d))
 SELECT frame, line, win AS "window" FROM (SELECT * FROM l JOIN v USING (frame) WHERE x BETWEEN a AND a + 60 AND y BETWEEN b AND b + 60) QUALIFY row_number() OVER (PARTITION BY frame, line ORDER BY z, win) = 1""")
 def window_attribution(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 100).alias("x"), (F.col("l_suppkey") % 100).alias("y"))
@@ -106,11 +106,11 @@ def transcript_project_state(spark, sf):
     return w.project_state(table(spark, sf, "conversations").withColumnRenamed("conv_id", "session"))
 
 
-@query(r"""WITH l AS (SELECT conv_id, turn, regexp_replace(left(text, 60), chr(10), ' ', 'g') AS line FROM conversations), u AS (SELECT *, sum(len(regexp_split_to_array(trim(line), '\s+'))) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS used FROM l),
-f AS (SELECT conv_id, string_agg('- ' || line, chr(10) ORDER BY turn) AS markdown, max(used) AS tokens FROM u WHERE used <= 40 GROUP BY conv_id) SELECT *, sha256(markdown) AS digest FROM f""")
+@query(r"""WITH l AS (SELECT conv_id, turn, regexp_replace(text, chr(10), ' ', 'g') AS line FROM conversations), u AS (SELECT *, sum(len(regexp_split_to_array(trim(line), '\s+'))) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS used FROM l),
+f AS (SELECT conv_id, string_agg('- ' || line, chr(10) ORDER BY turn) AS markdown, max(used) AS tokens FROM u WHERE used <= 400 GROUP BY conv_id) SELECT *, sha256(markdown) AS digest FROM f""")
 def handoff_render(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(F.left("text", F.lit(60)), "\n", " ").alias("line"))
-    return w.render(rows, ["conv_id"], "line", "turn", 40)
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace("text", "\n", " ").alias("line"))
+    return w.render(rows, ["conv_id"], "line", "turn", 400)
 
 
 @query("""WITH d AS (SELECT doc_id, text, greatest(coalesce(nullif(strpos(lower(text), 'licensed'), 0), 1) - 80, 1) AS b FROM documents)

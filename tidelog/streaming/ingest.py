@@ -13,14 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.tables import shared_folder
+
 #: How late a moment may come.
 LATE = "10 minutes"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir where it is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/tidelog-stream/{name}-{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share."""
+    return f"{shared_folder(spark)}/tidelog-stream/{name}-{uuid.uuid4().hex}"
 
 
 def files(spark: SparkSession, folder: str, pattern: str, schema, kind: str = "parquet", per_batch: int = 64) -> DataFrame:
