@@ -90,9 +90,11 @@ def bm25(rows: DataFrame, wanted: list[list[str]], text: str = "text", every: bo
     if not wanted:
         return rows.where(F.lit(False)).withColumn(out, F.lit(0.0))
     words = rows.withColumn("__w", tokens(F.col(text)))
-    words = words.select(*rows.columns, F.size("__w").alias("__dl"), F.concat(F.lit(" "), F.array_join("__w", "  "), F.lit(" ")).alias("__w"))
+    joined = F.concat(F.lit(" "), F.array_join("__w", "  "), F.lit(" ")) if any(len(p) > 1 for p in wanted) else F.lit(None)
+    words = words.select(*rows.columns, "__w", F.size("__w").alias("__dl"), joined.cast("string").alias("__joined"))
     # A generated row of counts, through which no condition moves: else each condition would cut the text into words again.
-    counts = F.struct(*[_hits(F.col("__w"), p).alias(f"__tf{i}") for i, p in enumerate(wanted)])
+    times = lambda p: _hits(F.col("__joined"), p) if len(p) > 1 else F.size("__w") - F.size(F.array_remove("__w", p[0]))
+    counts = F.struct(*[times(p).alias(f"__tf{i}") for i, p in enumerate(wanted)])
     counted = words.select(*rows.columns, "__dl", F.explode(F.array(counts)).alias("__tf")).select(*rows.columns, "__dl", "__tf.*")
     tf = [F.col(f"__tf{i}") for i in range(len(wanted))]
     corpus = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(t > 0).alias(f"__df{i}") for i, t in enumerate(tf)])  # one row
