@@ -291,3 +291,45 @@ def meeting(left: DataFrame, right: DataFrame, share: float, keys: list[str] | N
 
     one = met(rarest(left), spread(right), "a", "b", F.col("n_few") <= F.col("n_many"))
     return one.union(met(rarest(right), spread(left), "b", "a", F.col("n_few") < F.col("n_many"))).distinct()
+
+
+def routed(rows: DataFrame, now: int, text: str = "text") -> DataFrame:
+    """rows of questions with shape, start and end: `route` for a whole table."""
+    q = F.lower(F.coalesce(F.col(text), F.lit("")))
+    any_of = lambda parts: F.array_max(F.array(*[q.contains(p) for p in parts]))
+    before = lambda days: F.lit(max(0, now - days * DAY))
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    found = (
+        F.when(q.contains("yesterday"), span(before(2), before(1)))
+        .when(any_of([f"this {p}" for p in ("morning", "afternoon", "evening")]), span(before(1), F.lit(now)))
+        .when(any_of(["last week", *(f"last {d}" for d in WEEKDAYS)]), span(before(14), before(7)))
+        .when(any_of(WEEKDAYS), span(before(7), F.lit(now)))
+    )
+    anchor = any_of([f"{how} {side} " for how in ("right", "just") for side in ("before", "after")])
+    out = rows.withColumn("__range", F.when(~anchor, found))
+    shape = F.when(anchor, "anchor").when(F.col("__range").isNotNull(), "range").otherwise("plain")
+    return out.select(*rows.columns, shape.alias("shape"), F.col("__range.start").alias("start"), F.col("__range.end").alias("end"))
+
+
+def expanded_rows(questions: DataFrame, groups: DataFrame, text: str = "text") -> DataFrame:
+    """(id, spelling): every spelling of each alias group that has one in a question's text.  groups: (group, spelling).
+
+    Spellings match inside words too, so the join is no equi-join: groups, the
+    few a user keeps, are broadcast behind a check of their number.
+    """
+    n = groups.count()
+    if n > 100_000:
+        raise ValueError("too many alias spellings to broadcast")
+    found = questions.join(F.broadcast(groups), F.lower(F.col(text)).contains(F.lower("spelling"))).select("id", "group").distinct()
+    return found.join(F.broadcast(groups), "group").select("id", "spelling").distinct()
+
+
+def proposition_terms(text: str, most: int = 24) -> list[str]:
+    """The sorted distinct words of three characters or more, the first `most`."""
+    return sorted({w for w in re.findall(r"[^\W_]+", text.lower()) if len(w) >= 3})[:most]
+
+
+def propositions_about(rows: DataFrame, question: str) -> DataFrame:
+    """Propositions (id, text, reasoning) with any of a question's words in either column, with their BM25 score."""
+    both = rows.withColumn("__both", F.concat_ws(" ", "text", "reasoning"))
+    return bm25(both, [[w] for w in proposition_terms(question)], "__both", every=False).drop("__both")

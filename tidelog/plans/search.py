@@ -200,3 +200,46 @@ def hit_enrichment(spark, sf):
 @query(f"""SELECT doc_id, len({_TERMS.format('text')}) AS n_terms FROM documents""")
 def content_term_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(content_terms(F.col("text"))).cast("long").alias("n_terms"))
+
+
+_DAYS = "|".join(s.WEEKDAYS)
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, lower(text) || [' yesterday', ' just before that', ' last friday', ' on monday', ' this evening', ''][turn % 6 + 1] AS t FROM conversations),
+a AS (SELECT *, regexp_matches(t, '(right|just) (before|after) ') AS anchor FROM q),
+r AS (SELECT *, CASE WHEN anchor THEN NULL WHEN contains(t, 'yesterday') THEN [2, 1] WHEN regexp_matches(t, 'this (morning|afternoon|evening)') THEN [1, 0]
+  WHEN regexp_matches(t, 'last (week|{_DAYS})') THEN [14, 7] WHEN regexp_matches(t, '{_DAYS}') THEN [7, 0] END AS d FROM a)
+SELECT conv_id, turn, CASE WHEN anchor THEN 'anchor' WHEN d IS NOT NULL THEN 'range' ELSE 'plain' END AS shape,
+greatest({NOW} - coalesce(d[1], 99) * {s.DAY}, {NOW - 10 * s.DAY})::BIGINT AS "start", least({NOW} - coalesce(d[2], 0) * {s.DAY}, {NOW - s.DAY})::BIGINT AS "end" FROM r""")
+def question_routes(spark, sf):
+    """Shape and coarse range of each question, met with a filter of the ten days up to one day ago."""
+    ends = F.element_at(F.array(*map(F.lit, (" yesterday", " just before that", " last friday", " on monday", " this evening", ""))), (F.col("turn") % 6 + 1).cast("int"))
+    rows = table(spark, sf, "conversations").withColumn("text", F.concat("text", ends))
+    out = s.routed(rows, NOW)
+    return out.select("conv_id", "turn", "shape", F.greatest("start", F.lit(NOW - 10 * s.DAY)).alias("start"), F.least("end", F.lit(NOW - s.DAY)).alias("end"))
+
+
+@query("""WITH q AS (SELECT n_nationkey AS id, 'What came from ' || upper(n_name) || ' then' AS text FROM nation), g AS (SELECT n_regionkey AS grp, n_name AS spelling FROM nation WHERE n_nationkey % 2 = 0)
+SELECT DISTINCT q.id, o.spelling FROM q JOIN g ON contains(lower(q.text), lower(g.spelling)) JOIN g o ON o.grp = g.grp""")
+def alias_expansion(spark, sf):
+    nation = table(spark, sf, "nation")
+    questions = nation.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("What came from "), F.upper("n_name"), F.lit(" then")).alias("text"))
+    groups = nation.where("n_nationkey % 2 = 0").select(F.col("n_regionkey").alias("group"), F.col("n_name").alias("spelling"))
+    return s.expanded_rows(questions, groups)
+
+
+@query("""WITH o AS (SELECT l_orderkey AS question, count(*) FILTER (WHERE l_linenumber > 1) AS hits, bool_or(l_discount > 0.09) AS vetoed, avg(l_tax) < 0.04 AS supported, l_orderkey % 4 <> 0 AS embedded, l_orderkey % 3 = 0 AS unqualified FROM lineitem GROUP BY l_orderkey)
+SELECT question, CASE WHEN hits = 0 THEN 'nothing_matched' WHEN vetoed THEN 'contradicted' WHEN NOT embedded THEN 'degraded: no embeddings' WHEN unqualified THEN 'degraded: not qualified' WHEN supported THEN 'matched' ELSE 'nothing_matched' END AS outcome FROM o""")
+def recall_outcomes(spark, sf):
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("question"))
+    rows = rows.agg(F.count_if(F.col("l_linenumber") > 1).alias("hits"), F.max(F.col("l_discount") > 0.09).alias("vetoed"), (F.avg("l_tax") < 0.04).alias("supported"))
+    supported = F.when(F.col("question") % 3 != 0, F.col("supported"))
+    return rows.select("question", s.outcome(F.col("hits"), F.col("vetoed"), supported, F.col("question") % 4 != 0).alias("outcome"))
+
+
+@query(f"WITH {_bm25(['and', 'apache', 'license', 'the', 'under'], False).replace('FROM documents)', 'FROM (SELECT doc_id, concat_ws(chr(32), text, source) AS text FROM documents))')}, r AS (SELECT id, round(score, 6) AS score FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 30")
+def proposition_search(spark, sf):
+    """Words of the question, over a proposition's text and reasoning."""
+    rows = docs(spark, sf).select("id", "text", F.col("source").alias("reasoning"))
+    found = s.propositions_about(rows, "under the Apache license, and")
+    return s.best(found.select("id", F.round("score", 6).alias("score")), 30)

@@ -161,3 +161,27 @@ def work_items(spark, sf):
         F.count("*").alias("moments"), F.countDistinct("day").alias("days"), F.max("ts_us").alias("last_us"), F.countDistinct("device").alias("devices"),
         F.count_if(F.col("day") > F.col("last_day") - 14).alias("recent_14"), F.count_if(F.col("day") > F.col("last_day") - 7).alias("recent_7"),
     )
+
+
+@query(f"""WITH {M}, sp AS (SELECT id, device, app, ts_us FROM m WHERE k % 5 = 0), f AS (SELECT device, app, ts_us, k FROM m WHERE k % 5 <> 0),
+j AS (SELECT sp.id, sp.app, sp.ts_us, f.k, f.ts_us AS ft FROM sp ASOF LEFT JOIN f ON sp.device = f.device AND sp.app = f.app AND sp.ts_us + 5000000 >= f.ts_us)
+SELECT id, CASE WHEN app <> 'view' THEN app WHEN ts_us - ft < 900000000 THEN 'page ' || k ELSE 'view' END AS kind FROM j""")
+def kind_of_span(spark, sf):
+    """A span's kind: that of its application or, for research, of the page last seen there up to 5 s after its start, under 15 min old."""
+    m = moments(spark, sf)
+    key = F.concat_ws("/", "device", "app").alias("key")
+    spans = m.where("k % 5 = 0").select("id", "app", key, F.col("ts_us").alias("start_us"), (F.col("ts_us") + 5_000_000).alias("ts_us"))
+    pages = m.where("k % 5 <> 0").select(key, "ts_us", F.concat(F.lit("page "), F.col("k")).alias("page"))
+    seen = t.as_of(spans, pages, "key", "page", 15 * t.MINUTE + 5_000_000 - 1)
+    return seen.select("id", F.when(F.col("app") == "view", F.coalesce("page", F.lit("view"))).otherwise(F.col("app")).alias("kind"))
+
+
+@query(f"""WITH {M}, s AS (SELECT device, id AS item, ts_us - {10 * 60_000_000} AS a, ts_us + {HOUR} + {10 * 60_000_000} AS b FROM m WHERE app = 'signup')
+SELECT s.item, m.id FROM s JOIN m ON m.device = s.device AND m.ts_us >= s.a AND m.ts_us < s.b WHERE m.id <> s.item""")
+def near_items(spark, sf):
+    """Moments within ten minutes of an item's span, which here lasts an hour."""
+    m = moments(spark, sf)
+    near = 10 * t.MINUTE
+    spans = m.where("app = 'signup'").select("device", F.col("id").alias("item"), (F.col("ts_us") - near).alias("start_us"), (F.col("ts_us") + HOUR + near).alias("end_us"))
+    found = t.points_in_intervals(m.select("device", "id", "ts_us"), spans, "device", HOUR)
+    return found.where("id <> item").select("item", "id")
