@@ -177,6 +177,78 @@ def test_secrets_are_masked_before_entities(spark):
     assert rows.select(extract.secret_kinds(F.col("text"))).first()[0] == ["aws_access_key"]
 
 
+def test_entity_kinds(spark):
+    uuid, ulid, eth = "123E4567-e89b-12d3-a456-426614174000", "01ARZ3NDEKTSV4RRFFQ69G5FAV", "0x" + "aB" * 20
+    sol, wif = "So" + "1" * 41, "5" + "K" * 50
+    cases = [
+        ("https://Example.COM/Path?Q=1#Frag).", "url", "https://example.com/Path?Q=1#Frag"),
+        ("Me@X.org", "email", "me@x.org"),
+        ("+1 415 555 1234", "phone", "14155551234"),
+        ("192.168.0.255", "ip_address", "192.168.0.255"),
+        ("2001:DB8:0:0:0:0:0:1", "ip_address", "2001:db8:0:0:0:0:0:1"),
+        ("bc1q" + "w" * 30, "crypto_address", "bc1q" + "w" * 30),
+        ("1" + "A" * 30, "crypto_address", "1" + "A" * 30),
+        (eth, "crypto_address", eth),
+        (sol, "crypto_address", sol),
+        ("(#42)", "github_ref", "42"),
+        (ulid.lower(), "ulid", ulid),
+        ("see [/usr/local/bin]", "file_path", "/usr/local/bin"),
+        ("[REDACTED:SMS_OTP]", "redacted_token", "cascade_redacted"),
+        (wif, "redacted_token", "bitcoin_wif"),
+        ("sk_live_" + "a" * 24, "redacted_token", "stripe_api_key"),
+        ("ghp_" + "a" * 36, "redacted_token", "github_pat"),
+        ("eyJ" + "a" * 8 + "." + "b" * 8 + "." + "c" * 4, "redacted_token", "jwt"),
+    ]
+    rows = spark.createDataFrame([(i, f"é \x01{t} end") for i, (t, _, _) in enumerate(cases)], "id long, text string")
+    got = {(r.id, r.kind, r.name, r.n) for r in extract.mentions(rows).collect()}
+    assert got == {(i, kind, name, 1) for i, (_, kind, name) in enumerate(cases)}
+    none = ["256.1.1.1", "12345", "x#42", "a/b", "AKIA" + "A" * 17, "", None]
+    assert extract.mentions(spark.createDataFrame([(i, t) for i, t in enumerate(none)], "id long, text string")).where("kind <> 'ip_address'").isEmpty()
+    # hexadecimal runs of a uuid can begin like a phone number: the span that begins first stays
+    first = extract.spans(F.lit(f"{uuid} é a@b.org, a@b.org/x/y"))
+    assert [(m["begin"], m["end"], m["kind"]) for m in spark.range(1).select(first).first()[0]] == [(0, 36, "uuid"), (39, 46, "email"), (48, 55, "email")]
+
+
+def test_spans_agree_with_a_plain_scan(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    bits = ["https://a.b/c.", "me@x.org", "1.2.3.4", " ", " (", ")", "#12", "/a/b/c", "+44 207 946 0123", "AKIA" + "B" * 16, "x", "é", ",", "[REDACTED:A]", "01ARZ3NDEKTSV4RRFFQ69G5FAV"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(300)]
+
+    def plain(t):
+        found, blank = [], re.sub(extract.SECRET, lambda m: " " * len(m[0]), t)
+        for order, (kind, form, before, pattern) in enumerate(extract.ENTITIES):
+            for m in re.finditer(f"({before})({pattern})".replace(r"\x{85}\p{Z}", "\x85\xa0").replace(r"\z", r"\Z"), t if form in dict(extract.SECRETS) else blank):
+                v = re.sub(r"[.,;:!?)\]}]+\Z", "", m[2]) if form == "url" else m[2]
+                if form != "phone" or sum(c.isdigit() for c in v) >= 10:
+                    found.append((m.start(2), m.start(2) + len(v), order, kind))
+        kept, reach = [], 0
+        for b, e, _, kind in sorted(found):
+            if b >= reach:
+                reach = e
+                kept.append((b, e, kind))
+        return kept
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: [(m["begin"], m["end"], m["kind"]) for m in r.m] for r in rows.select("id", extract.spans(F.col("text")).alias("m")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 1000
+
+
+def test_every_rule_fires_and_plain_texts_stay(spark):
+    from tidelog.plans.extract import _NOTICES
+
+    rows = spark.createDataFrame(list(enumerate(_NOTICES)), "id long, text string")
+    got = {r.id: r for r in extract.redacted(rows).collect()}
+    assert [name for i, (name, _) in enumerate(extract.RULES) if name in got[i].rules] == [name for name, _ in extract.RULES]
+    assert got[0].text == "[REDACTED:BANK_NOTIFICATION]" and got[2].text == "[REDACTED:SMS_OTP]" and "482" not in got[1].text
+    plain = ["Door code is the building, not a secret.", "Call 555-018-2734", "4821 Elm Street", "", None]
+    kept = extract.redacted(spark.createDataFrame(list(enumerate(plain)), "id long, text string")).orderBy("id").collect()
+    assert [(r.text, r.rules) for r in kept] == [(t or "", []) for t in plain]
+
+
 def test_chunks_pack_greedily(spark):
     rows = spark.createDataFrame([(1, "a b\nc\n\nd e f g"), (2, None)], "id long, text string")
     assert [(r.n, r.chunk) for r in extract.chunks(rows, 3).orderBy("n").collect()] == [(0, "a b\nc"), (1, "d e f g")]

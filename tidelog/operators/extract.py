@@ -1,7 +1,7 @@
 """Entities, secrets and personal data in texts: extraction, redaction, suppression.
 
 Each kind is one regular expression without look-around, so it stays in the JVM.
-Secrets are blanked before any other scan, so none becomes part of an entity.
+A secret is reported by its kind alone; its characters are in no result.
 """
 
 from __future__ import annotations
@@ -13,40 +13,103 @@ from pyspark.sql import functions as F
 
 #: Shapes of secrets; only their kind is ever reported.
 SECRETS = (
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("aws_access_key", r"(AKIA|ASIA)[0-9A-Z]{16}"),
-    ("github_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    ("stripe_key", r"(sk|rk)_(live|test)_[A-Za-z0-9]{16,}"),
-    ("bitcoin_wif", r"[5KL][1-9A-HJ-NP-Za-km-z]{50,51}"),
+    ("jwt", r"\beyJ[A-Za-z0-9_=-]{8,}\.[A-Za-z0-9_=-]{8,}\.[A-Za-z0-9_=-]{4,}\b"),
+    ("aws_access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
+    ("github_pat", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b"),
+    ("stripe_api_key", r"\b(?:sk|pk|rk)_(?:test|live)_[A-Za-z0-9]{24,}\b"),
+    ("bitcoin_wif", r"\b[5KL][1-9A-HJ-NP-Za-km-z]{50,51}\b"),
 )
-#: Shapes of entities, in the order in which they are looked for.
+#: Any of them.
+SECRET = "|".join(pattern for _, pattern in SECRETS)
+_SPACE = r"\s\x0B\x{85}\p{Z}"
+_OPENING = rf"^|[{_SPACE}(\[{{]"
+#: Shapes of entities, in the order that decides between equal spans: kind, form, what stands before, shape.
 ENTITIES = (
-    ("url", r"https?://[^\s<>\"']+"),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("ipv4", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
-    ("uuid", r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    ("ulid", r"[0-7][0-9A-HJKMNP-TV-Z]{25}"),
-    ("ethereum", r"0x[0-9a-fA-F]{40}"),
-    ("issue", r"[A-Z][A-Z0-9]+-[0-9]+"),
-    ("path", r"(~|\.)?(/[A-Za-z0-9._-]+){2,}"),
-    ("phone", r"\+?[0-9][0-9 ().-]{8,}[0-9]"),
+    ("redacted_token", "cascade_redacted", "", r"\[REDACTED:[A-Z_]+\]"),
+    *(("redacted_token", kind, "", pattern) for kind, pattern in SECRETS),
+    ("url", "url", "", rf"\bhttps?://[^{_SPACE}<>\"')\]}}]+"),
+    ("email", "email", "", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    ("phone", "phone", "", r"(?:\+\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,4}\b"),
+    ("ip_address", "ipv4", "", r"\b(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|[01]?\d?\d)){3}\b"),
+    ("ip_address", "ipv6", "", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"),
+    ("crypto_address", "bech32", "", r"\b(?:bc1|tb1)[a-z0-9]{25,62}\b"),
+    ("crypto_address", "base58", "", r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b"),
+    ("crypto_address", "ethereum", "", r"\b0x[a-fA-F0-9]{40}\b"),
+    ("crypto_address", "solana", "", r"\b[1-9A-HJ-NP-Za-km-z]{43,44}\b"),
+    ("github_ref", "github_ref", _OPENING, r"#\d{1,8}\b"),
+    ("uuid", "uuid", "", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"),
+    ("ulid", "ulid", "", r"\b[0-9A-HJ-KM-NP-TV-Za-hj-km-np-tv-z]{26}\b"),
+    ("file_path", "file_path", _OPENING, r"/(?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]+\b"),
+)
+#: What a sentence may leave at the end of an address.
+URL_END = r"[.,;:!?)\]}]+\z"
+_RUN = r"\b\d{3,4}[-\s]?\d{3,4}\b"
+#: Names of issuers, and words for codes, in the rules below.
+_ISSUERS = (
+    r"(?:Apple\s*ID|Apple\s*Pay|iCloud|Apple\s*Card|APPLECARD|JPMORGAN\s*CHASE|JPMorgan|Chase|BofA|Bank\s+of\s+America|"
+    r"WELLS\s*FARGO|Wells\s*Fargo|Capital\s*One|CapitalOne|Citi(?:bank)?|US\s*Bank|U\.S\.\s*Bank|PNC|Truist|TD\s*Bank|"
+    r"Goldman\s*Sachs|Marcus|Discover|Amex|American\s*Express|Charles\s*Schwab|Schwab|Fidelity|Venmo|Cash\s*App|"
+    r"PayPal|Zelle|Coinbase|Kraken|Robinhood|Ally(?:\s*Bank)?|USAA|Navy\s*Federal|Google|Microsoft|GitHub|Slack|Stripe|LinkedIn|"
+    r"Twitter|X\.com|Facebook|Instagram|Google\s*Authenticator|Authy|1Password|Duo|Microsoft\s*Authenticator)"
+)
+_BANKS = (
+    r"(?:Chase|JPMORGAN|JPMorgan|BofA|Bank\s+of\s+America|Wells\s*Fargo|WELLS\s*FARGO|Capital\s*One|CapitalOne|"
+    r"Citi(?:bank)?|US\s*Bank|PNC|Truist|TD\s*Bank|Discover|Amex|American\s*Express|Charles\s*Schwab|Schwab|"
+    r"Fidelity|Ally|USAA|Navy\s*Federal|Marcus|Apple\s*Card|APPLECARD)"
+)
+_NOTICE = (
+    r"(?:Fraud\s*Alert|Did\s+you\s+(?:make\s+a\s+charge|authorize|recognize)|charge\s+for\s+\$|confirm\s+a\s+recent\s+transaction|"
+    r"unusual\s+sign[-\s]?in|recent\s+transaction|Reply\s+(?:YES|NO|STOP|HELP|\d+\s*=\s*(?:YES|NO))|Reply\s+1\s*=\s*YES|sign[-\s]?in\s+attempt)"
+)
+_AFTER_ISSUER = (
+    r"(?:verification\s+code|security\s+code|authorization\s+code|identification\s+code|one[-\s]?time\s+code|one[-\s]?time\s+access\s+code|"
+    r"sign[-\s]?in\s+code|access\s+code|enroll(?:ment)?\s+code|passcode|OTP|verification|authenticate|sign[-\s]?in|verify)"
+)
+_RIGHT_ISSUERS = (
+    r"(?:Apple|Google|Microsoft|GitHub|Slack|Stripe|LinkedIn|Twitter|X|Facebook|Instagram|Meta|"
+    r"Chase|BofA|Wells\s*Fargo|Capital\s*One|Citi|Discover|PayPal|Venmo|Coinbase|Kraken|Robinhood|Marcus|Schwab)"
+)
+_LEFT_WORDS = (
+    r"(?:verification\s+code|security\s+code|authorization\s+code|identification\s+code|one[-\s]?time\s+(?:passcode|password|code|access\s+code)|"
+    r"sign[-\s]?in\s+code|access\s+code|enroll(?:ment)?\s+code|passcode|secret\s+code|temporary\s+code|reset\s+code|recovery\s+code|"
+    r"account[-\s]?recovery\s+code|your\s+code|your\s+OTP|OTP)"
+)
+_RIGHT_WORDS = (
+    r"(?:verification\s+code|security\s+code|authorization\s+code|sign[-\s]?in\s+code|access\s+code|one[-\s]?time\s+(?:passcode|password|code)|"
+    r"passcode|OTP|verification|reset\s+code|recovery\s+code|secret\s+code)"
+)
+_LABELS = (
+    r"(?:OTP|Code|Your\s+code|verification\s+code|security\s+code|access\s+code|PIN|authorization\s+code|sign[-\s]?in\s+code|"
+    r"reset\s+code|recovery\s+code|one[-\s]?time\s+(?:passcode|password|code))"
 )
-_CODE = r"[0-9]{3,4}[- ]?[0-9]{3,4}"
-_WORD = r"(verification code|security code|authorization code|one[- ]?time (passcode|password|code)|sign[- ]?in code|access code|passcode|reset code|recovery code|OTP)"
 #: Ordered rules of one-time codes and account notices; each runs on what those before it left.
 RULES = (
-    ("bank_notice", r"(?i)(chase|bank of america|wells fargo|capital one|citi(bank)?|discover|american express)[^\n\r]*(fraud alert|did you (authorize|recognize)|unusual sign[- ]?in)[^\n\r]*"),
-    ("ios_autofill", r"(?i)<#>\s*[0-9]{3,8} is your code[^\n\r]*@[A-Za-z0-9.-]+"),
-    ("android_retriever", r"(?i)\[#\]\s*[0-9]{3,8}"),
-    ("google_prefix", r"(?i)\bG-[0-9]{6}\b"),
-    ("keyword_left", rf"(?i){_WORD}[^\n\r]{{0,40}}?\b{_CODE}\b"),
-    ("keyword_right", rf"(?i)\b{_CODE}\b[^\n\r]{{0,40}}?{_WORD}"),
-    ("use_code", rf"(?i)\buse( code)? {_CODE} to (verify|confirm|access|sign[- ]?in)"),
-    ("password_reset", r"(?i)(reset your password|password reset|account recovery)[^\n\r]*"),
-    ("never_share", r"(?i)(never share|do not share)[^\n\r]*"),
+    ("bank-notification", rf"(?i)\b{_BANKS}\b[^\n\r]*?\b{_NOTICE}\b[^\n\r]*"),
+    (
+        "issuer-prefix-code",
+        rf"(?i)\b{_ISSUERS}\b[^.\n\r]*?\b(?:{_AFTER_ISSUER}|code|verify|verification|authenticate)\b[^.\n\r]*?{_RUN}|"
+        rf"\b{_ISSUERS}\b[^.\n\r]*?{_RUN}[^.\n\r]*?\b(?:is\s+your\s+(?:{_AFTER_ISSUER}|code|verification|verify)|to\s+(?:{_AFTER_ISSUER}|confirm|verify|access|sign[-\s]?in|enroll))\b",
+    ),
+    ("ios-autofill", r"(?i)<#>\s*\d{3,8}\s+is\s+your\s+code[^\n\r]*@[A-Za-z0-9.\-]+"),
+    ("android-sms-retriever", r"(?i)\[#\]\s*\d{3,8}(?:\s+is\s+your\s+(?:verification\s+code|code|OTP))?"),
+    ("auth-app-notification", rf"(?i)\b(?:Google\s*Authenticator|Authy|1Password|Duo|Microsoft\s*Authenticator)\b[^\n\r]{{0,60}}?{_RUN}"),
+    ("auth-app-dash", r"(?i)\b(?:one[-\s]?time\s+password|passcode|OTP)\b[^\n\r]{0,20}?\b\d{3}[-\s]\d{3}\b"),
+    ("keyword-left-digit", rf"(?i)\b{_LEFT_WORDS}\b[^\n\r]{{0,40}}?{_RUN}"),
+    ("digit-keyword-right", rf"(?i){_RUN}[^\n\r]{{0,40}}?\b(?:is\s+your|your)?\s*{_RIGHT_WORDS}\b"),
+    ("google-g-prefix", r"(?i)\bG-\d{6}\b"),
+    ("label-colon-digit", rf"(?i)\b{_LABELS}\s*[:\-]\s*\d{{3,4}}[-\s]?\d{{3,4}}\b"),
+    ("use-code-verb", rf"(?i)\b(?:Use\s+code|Use)\s+\d{{3,4}}[-\s]?\d{{3,4}}\s+to\s+(?:verify|confirm|access|sign[-\s]?in|authenticate|recover|enroll|complete)\b"),
+    ("digit-issuer-right", rf"(?i){_RUN}\s+is\s+your\s+{_RIGHT_ISSUERS}\b[^\n\r]*?\b(?:code|verification|security|sign[-\s]?in|passcode|OTP|access)\b"),
+    ("password-reset-prose", r"(?i)\b(?:click\s+(?:here\s+)?to\s+reset|reset\s+your\s+password|password\s+reset|account\s+recovery|recover\s+account|recover\s+your\s+account)\b[^\n\r]*"),
+    ("sentinel-never-share", r"(?i)\b(?:Don't\s+share\s+(?:this|it|with\s+anyone)|Never\s+share|We\s+will\s+never\s+call\s+to\s+ask|do\s+not\s+share)\b[^\n\r]*"),
 )
 
 
+def rule_mark(rule: str) -> str:
+    """What takes the place of a match of a rule."""
+    return "[REDACTED:BANK_NOTIFICATION]" if rule == "bank-notification" else "[REDACTED:SMS_OTP]"
+
+
 def masked(text):
     """text with every secret as a marker of its kind."""
     return reduce(lambda t, s: F.regexp_replace(t, s[1], f"[REDACTED:{s[0]}]"), SECRETS, F.coalesce(text, F.lit("")))
@@ -57,31 +120,72 @@ def secret_kinds(text):
     return F.array_compact(F.array(*[F.when(F.coalesce(text, F.lit("")).rlike(p), F.lit(k)) for k, p in SECRETS]))
 
 
-def canonical(kind, value):
-    """The form under which equal entities meet."""
-    scheme = F.regexp_extract(value, r"^([A-Za-z]+://[^/?#]*)", 1)
-    url = F.regexp_replace(F.concat(F.lower(scheme), F.substring(value, F.length(scheme) + 1, F.length(value))), r"[.,;:!?)\]]+$", "")
-    digits = F.regexp_replace(value, r"[^0-9]", "")
-    return F.when(kind == "email", F.lower(value)).when(kind == "url", url).when(kind == "phone", digits).when(kind.isin("uuid", "ethereum"), F.lower(value)).otherwise(value)
+def canonical(kind: str, form: str, value):
+    """The name under which equal entities meet; a secret has only its form's."""
+    if kind == "redacted_token":
+        return F.lit(form)
+    if form in ("email", "ipv6", "bech32", "uuid"):
+        return F.lower(value)
+    if form in ("phone", "github_ref"):
+        return F.regexp_replace(value, r"[^0-9]", "")
+    if form == "ulid":
+        return F.upper(value)
+    if form == "url":
+        site = F.regexp_extract(value, r"^([A-Za-z]+://[^/?#]*)", 1)
+        return F.concat(F.lower(site), F.substring(value, F.length(site) + 1, F.length(value)))
+    return value
+
+
+def spans(text):
+    """Entities of a text as an array of (begin, end, kind, name), in its order; positions count characters from 0.
+
+    Every shape is looked for in the whole text.  Secrets are blanked before any
+    other shape is, so an address with a secret in it ends where that begins.
+    Of spans that overlap the one that begins first stays, then the shorter,
+    then the one listed first.
+    """
+    clean = F.translate(F.coalesce(text, F.lit("")), _BEGIN + _END, "  ")
+    blank = F.array_join(F.transform(_pieces(clean, "", SECRET), lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)), "")
+    both = F.array(F.struct(clean.alias("clean"), blank.alias("blank")))  # bound to a variable, so that it is worked out once
+    return F.element_at(F.transform(both, _resolved), 1)
 
 
-def mentions(rows: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """(id, kind, name, n): entities of each text by canonical name, and how often it has them.
+def _resolved(t):
+    secret = {form for form, _ in SECRETS}
+    found = F.array_sort(F.concat(*[_found(t["clean"] if e[1] in secret else t["blank"], order, *e) for order, e in enumerate(ENTITIES)]))
+    state = F.struct(F.lit(0).alias("reach"), F.array().cast(_SPANS).alias("kept"))
+    fits = lambda s, m: m["begin"] >= s["reach"]
+    step = lambda s, m: F.struct(F.when(fits(s, m), m["end"]).otherwise(s["reach"]).alias("reach"), F.when(fits(s, m), F.array_append(s["kept"], m)).otherwise(s["kept"]).alias("kept"))
+    return F.aggregate(found, state, step, lambda s: F.transform(s["kept"], lambda m: m.dropFields("order")))
 
-    A kind is looked for in what the kinds before it left over.
-    """
-    left, parts = masked(F.col(text)), []
-    for kind, pattern in ENTITIES:
-        found = F.regexp_extract_all(left, F.lit(pattern), F.lit(0))
-        parts.append(_tagged(kind, found))
-        left = F.regexp_replace(left, pattern, " ")
-    spread = rows.select(id_, F.explode(F.concat(*parts)).alias("m")).select(id_, "m.kind", canonical(F.col("m.kind"), F.col("m.value")).alias("name"))
-    good = (F.col("kind") != "phone") | (F.length("name") >= 10)
-    return spread.where(good).groupBy(id_, "kind", "name").agg(F.count("*").alias("n"))
+
+_BEGIN, _END = "\x01", "\x02"
+_SPANS = "array<struct<begin:int,end:int,order:int,kind:string,name:string>>"
+
+
+def _pieces(clean, before: str, pattern: str):
+    """The text cut at the ends of matches: every second piece is one."""
+    return F.split(F.regexp_replace(clean, f"({before})({pattern})", f"$1{_BEGIN}$2{_END}"), f"[{_BEGIN}{_END}]")
 
 
-def _tagged(kind: str, found):
-    return F.transform(found, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+def _found(clean, order: int, kind: str, form: str, before: str, pattern: str):
+    """Spans of one shape; the pieces' lengths add up to positions."""
+    pieces = _pieces(clean, before, pattern)
+    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_SPANS).alias("found"))
+
+    def step(s, piece):
+        value = F.regexp_replace(piece, URL_END, "") if form == "url" else piece
+        span = F.struct(s["at"].alias("begin"), (s["at"] + F.length(value)).alias("end"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), canonical(kind, form, value).alias("name"))
+        good = s["inside"] & (F.length(span["name"]) >= 10) if form == "phone" else s["inside"]
+        return F.struct((s["at"] + F.length(piece)).alias("at"), (~s["inside"]).alias("inside"), F.when(good, F.array_append(s["found"], span)).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(pieces, state, step, lambda s: s["found"])
+
+
+def mentions(rows: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
+    """(id, kind, name, n): entities of each text by canonical name, and how often it has them; null texts have none."""
+    spread = rows.select(id_, F.explode(spans(F.col(text))).alias("m"))
+    return spread.groupBy(id_, F.col("m.kind").alias("kind"), F.col("m.name").alias("name")).agg(F.count("*").alias("n"))
 
 
 def redacted(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -89,7 +193,7 @@ def redacted(rows: DataFrame, text: str = "text") -> DataFrame:
     out, hits = F.coalesce(F.col(text), F.lit("")), []
     for name, pattern in RULES:
         hits.append(F.when(out.rlike(pattern), F.lit(name)))
-        out = F.regexp_replace(out, pattern, "[REDACTED]")
+        out = F.regexp_replace(out, pattern, rule_mark(name))
     return rows.withColumns({"rules": F.array_compact(F.array(*hits)), text: out})
 
 

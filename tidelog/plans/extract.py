@@ -41,15 +41,23 @@ def secret_refusal(spark, sf):
 
 
 def _mentions_sql() -> str:
-    left, parts = _nest("text", x.SECRETS, "[REDACTED:{}]"), []
-    ctes = [f"l0 AS (SELECT doc_id, {left} AS t FROM documents)"]
-    for i, (kind, pattern) in enumerate(x.ENTITIES):
-        parts.append(f"SELECT doc_id, {_q(kind)} AS kind, unnest(regexp_extract_all(t, {_q(pattern)})) AS v FROM l{i}")
-        ctes.append(f"l{i + 1} AS (SELECT doc_id, regexp_replace(t, {_q(pattern)}, ' ', 'g') AS t FROM l{i})")
-    return f"""WITH {', '.join(ctes)}, a AS ({' UNION ALL '.join(parts)}),
-    n AS (SELECT doc_id, kind, CASE WHEN kind = 'email' OR kind IN ('uuid', 'ethereum') THEN lower(v) WHEN kind = 'phone' THEN regexp_replace(v, '[^0-9]', '', 'g')
-    WHEN kind = 'url' THEN regexp_replace(lower(regexp_extract(v, '^([A-Za-z]+://[^/?#]*)', 1)) || substr(v, length(regexp_extract(v, '^([A-Za-z]+://[^/?#]*)', 1)) + 1), '[.,;:!?)\\]]+$', '') ELSE v END AS name FROM a)
-    SELECT doc_id, kind, name, count(*) AS n FROM n WHERE kind <> 'phone' OR length(name) >= 10 GROUP BY ALL"""
+    site = "regexp_extract(v, '^([A-Za-z]+://[^/?#]*)', 1)"
+    names = {"email": "lower(v)", "ipv6": "lower(v)", "bech32": "lower(v)", "uuid": "lower(v)", "ulid": "upper(v)"}
+    names |= dict.fromkeys(("phone", "github_ref"), "regexp_replace(v, '[^0-9]', '', 'g')") | {"url": f"lower({site}) || substr(v, length({site}) + 1)"}
+    cut = lambda t, before, pattern: rf"string_split_regex(regexp_replace({t}, {_q(f'({before})({pattern})')}, '\1' || chr(1) || '\2' || chr(2), 'g'), '[\x01\x02]')"
+    blank = f"array_to_string(list_transform({cut('t', '', x.SECRET)}, lambda y, i: CASE WHEN i % 2 = 0 THEN repeat(' ', length(y)) ELSE y END), '')"
+    secret, parts = {form for form, _ in x.SECRETS}, []
+    for order, (kind, form, before, pattern) in enumerate(x.ENTITIES):
+        value = f"regexp_replace(p[j], {_q(x.URL_END)}, '')" if form == "url" else "p[j]"
+        name = _q(form) if kind == "redacted_token" else names.get(form, "v")
+        pieces = cut("t" if form in secret else "u", before, pattern)
+        pick = f"SELECT doc_id, coalesce(list_sum(list_transform(p[:j - 1], lambda y: length(y))), 0)::INT AS b, {value} AS v FROM (SELECT doc_id, p, unnest(range(2, len(p) + 1, 2)) AS j FROM (SELECT doc_id, {pieces} AS p FROM d))"
+        parts.append(f"SELECT doc_id, b, b + length(v) AS e, {order} AS o, {_q(kind)} AS kind, {name} AS name FROM ({pick})" + (" WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) >= 10" if form == "phone" else ""))
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, t, {blank} AS u FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)), a AS ({' UNION ALL '.join(parts)}),
+    s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b, e, o) AS i FROM a),
+    f(doc_id, i, reach, kind, name, kept) AS (SELECT doc_id, i, e, kind, name, true FROM s WHERE i = 1
+    UNION ALL SELECT s.doc_id, s.i, CASE WHEN s.b >= f.reach THEN s.e ELSE f.reach END, s.kind, s.name, s.b >= f.reach FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1)
+    SELECT doc_id, kind, name, count(*) AS n FROM f WHERE kept GROUP BY ALL"""
 
 
 @query(_mentions_sql())
@@ -57,9 +65,37 @@ def entity_mentions(spark, sf):
     return x.mentions(table(spark, sf, "documents"), "doc_id")
 
 
-@query()
+#: Messages of which each turn of a conversation gets one, so that every rule has something to find.
+_NOTICES = (
+    "Chase Fraud Alert: Did you authorize $12.00? Reply YES or NO",
+    "GitHub sign-in code for you: 482-910 today",
+    "<#> 482910 is your code @example.com",
+    "[#] 482910 is your OTP",
+    "Authy: example.com - 728103",
+    "passcode now 482-910",
+    "Your verification code is 123-456",
+    "029184 - your security code",
+    "G-123456",
+    "PIN: 7281034",
+    "Use 728103 to complete",
+    "382716 is your Meta security notice",
+    "Click here to reset now",
+    "We will never call to ask for it",
+)
+
+
+def _redaction_sql() -> str:
+    made = " ".join(f"WHEN {i} THEN {_q(m)}" for i, m in enumerate(_NOTICES))
+    ctes = [f"t0 AS (SELECT conv_id, turn, coalesce(text, '') || chr(10) || CASE turn % {len(_NOTICES)} {made} END AS t, []::VARCHAR[] AS r FROM conversations)"]
+    for i, (rule, pattern) in enumerate(x.RULES):
+        ctes.append(f"t{i + 1} AS MATERIALIZED (SELECT conv_id, turn, regexp_replace(t, {_q(pattern)}, {_q(x.rule_mark(rule))}, 'g') AS t, CASE WHEN regexp_matches(t, {_q(pattern)}) THEN list_append(r, {_q(rule)}) ELSE r END AS r FROM t{i})")
+    return f"WITH {', '.join(ctes)} SELECT conv_id, turn, array_to_string(r, ',') AS rules, md5(t) AS digest FROM t{len(x.RULES)}"
+
+
+@query(_redaction_sql())
 def one_time_code_redaction(spark, sf):
-    rows = x.redacted(table(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.lit("\nYour verification code is 123-456"), F.lit(" G-123456")).alias("text")))
+    notice = F.element_at(F.array(*map(F.lit, _NOTICES)), (F.col("turn") % len(_NOTICES) + 1).cast("int"))
+    rows = x.redacted(table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), notice).alias("text")))
     return rows.select("conv_id", "turn", F.array_join("rules", ",").alias("rules"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
