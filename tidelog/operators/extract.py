@@ -41,6 +41,26 @@ ENTITIES = (
     ("ulid", "ulid", "", r"\b[0-9A-HJ-KM-NP-TV-Za-hj-km-np-tv-z]{26}\b"),
     ("file_path", "file_path", _OPENING, r"/(?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]+\b"),
 )
+_RUN_OF_26 = r"[0-9A-Za-z]{26}"
+#: What a text must hold for a shape to be in it: strings of which one, or an expression, to spare most texts the scan.
+HINTS = {
+    "cascade_redacted": ("[REDACTED:",),
+    "jwt": ("eyJ",),
+    "aws_access_key": ("AKIA", "ASIA"),
+    "github_pat": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    "stripe_api_key": ("_test_", "_live_"),
+    "url": ("http://", "https://"),
+    "email": ("@",),
+    "phone": r"\d{3}",
+    "ipv4": r"\d\.\d",
+    "ipv6": r"[0-9a-fA-F]:[0-9a-fA-F]",
+    "bech32": ("bc1", "tb1"),
+    "ethereum": ("0x",),
+    "github_ref": ("#",),
+    "uuid": r"[0-9a-fA-F]{8}-",
+    "file_path": ("/",),
+    **dict.fromkeys(("bitcoin_wif", "base58", "solana", "ulid"), _RUN_OF_26),
+}
 #: What a sentence may leave at the end of an address.
 URL_END = r"[.,;:!?)\]}]+\z"
 _RUN = r"\b\d{3,4}[-\s]?\d{3,4}\b"
@@ -136,6 +156,12 @@ def canonical(kind: str, form: str, value):
     return value
 
 
+def hinted(form: str, text):
+    """Whether a text can hold a shape."""
+    hint = HINTS[form]
+    return text.rlike(hint) if isinstance(hint, str) else reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in hint])
+
+
 def spans(text):
     """Entities of a text as an array of (begin, end, kind, name), in its order; positions count characters from 0.
 
@@ -144,15 +170,17 @@ def spans(text):
     Of spans that overlap the one that begins first stays, then the shorter,
     then the one listed first.
     """
-    clean = F.translate(F.coalesce(text, F.lit("")), _BEGIN + _END, "  ")
+    text = F.coalesce(text, F.lit(""))
+    clean = F.when(F.contains(text, F.lit(_BEGIN)) | F.contains(text, F.lit(_END)), F.translate(text, _BEGIN + _END, "  ")).otherwise(text)
     blank = F.array_join(F.transform(_pieces(clean, "", SECRET), lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)), "")
-    both = F.array(F.struct(clean.alias("clean"), blank.alias("blank")))  # bound to a variable, so that it is worked out once
+    held = reduce(lambda a, b: a | b, [hinted(form, clean) for form, _ in SECRETS])
+    both = F.array(F.struct(clean.alias("clean"), F.when(held, blank).otherwise(clean).alias("blank"), clean.rlike(_RUN_OF_26).alias("runs")))  # bound to a variable, so that it is worked out once
     return F.element_at(F.transform(both, _resolved), 1)
 
 
 def _resolved(t):
     secret = {form for form, _ in SECRETS}
-    found = F.array_sort(F.concat(*[_found(t["clean"] if e[1] in secret else t["blank"], order, *e) for order, e in enumerate(ENTITIES)]))
+    found = F.array_sort(F.concat(*[_found(t["clean"] if e[1] in secret else t["blank"], t["runs"], order, *e) for order, e in enumerate(ENTITIES)]))
     state = F.struct(F.lit(0).alias("reach"), F.array().cast(_SPANS).alias("kept"))
     fits = lambda s, m: m["begin"] >= s["reach"]
     step = lambda s, m: F.struct(F.when(fits(s, m), m["end"]).otherwise(s["reach"]).alias("reach"), F.when(fits(s, m), F.array_append(s["kept"], m)).otherwise(s["kept"]).alias("kept"))
@@ -168,7 +196,7 @@ def _pieces(clean, before: str, pattern: str):
     return F.split(F.regexp_replace(clean, f"({before})({pattern})", f"$1{_BEGIN}$2{_END}"), f"[{_BEGIN}{_END}]")
 
 
-def _found(clean, order: int, kind: str, form: str, before: str, pattern: str):
+def _found(clean, runs, order: int, kind: str, form: str, before: str, pattern: str):
     """Spans of one shape; the pieces' lengths add up to positions."""
     pieces = _pieces(clean, before, pattern)
     state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_SPANS).alias("found"))
@@ -179,7 +207,8 @@ def _found(clean, order: int, kind: str, form: str, before: str, pattern: str):
         good = s["inside"] & (F.length(span["name"]) >= 10) if form == "phone" else s["inside"]
         return F.struct((s["at"] + F.length(piece)).alias("at"), (~s["inside"]).alias("inside"), F.when(good, F.array_append(s["found"], span)).otherwise(s["found"]).alias("found"))
 
-    return F.aggregate(pieces, state, step, lambda s: s["found"])
+    can = runs if HINTS[form] == _RUN_OF_26 else hinted(form, clean)
+    return F.when(can, F.aggregate(pieces, state, step, lambda s: s["found"])).otherwise(F.array().cast(_SPANS))
 
 
 def mentions(rows: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
