@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, licenses, minhash, mixing, quality_mil, sharding, substring, token_files, topk, vector_dedup
+from tidelog.llm import bpe, conversations, fingerprints, licenses, minhash, mixing, quality_mil, sharding, substring, token_files, topk, vector_codes, vector_dedup
 from tidelog.llm.common import ready, table
 
 
@@ -60,6 +60,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edits(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +84,7 @@ def _ready(query):
 
 QUERIES = {
     f.__name__: _ready(f)
-    for f in (op1_quality_mil, op2_vector_dedup, op3_mixing, op4_minhash, op5_sharding, op6_topk, op7_substring, op8_token_files, op9_bpe, op10_licenses, pipeline)
+    for f in (op1_quality_mil, op2_vector_dedup, op3_mixing, op4_minhash, op5_sharding, op6_topk, op7_substring, op8_token_files, op9_bpe, op10_licenses, op11_fingerprints, op12_vector_codes, op13_conversations, pipeline)
 }
 
 _V = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -121,4 +133,6 @@ ORACLES: dict[str, str] = {
     FROM w LEFT JOIN lost USING (doc_id)
     """,
     "op10_licenses": licenses.scanned_sql(),
+    "op12_vector_codes": vector_codes.digests_sql(),
+    "op13_conversations": conversations.digests_sql(),
 }
