@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import STOP, coverage, tokens
+from tidelog.functions.text import STOP, tokens
+from tidelog.operators import evidence
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Weights of the five arms, the half-life of recency, and the rows each arm gives.
@@ -203,33 +204,9 @@ def min_max(rows: DataFrame, score: str, out: str, *keys: str) -> DataFrame:
 
 
 def evidence_features(candidates: DataFrame, query: str) -> DataFrame:
-    """One row: top cosine, margin, coverage both ways, agreement of both tops, novelty.  candidates: (id, cosine, text)."""
-    c = candidates.select("id", "cosine", coverage(F.lit(query), F.col("text")).alias("q"), coverage(F.col("text"), F.lit(query)).alias("d"))
-    first = F.min(F.struct((-F.col("cosine")).alias("c"), "id"))
-    lexical = F.min(F.struct((-F.col("q")).alias("q"), (-F.col("d")).alias("d"), "id"))
-    two = F.slice(F.sort_array(F.collect_list("cosine"), asc=False), 1, 2)
-    top = c.orderBy(F.desc("cosine"), "id").limit(POOL)
-    out = top.agg(first.alias("s"), lexical.alias("l"), two.alias("t"))
-    return out.select(
-        (-F.col("s.c")).alias("cosine"),
-        F.when(F.size("t") > 1, F.greatest(F.col("t")[0] - F.col("t")[1], F.lit(0.0))).otherwise(0.0).alias("margin"),
-        (-F.col("l.q")).alias("query_coverage"),
-        (-F.col("l.d")).alias("document_coverage"),
-        (F.col("s.id") == F.col("l.id")).cast("double").alias("agreement"),
-        (1 + F.col("l.d")).alias("novelty"),
-    )
-
-
-def outcome(n_hits, vetoed, supported, embedded):
-    """matched, contradicted, nothing_matched, or degraded with its reason."""
-    return (
-        F.when(n_hits == 0, "nothing_matched")
-        .when(vetoed, "contradicted")
-        .when(~embedded, "degraded: no embeddings")
-        .when(supported.isNull(), "degraded: not qualified")
-        .when(supported, "matched")
-        .otherwise("nothing_matched")
-    )
+    """One row: the features of a question's POOL nearest candidates (id, cosine, text)."""
+    top = best(candidates.select("id", "cosine", "text"), POOL, "cosine").withColumn("question", F.lit(query))
+    return evidence.features(top)
 
 
 def adjusted_relevance(score, decay, age_us):

@@ -143,10 +143,10 @@ def min_max_normalise(spark, sf):
 
 
 @query(f"""WITH {_VEC}, c AS (SELECT vs.id, score AS cosine, {_TERMS.format("'the there than license'")} AS q, {_TERMS.format('text')} AS e FROM vs JOIN documents ON doc_id = vs.id ORDER BY score DESC, vs.id LIMIT 200),
-d AS (SELECT id, cosine, len(list_intersect(q, e)) / len(q)::DOUBLE AS qc, CASE WHEN len(e) = 0 THEN 0 ELSE len(list_intersect(q, e)) / len(e)::DOUBLE END AS dc FROM c),
-l AS (SELECT * FROM d ORDER BY qc DESC, dc DESC, id LIMIT 1), t AS (SELECT * FROM d ORDER BY cosine DESC, id LIMIT 1)
+d AS (SELECT id, cosine, q, e, len(list_intersect(q, e)) / len(q)::DOUBLE AS qc, CASE WHEN len(e) = 0 THEN 0 ELSE len(list_intersect(q, e)) / len(e)::DOUBLE END AS dc FROM c),
+l AS (SELECT *, least(coalesce(list_max([length(t) FOR t IN e IF NOT list_contains(q, t)]), 0) / list_max([length(t) FOR t IN q])::DOUBLE, 1) AS nov FROM d ORDER BY qc DESC, dc DESC, id LIMIT 1), t AS (SELECT * FROM d ORDER BY cosine DESC, id LIMIT 1)
 SELECT round(t.cosine, 6) AS cosine, round(greatest(t.cosine - (SELECT cosine FROM d ORDER BY cosine DESC, id LIMIT 1 OFFSET 1), 0), 6) AS margin, round(l.qc, 6) AS query_coverage, round(l.dc, 6) AS document_coverage,
-(t.id = l.id)::INT::DOUBLE AS agreement, round(1 - l.dc, 6) AS novelty FROM l, t""")
+(t.id = l.id)::INT::DOUBLE AS agreement, round(l.nov, 6) AS novelty FROM l, t""")
 def evidence_features(spark, sf):
     c = vectors(spark, sf).join(docs(spark, sf), "id").select("id", F.col("score").alias("cosine"), "text")
     out = s.evidence_features(c, "the there than license")
@@ -228,15 +228,6 @@ def alias_expansion(spark, sf):
     return s.expanded_rows(questions, groups)
 
 
-@query("""WITH o AS (SELECT l_orderkey AS question, count(*) FILTER (WHERE l_linenumber > 1) AS hits, bool_or(l_discount > 0.09) AS vetoed, avg(l_tax) < 0.04 AS supported, l_orderkey % 4 <> 0 AS embedded, l_orderkey % 3 = 0 AS unqualified FROM lineitem GROUP BY l_orderkey)
-SELECT question, CASE WHEN hits = 0 THEN 'nothing_matched' WHEN vetoed THEN 'contradicted' WHEN NOT embedded THEN 'degraded: no embeddings' WHEN unqualified THEN 'degraded: not qualified' WHEN supported THEN 'matched' ELSE 'nothing_matched' END AS outcome FROM o""")
-def recall_outcomes(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("question"))
-    rows = rows.agg(F.count_if(F.col("l_linenumber") > 1).alias("hits"), F.max(F.col("l_discount") > 0.09).alias("vetoed"), (F.avg("l_tax") < 0.04).alias("supported"))
-    supported = F.when(F.col("question") % 3 != 0, F.col("supported"))
-    return rows.select("question", s.outcome(F.col("hits"), F.col("vetoed"), supported, F.col("question") % 4 != 0).alias("outcome"))
-
-
 @query(f"WITH {_bm25(['and', 'apache', 'license', 'the', 'under'], False).replace('FROM documents)', 'FROM (SELECT doc_id, concat_ws(chr(32), text, source) AS text FROM documents))')}, r AS (SELECT id, round(score, 6) AS score FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 30")
 def proposition_search(spark, sf):
     """Words of the question, over a proposition's text and reasoning."""
