@@ -1,6 +1,9 @@
 """Questions asked over a small brain."""
 
+from dataclasses import replace
+
 from tidelog import api
+from tidelog.operators.textindex import TextIndex, build
 from tidelog.operators.timeline import DAY, MINUTE
 
 
@@ -27,6 +30,23 @@ def test_recall(spark):
     assert api.recall(b, "fox", now, start=5, end=1).count() == 0
 
 
+def test_recall_by_index_names_and_answers(spark, tmp_path):
+    now, b = 20 * DAY, brain(spark)
+    texts = spark.createDataFrame([(1, "Mara approved the red fox report."), (2, "lunch with the foxes"), (3, "red fox code of m@x.org")], "id long, text string")
+    moments = b.moments.drop("text").join(texts, "id")
+    build(texts, f"{tmp_path}/i")
+    mentions = spark.createDataFrame([(1, "Mara"), (3, "m@x.org"), (2, "Bo")], "id long, name string")
+    identities = spark.createDataFrame([("p", "Mara"), ("p", "m@x.org"), ("q", "Bo")], "identity string, name string")
+    b = replace(b, moments=moments, index=TextIndex(spark, f"{tmp_path}/i"), mentions=mentions, identities=identities)
+    assert {r.name for r in api.names_in(b, "what of M@X.org or Zed?").collect()} == {"m@x.org", "Mara", "Zed", "M@X.org"}
+    got = api.recall(b, "Who approved the red fox report?", now, [1.0, 0.0]).collect()
+    assert got[0].id == 1 and {r.outcome for r in got} == {"degraded: not qualified"}
+    assert {r.outcome for r in api.recall(b, "Who approved the red fox report?", now, [1.0, 0.0], verdict="supported").collect()} == {"matched"}
+    assert api.recall(b, "How long was the red fox report?", now, [1.0, 0.0]).collect() == []
+    by_name = {r.id: r.mentions for r in api.recall(b, "Mara fox", now, [1.0, 0.0]).collect()}
+    assert by_name == {1: 1, 2: 0, 3: 1}
+
+
 def test_other_questions(spark):
     b = brain(spark)
     assert [r.id for r in api.events_since(b, 10 * DAY).collect()] == [2, 3]

@@ -1,10 +1,10 @@
 """Finding moments: lexical and vector scores, ranks, fusion, evidence.
 
-BM25 works with or without an index.  `bm25` scans: one pass gives document
-frequencies and lengths of the query's terms as a single row, a second scores
-every text in a projection; nothing but that row and the best k rows is
-exchanged.  `write_index` stores postings by a hash of the term and one row of
-statistics; `indexed_bm25` reads the parts of its terms and no text.
+BM25 works with or without an index, over stems without diacritics.  `bm25`
+scans: one pass gives document frequencies and lengths of the query's terms as a
+single row, a second scores every text in a projection; nothing but that row and
+the best k rows is exchanged.  It is for few or changing rows; stored tables have
+`textindex`, which reads the postings of the terms and no text.
 """
 
 from __future__ import annotations
@@ -12,16 +12,19 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import STOP, tokens
+from tidelog.functions import stems
+from tidelog.functions.text import STOP
 from tidelog.operators import evidence
+from tidelog.operators.textindex import TextIndex, terms, weight
+from tidelog.sources.tables import workers_import
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Weights of the five arms, the half-life of recency, and the rows each arm gives.
 SEMANTIC, LEXICAL, RECENCY, ENTITY, SOURCE = 0.40, 0.30, 0.10, 0.15, 0.05
 HALF_LIFE_H, POOL = 24.0, 200
@@ -80,23 +83,24 @@ def expanded(text: str, groups: list[list[str]]) -> list[list[str]]:
     return [phrase for group in groups if any(s.lower() in q for s in group) for s in group for phrase in [re.findall(r"[^\W_]+", s.lower())] if phrase]
 
 
-def _hits(joined, phrase: list[str]):
-    """How often a phrase's words follow each other.  joined: words with two blanks between and one about all."""
-    wanted = " " + "  ".join(phrase) + " "
-    return ((F.length(joined) - F.length(F.replace(joined, F.lit(wanted), F.lit("")))) / len(wanted)).cast("int")
+def _hits(words, phrase: list[str]):
+    """At how many places a phrase begins."""
+    if len(phrase) == 1:
+        return F.size(words) - F.size(F.array_remove(words, phrase[0]))
+    begins = lambda x, i: reduce(lambda a, b: a & b, [x == phrase[0], *[F.coalesce(F.get(words, i + j) == p, F.lit(False)) for j, p in enumerate(phrase[1:], 1)]])
+    return F.size(F.filter(F.transform(words, begins), lambda b: b))
 
 
 def bm25(rows: DataFrame, wanted: list[list[str]], text: str = "text", every: bool = True, out: str = "score") -> DataFrame:
     """rows that have all (or, with every=False, any) of the phrases, with their BM25 score, higher better."""
+    wanted = [found for p in wanted if (found := stems.terms(" ".join(p)))]
     if not wanted:
         return rows.where(F.lit(False)).withColumn(out, F.lit(0.0))
-    words = rows.withColumn("__w", tokens(F.col(text)))
-    joined = F.concat(F.lit(" "), F.array_join("__w", "  "), F.lit(" ")) if any(len(p) > 1 for p in wanted) else F.lit(None)
-    words = words.select(*rows.columns, "__w", F.size("__w").alias("__dl"), joined.cast("string").alias("__joined"))
+    workers_import(rows.sparkSession)
+    words = rows.withColumn("__w", terms(F.col(text)))
     # A generated row of counts, through which no condition moves: else each condition would cut the text into words again.
-    times = lambda p: _hits(F.col("__joined"), p) if len(p) > 1 else F.size("__w") - F.size(F.array_remove("__w", p[0]))
-    counts = F.struct(*[times(p).alias(f"__tf{i}") for i, p in enumerate(wanted)])
-    counted = words.select(*rows.columns, "__dl", F.explode(F.array(counts)).alias("__tf")).select(*rows.columns, "__dl", "__tf.*")
+    counts = F.struct(F.size("__w").alias("__dl"), *[_hits(F.col("__w"), p).alias(f"__tf{i}") for i, p in enumerate(wanted)])
+    counted = words.select(*rows.columns, F.explode(F.array(counts)).alias("__tf")).select(*rows.columns, "__tf.*")
     tf = [F.col(f"__tf{i}") for i in range(len(wanted))]
     corpus = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(t > 0).alias(f"__df{i}") for i, t in enumerate(tf)])  # one row
     keep = tf[0] > 0
@@ -105,46 +109,35 @@ def bm25(rows: DataFrame, wanted: list[list[str]], text: str = "text", every: bo
     scored = counted.where(keep).join(F.broadcast(corpus))
     total = F.lit(0.0)
     for i, t in enumerate(tf):
-        total = total + _weight(t, F.col(f"__df{i}"), F.col("__n"), F.col("__dl"), F.col("__avg"))
+        total = total + weight(t, F.col(f"__df{i}"), F.col("__n"), F.col("__dl"), F.col("__avg"))
     return scored.select(*rows.columns, total.alias(out))
 
 
-def _weight(tf, df, n, dl, avg):
-    """The part of one term in a text's BM25 score."""
-    idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
+def capitalised(text: str, most: int = 24) -> list[str]:
+    """Words of a question that begin with a capital, and pairs of such, in order: what may be names."""
+    words = [w for w in (re.sub(r"^[\W_]+|[\W_]+$", "", t) for t in text.split()) if w]
+    out = []
+    for i, w in enumerate(words):
+        if w[0].isupper():
+            out += [w] + ([f"{w} {words[i + 1]}"] if i + 1 < len(words) and words[i + 1][0].isupper() else [])
+    return list(dict.fromkeys(out))[:most]
 
 
-def write_index(rows: DataFrame, folder: str, text: str = "text", parts: int = 64) -> None:
-    """Postings (term, id, tf, dl) of rows (id, text) in `folder`/postings by a hash of the term; one row in `folder`/corpus."""
-    words = rows.select("id", tokens(F.col(text)).alias("w"))
-    terms = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    postings = terms.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))  # a text's own terms meet before the shuffle
-    postings = postings.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-    dealt = postings.repartition("part", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("part", "term", "id")  # a frequent term spreads over 8 files
-    dealt.write.partitionBy("part").parquet(f"{folder}/postings")
-    words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg")).write.parquet(f"{folder}/corpus")
-
-
-def indexed_bm25(spark: SparkSession, folder: str, terms: list[str], every: bool = True, parts: int = 64, out: str = "score") -> DataFrame:
-    """(id, score) of the texts that have all (or any) of the terms, from the index alone."""
-    terms = list(dict.fromkeys(terms))
-    own = spark.createDataFrame([(t,) for t in terms], "term string").withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-    wanted = sorted({r.part for r in own.select("part").collect()})  # of the question's own terms
-    found = spark.read.parquet(f"{folder}/postings").where(F.col("part").isin(wanted) & F.col("term").isin(terms))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the question
-    corpus = spark.read.parquet(f"{folder}/corpus")
-    weighed = found.join(F.broadcast(df), "term").join(F.broadcast(corpus))
-    scores = weighed.groupBy("id").agg(F.count("*").alias("n_terms"), F.sum(_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avg"))).alias(out))
-    return scores.where(F.col("n_terms") >= (len(terms) if every else 1)).select("id", out)
+def relaxed_hits(index: TextIndex, text: str) -> DataFrame:
+    """(id, score, relaxed) from an index, as `relaxed` gives them."""
+    return _first_unless_empty(index.hits(phrases(text)), index.hits([[t] for t in relaxed_terms(text)], every=False))
 
 
 def relaxed(rows: DataFrame, text: str, column: str = "text") -> DataFrame:
     """All terms if any row has them, else any of the content terms; `relaxed` says which."""
-    strict = bm25(rows, phrases(text), column)
-    found = strict.limit(1).count() > 0
-    out = strict if found else bm25(rows, [[t] for t in relaxed_terms(text)], column, every=False)
-    return out.withColumn("relaxed", F.lit(not found))
+    strict, loose = bm25(rows, phrases(text), column), bm25(rows, [[t] for t in relaxed_terms(text)], column, every=False)
+    return _first_unless_empty(strict, loose)
+
+
+def _first_unless_empty(strict: DataFrame, loose: DataFrame) -> DataFrame:
+    some = strict.limit(1).agg((F.count("*") > 0).alias("__some"))  # one row
+    both = strict.withColumn("relaxed", F.lit(False)).union(loose.withColumn("relaxed", F.lit(True)))
+    return both.join(F.broadcast(some)).where(F.col("relaxed") != F.col("__some")).drop("__some")
 
 
 def vector_scores(rows: DataFrame, query: list[float], vector: str = "embedding", out: str = "score") -> DataFrame:
@@ -288,17 +281,29 @@ def routed(rows: DataFrame, now: int, text: str = "text") -> DataFrame:
     return out.select(*rows.columns, shape.alias("shape"), F.col("__range.start").alias("start"), F.col("__range.end").alias("end"))
 
 
-def expanded_rows(questions: DataFrame, groups: DataFrame, text: str = "text") -> DataFrame:
+def expanded_rows(questions: DataFrame, groups: DataFrame, text: str = "text", gram: int = 4) -> DataFrame:
     """(id, spelling): every spelling of each alias group that has one in a question's text.  groups: (group, spelling).
 
-    Spellings match inside words too, so the join is no equi-join: groups, the
-    few a user keeps, are broadcast behind a check of their number.
+    Spellings match inside words too.  Each is found by its rarest run of `gram`
+    characters (a shorter one by itself), which a question's runs of that length
+    meet in an equi-join; then the whole spelling is looked for.  So neither side
+    is broadcast, whatever their numbers.
     """
-    n = groups.count()
-    if n > 100_000:
-        raise ValueError("too many alias spellings to broadcast")
-    found = questions.join(F.broadcast(groups), F.lower(F.col(text)).contains(F.lower("spelling"))).select("id", "group").distinct()
-    return found.join(F.broadcast(groups), "group").select("id", "spelling").distinct()
+    spelt = groups.select("group", "spelling", F.lower("spelling").alias("s")).where("s <> ''").distinct()
+
+    def runs(column, n):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))), lambda i: F.substring(column, i, n)))
+
+    cut = spelt.select("s").distinct().select("s", F.least(F.length("s"), F.lit(gram)).alias("n"))
+    cut = cut.select("s", "n", F.explode(runs(F.col("s"), F.col("n"))).alias("run"))
+    common = cut.groupBy("n", "run").agg(F.count("*").alias("f"))
+    keyed = cut.join(common, ["n", "run"]).groupBy("s").agg(F.min(F.struct("f", "n", "run")).alias("k")).select("s", "k.n", "k.run")
+    lengths = F.array(*[F.lit(n) for n in range(1, gram + 1)])
+    asked = questions.select("id", F.lower(F.coalesce(F.col(text), F.lit(""))).alias("q")).where("q <> ''").withColumn("n", F.explode(lengths))
+    asked = asked.where(F.length("q") >= F.col("n")).select("id", "q", "n", F.explode(runs(F.col("q"), F.col("n"))).alias("run"))
+    asked = asked.join(keyed.select("n", "run").distinct(), ["n", "run"], "left_semi")
+    found = asked.join(keyed, ["n", "run"]).where(F.contains("q", "s")).select("id", "s").distinct()
+    return found.join(spelt, "s").select("id", "group").distinct().join(spelt, "group").select("id", "spelling").distinct()
 
 
 def proposition_terms(text: str, most: int = 24) -> list[str]:
@@ -307,6 +312,6 @@ def proposition_terms(text: str, most: int = 24) -> list[str]:
 
 
 def propositions_about(rows: DataFrame, question: str) -> DataFrame:
-    """Propositions (id, text, reasoning) with any of a question's words in either column, with their BM25 score."""
+    """Propositions (id, text, reasoning) with any of a question's words (as stems) in either column, with their BM25 score."""
     both = rows.withColumn("__both", F.concat_ws(" ", "text", "reasoning"))
     return bm25(both, [[w] for w in proposition_terms(question)], "__both", every=False).drop("__both")

@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import aliases as a
 from tidelog.operators import extract as x
+from tidelog.operators.textindex import NAME
 from tidelog.plans.registry import query
 from tidelog.sources.tables import checkpointed, table
 
-#: A name in a text: up to three words in a row that begin with a capital.
-NAME = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,2}"
-
 
 def named_entities(spark, sf):
     """(id, kind, name, event): names, addresses, numbers and links in documents, and the source of each as an organisation."""

@@ -10,6 +10,7 @@ from tidelog.functions.text import content_terms, coverage, long_words, restates
 from tidelog.functions.urls import source_quality
 from tidelog.operators import search as s
 from tidelog.operators.store import top_per_group
+from tidelog.operators.textindex import NAME, TextIndex, build, stored
 from tidelog.plans.registry import query
 from tidelog.sources.tables import micros, shared_folder, table
 
@@ -20,52 +21,103 @@ _TOK = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
 _TERMS = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_-]+'), lambda t: length(t) >= 2 AND t NOT IN (" + ", ".join(f"'{w}'" for w in s.STOP) + ")))"
 
 
-def _bm25(terms: list[str], every: bool, name: str = "lex") -> str:
-    """CTEs ending in `name` (id, score)."""
-    lists = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(terms))
-    dfs = ", ".join(f"count(*) FILTER (WHERE t{i} > 0) AS d{i}" for i in range(len(terms)))
-    parts = " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * dl / av))" for i in range(len(terms)))
-    keep = (" AND " if every else " OR ").join(f"t{i} > 0" for i in range(len(terms)))
-    return f"""wd AS (SELECT doc_id AS id, {_TOK.format('text')} AS w FROM documents), tf AS (SELECT id, len(w) AS dl, {lists} FROM wd),
-    st AS (SELECT count(*) AS n, avg(dl) AS av, {dfs} FROM tf), {name} AS (SELECT id, {parts} AS score FROM tf, st WHERE {keep})"""
+def _sql_stems() -> str:
+    """CTEs from voc (x) to stem_of (x, stem): Porter's steps over the distinct words."""
+    from tidelog.functions import stems as p
+
+    test = lambda name, w: f"regexp_matches({w}, '{ {**p.MEASURE, 'vowel': p.VOWEL}[name]}')"
+    short = lambda w: f"regexp_matches({w}, '^[^aeiou][^aeiouy]*[aeiouy][b-df-hj-np-tvz0-9]$')"
+    less = lambda n: f"left(w, length(w) - {n})"
+
+    def chain(rules, measure, more=lambda end, head: ""):
+        ways = [f"WHEN ends_with(w, '{end}') THEN CASE WHEN {test(measure, less(len(end)))}{more(end, less(len(end)))} THEN {less(len(end))} || '{new}' ELSE w END" for end, new in sorted(rules, key=lambda r: -len(r[0]))]
+        return f"CASE {' '.join(ways)} ELSE w END"
+
+    ion = lambda end, head: f" AND right({head}, 1) IN ('s', 't')" if end == "ion" else ""
+    steps = [
+        "CASE WHEN left(x, 1) = 'y' THEN 'Y' || substr(x, 2) ELSE x END",
+        f"CASE WHEN regexp_matches(w, '.(sses|ies)$') THEN {less(2)} WHEN ends_with(w, 'ss') OR NOT ends_with(w, 's') THEN w ELSE {less(1)} END",
+        f"CASE WHEN ends_with(w, 'eed') AND w <> 'eed' THEN CASE WHEN {test('above0', less(3))} THEN {less(1)} ELSE w END WHEN ends_with(w, 'ed') AND {test('vowel', less(2))} THEN {less(2)} || '#' WHEN ends_with(w, 'ing') AND {test('vowel', less(3))} THEN {less(3)} || '#' ELSE w END",
+        f"CASE WHEN NOT ends_with(w, '#') THEN w WHEN regexp_matches(w, '(at|bl|iz)#$') THEN {less(1)} || 'e' WHEN lower(left(right(w, 3), 1)) = left(right(w, 2), 1) AND length(w) > 2 AND left(right(w, 2), 1) NOT IN ('a', 'e', 'i', 'o', 'u', 'l', 's', 'z') THEN {less(2)} WHEN {short(less(1))} THEN {less(1)} || 'e' ELSE {less(1)} END",
+        f"CASE WHEN ends_with(w, 'y') AND {test('vowel', less(1))} THEN {less(1)} || 'i' ELSE w END",
+        chain(p.STEP2, "above0"), chain(p.STEP3, "above0"), chain([(e, "") for e in (*p.STEP4, "ion")], "above1", ion),
+        f"CASE WHEN ends_with(w, 'e') AND ({test('above1', less(1))} OR ({test('is1', less(1))} AND NOT {short(less(1))})) THEN {less(1)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {test('above1', 'w')} THEN {less(1)} ELSE w END",
+    ]
+    ctes = [f"v{i} AS (SELECT x, {step} AS w FROM {f'v{i - 1}' if i else 'voc'})" for i, step in enumerate(steps)]
+    return ", ".join([*ctes, f"stem_of AS (SELECT x, CASE WHEN strlen(x) BETWEEN 3 AND 64 THEN CASE WHEN left(x, 1) = 'y' THEN 'y' || substr(w, 2) ELSE w END ELSE x END AS stem FROM v{len(steps) - 1})"])
+
+
+_FOLDED = r"regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[\p{{L}}\p{{N}}]+')"
+
+
+def _bm25(phrases: list[str], every: bool, name: str = "lex", text: str = "text") -> str:
+    """CTEs ending in `name` (id, score): phrases of stems, words as rows with their places."""
+    split = [p.split() for p in phrases]
+    wanted = ", ".join(f"'{t}'" for t in dict.fromkeys(t for p in split for t in p))
+    starts = lambda p: " JOIN ".join(["hit h0", *[f"hit h{j} ON h{j}.id = h0.id AND h{j}.pos = h0.pos + {j} AND h{j}.stem = '{t}'" for j, t in enumerate(p) if j]])
+    counts = " UNION ALL ".join(f"SELECT h0.id, {i} AS p, count(*) AS t FROM {starts(p)} WHERE h0.stem = '{p[0]}' GROUP BY h0.id" for i, p in enumerate(split))
+    return f"""wd AS (SELECT doc_id AS id, {_FOLDED.format(text)} AS w FROM documents), tk AS (SELECT id, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM wd),
+    voc AS (SELECT DISTINCT x FROM tk), {_sql_stems()}, hit AS (SELECT id, pos, stem FROM tk JOIN stem_of USING (x) WHERE stem IN ({wanted})),
+    tf AS ({counts}), df AS (SELECT p, count(*) AS d FROM tf GROUP BY p), whole AS (SELECT count(*) AS n, avg(len(w)) AS av FROM wd),
+    {name} AS (SELECT id, sum(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * len(w) / av))) AS score FROM tf JOIN df USING (p) JOIN wd USING (id), whole
+        GROUP BY id{f' HAVING count(*) = {len(phrases)}' if every else ''})"""
 
 
 def docs(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
 
 
+def index(spark, sf):
+    """The stored index of all documents."""
+    return stored(docs(spark, sf).select("id", "text"), shared_folder(spark))
+
+
 @query(f"WITH {_bm25(['the', 'that', 'with'], True)}, r AS (SELECT id, round(score, 6) AS score FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 50")
 def bm25_search(spark, sf):
-    found = s.bm25(docs(spark, sf), s.phrases("the that with"))
+    found = index(spark, sf).hits(s.phrases("the that with"))
     return s.best(found.select("id", F.round("score", 6).alias("score")), 50)
 
 
 @query(f"WITH {_bm25(['the', 'that', 'with'], True)}, r AS (SELECT id, round(score, 6) AS score FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 50")
 def bm25_by_index(spark, sf):
-    """The same question as bm25_search, over postings written first."""
+    """The same question as bm25_search, over an index built for it alone."""
     folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    s.write_index(docs(spark, sf), folder)
-    found = s.indexed_bm25(spark, folder, ["the", "that", "with"])
+    build(docs(spark, sf).select("id", "text"), folder)
+    found = TextIndex(spark, folder).hits([["the"], ["that"], ["with"]])
+    return s.best(found.select("id", F.round("score", 6).alias("score")), 50)
+
+
+@query(f"WITH {_bm25(['the', 'that', 'with'], True)}, r AS (SELECT id, round(score, 6) AS score FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 50")
+def bm25_by_scan(spark, sf):
+    """The same question again, over the texts themselves."""
+    found = s.bm25(docs(spark, sf), s.phrases("the that with"))
     return s.best(found.select("id", F.round("score", 6).alias("score")), 50)
 
 
-@query(f"WITH {_bm25(['stupid', 'idiot', 'licensed'], False)}, r AS (SELECT id, round(score, 6) AS score FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 50")
+@query(f"WITH {_bm25(['stupid', 'idiot', 'licens'], False)}, r AS (SELECT id, round(score, 6) AS score FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 50")
 def bm25_alternatives(spark, sf):
-    found = s.bm25(docs(spark, sf), [["stupid"], ["idiot"], ["licensed"]], every=False)
+    found = index(spark, sf).hits([["stupid"], ["idiot"], ["licensed"]], every=False)
     return s.best(found.select("id", F.round("score", 6).alias("score")), 50)
 
 
-@query(r"SELECT doc_id AS id FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ', ' under the apache ')")
+@query(f"WITH {_bm25(['under the apach', 'licens'], True)} SELECT id, round(score, 6) AS score FROM lex")
 def phrase_search(spark, sf):
-    return s.bm25(docs(spark, sf), s.phrases("under-the-apache")).select("id")
+    return index(spark, sf).hits(s.phrases("under-the-apache licensing")).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_bm25(['licensed', 'pathetic', 'zzqx'], False)}, r AS (SELECT id, round(score, 6) AS score, true AS relaxed FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 30")
+@query(f"WITH {_bm25(['licens', 'pathet', 'zzqx'], False)}, r AS (SELECT id, round(score, 6) AS score, true AS relaxed FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 30")
 def relaxed_lexical_fallback(spark, sf):
-    found = s.relaxed(docs(spark, sf), "what is the licensed pathetic zzqx")
+    found = s.relaxed_hits(index(spark, sf), "what is the licensed pathetic zzqx")
     return s.best(found.select("id", F.round("score", 6).alias("score"), "relaxed"), 30)
 
 
+@query(f"WITH {_bm25(['etion', 'cion'], False)} SELECT id, round(score, 6) AS score FROM lex")
+def folded_search(spark, sf):
+    """Words with diacritics found by words without."""
+    return index(spark, sf).hits([["etion"], ["cion"]], every=False).select("id", F.round("score", 6).alias("score"))
+
+
 def _probe(spark, sf):
     """The query vector: that of the smallest id (one row)."""
     return [float(x) for x in table(spark, sf, "embeddings").orderBy("vec_id").select("embedding").first()[0]]
@@ -105,27 +157,29 @@ def source_quality_prior(spark, sf):
     return table(spark, sf, "pages").select("page_id", source_quality(F.col("url"), F.lit(True)).cast("double").alias("quality"))
 
 
-_FUSE = f"""WITH {_bm25(['stupid', 'idiot', 'the', 'licensed'], False)}, {_VEC},
+#: The flagship's question: its words are looked up as stems, its capitalised words as names.
+QUESTION = "Who licensed this under the Apache License or the General Public License, stupid idiot"
+_FUSE = f"""WITH {_bm25(['licens', 'thi', 'under', 'apach', 'licens', 'gener', 'public', 'stupid', 'idiot'], False)}, {_VEC},
 sem AS (SELECT id, round(1.0 / rank() OVER (ORDER BY score DESC), 12) AS rs FROM (SELECT id, score FROM vs ORDER BY score DESC, id LIMIT 200)),
 le AS (SELECT id, round(1.0 / rank() OVER (ORDER BY score DESC), 12) AS rl FROM (SELECT id, round(score, 6) AS score FROM lex ORDER BY round(score, 6) DESC, id LIMIT 200)),
-f AS (SELECT doc_id AS id, exp(-ln(2) * ({NOW} - epoch_us(ts)) / 3600000000.0 / 240.0) AS recency, len(list_filter({_TOK.format('text')}, lambda x: x IN ('apache', 'mit', 'gnu'))) AS mentions
+f AS (SELECT doc_id AS id, exp(-ln(2) * ({NOW} - epoch_us(ts)) / 3600000000.0 / 240.0) AS recency, len(list_filter(list_distinct(regexp_extract_all(text, '{NAME}')), lambda x: x IN ('Who', 'Apache', 'Apache License', 'License', 'General', 'General Public', 'Public', 'Public License'))) AS mentions
   FROM documents JOIN events ON event_id = doc_id),
-p AS (SELECT id, coalesce(rs, 0) AS rs, coalesce(rl, 0) AS rl, recency, mentions FROM (SELECT coalesce(sem.id, le.id) AS id, rs, rl FROM sem FULL JOIN le ON sem.id = le.id) JOIN f USING (id)),
+p AS (SELECT id, coalesce(rs, 0) AS rs, coalesce(rl, 0) AS rl, recency, coalesce(mentions, 0) AS mentions FROM (SELECT coalesce(sem.id, le.id) AS id, rs, rl FROM sem FULL JOIN le ON sem.id = le.id) JOIN f USING (id)),
 q AS (SELECT *, CASE WHEN max(mentions) OVER () > 0 THEN mentions / max(mentions) OVER () ELSE 0 END AS ent FROM p)
 SELECT id, round(0.4 * rs + 0.3 * rl + 0.1 * recency + 0.15 * ent + 0.05 * 0.68, 6) AS score FROM q ORDER BY round(0.4 * rs + 0.3 * rl + 0.1 * recency + 0.15 * ent + 0.05 * 0.68, 9) DESC, id LIMIT 10"""
 
 
 @query(_FUSE)
 def hybrid_recall(spark, sf):
-    """The flagship: five arms over texts, vectors and times."""
-    d = docs(spark, sf)
-    lexical = s.bm25(d, [[w] for w in ("stupid", "idiot", "the", "licensed")], every=False).select("id", F.round("score", 6).alias("score"))
-    mentions = F.size(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: w.isin("apache", "mit", "gnu")))
+    """The flagship: five arms over the stored index, vectors, names and times; no text is read."""
+    known = index(spark, sf)
+    lexical = known.hits([[t] for t in s.relaxed_terms(QUESTION)], every=False).select("id", F.round("score", 6).alias("score"))
     times = table(spark, sf, "events").select(F.col("event_id").alias("id"), s.recency(micros("ts"), NOW, 240.0).alias("recency"))
     pool = s.pooled(s.best(vectors(spark, sf), s.POOL).select("id", "score"), s.best(lexical, s.POOL))
-    # Facts of the pool's rows only: the pool is broadcast to the texts and to the times.
-    pool = times.join(F.broadcast(d.select("id", "text").join(F.broadcast(pool), "id")), "id")
-    found = s.ranked(pool.withColumns({"mentions": mentions, "source": F.lit(0.68)}), 10)
+    # Facts of the pool's rows only: the pool is broadcast to the times and to the names.
+    pool = times.join(F.broadcast(pool), "id")
+    pool = pool.join(known.named(s.capitalised(QUESTION)), "id", "left")
+    found = s.ranked(pool.withColumns({"mentions": F.coalesce("mentions", F.lit(0)), "source": F.lit(0.68)}), 10)
     return found.select("id", F.round("score", 6).alias("score"))
 
 
@@ -153,16 +207,16 @@ def evidence_features(spark, sf):
     return out.select(*[F.round(x, 6).alias(x) if x != "agreement" else x for x in out.columns])
 
 
-@query(f"""WITH {_bm25(['the', 'that'], False)} SELECT id, round(greatest(score, 0) * exp(-0.4 * 2.0 * ({NOW} - epoch_us(ts)) / 86400000000.0), 9) AS relevance FROM lex JOIN events ON event_id = id""")
+@query(f"""WITH {_bm25(['the', 'that'], False)} SELECT id, round(greatest(score, 0) * exp(-0.02 * 2.0 * ({NOW} - epoch_us(ts)) / 86400000000.0), 9) AS relevance FROM lex JOIN events ON event_id = id""")
 def adjusted_relevance(spark, sf):
-    found = s.bm25(docs(spark, sf), [["the"], ["that"]], every=False)
+    found = index(spark, sf).hits([["the"], ["that"]], every=False)
     times = table(spark, sf, "events").select(F.col("event_id").alias("id"), micros("ts").alias("ts_us"))
-    return found.join(times, "id").select("id", F.round(s.adjusted_relevance(F.col("score"), F.lit(0.4), F.lit(NOW) - F.col("ts_us")), 9).alias("relevance"))
+    return found.join(times, "id").select("id", F.round(s.adjusted_relevance(F.col("score"), F.lit(0.02), F.lit(NOW) - F.col("ts_us")), 9).alias("relevance"))
 
 
 @query()
 def mmr(spark, sf):
-    found = s.bm25(docs(spark, sf), [["stupid"], ["licensed"]], every=False)
+    found = index(spark, sf).hits([["stupid"], ["licensed"]], every=False).join(docs(spark, sf), "id")
     pool = top_per_group(found, 24, ["source"], F.desc("score"), "id")
     pool = pool.select("source", "id", F.round("score", 6).alias("score"), long_words(F.col("text")).alias("words"))
     return s.diverse(pool, ["source"]).select("source", "id", "score", "place")
@@ -228,7 +282,7 @@ def alias_expansion(spark, sf):
     return s.expanded_rows(questions, groups)
 
 
-@query(f"WITH {_bm25(['and', 'apache', 'license', 'the', 'under'], False).replace('FROM documents)', 'FROM (SELECT doc_id, concat_ws(chr(32), text, source) AS text FROM documents))')}, r AS (SELECT id, round(score, 6) AS score FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 30")
+@query(f"WITH {_bm25(['and', 'apach', 'licens', 'the', 'under'], False, text='concat_ws(chr(32), text, source)')}, r AS (SELECT id, round(score, 6) AS score FROM lex) SELECT * FROM r ORDER BY score DESC, id LIMIT 30")
 def proposition_search(spark, sf):
     """Words of the question, over a proposition's text and reasoning."""
     rows = docs(spark, sf).select("id", "text", F.col("source").alias("reasoning"))

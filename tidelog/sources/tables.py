@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,37 @@ def checkpointed(spark: SparkSession):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return lambda df: df.checkpoint()
+
+
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, system = _file_system(spark, path)
+    return system.exists(where)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """old as new, unless new is there already."""
+    where, system = _file_system(spark, old)
+    if not exists(spark, new):
+        system.rename(where, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new))
+
+
+def file_marks(spark: SparkSession, files: list[str]) -> list[str]:
+    """Path, length and time of each file."""
+    out = []
+    for file in sorted(files):
+        where, system = _file_system(spark, file)
+        status = system.getFileStatus(where)
+        out.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+    return out
