@@ -215,21 +215,25 @@ def collapsed_repeats(rows: DataFrame, key: str, text: str, within: int = MINUTE
     """Rows left after dropping those that repeat one of the last `remembered` kept rows of their key.
 
     A repeat has the same text but for ASCII case and is less than `within`
-    younger.  Whether a row is kept depends on kept rows, so each key is a fold.
+    younger.  Whether a row is kept depends on kept rows, so rows stream by in
+    the order of (key, time, id), and a task holds `remembered` of one key.
     """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts_us", "id"])
-        kept: list[tuple[int, str]] = []
-        mask = []
-        for ts, x in zip(group["ts_us"], group[text]):
-            x = (x or "").translate(_ASCII_LOWER)
-            mask.append(not any(x == old and ts - at < within for at, old in kept[-remembered:]))
-            if mask[-1]:
-                kept.append((ts, x))
-        return group[mask]
-
-    return rows.groupBy(key).applyInPandas(fold, rows.schema)
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, kept = None, []
+        for batch in batches:
+            mask = []
+            for own, ts, x in zip(batch[key], batch["ts_us"], batch[text]):
+                if not kept or own != of:
+                    of, kept = own, []
+                x = (x or "").translate(_ASCII_LOWER)
+                mask.append(not any(x == old and ts - at < within for at, old in kept))
+                if mask[-1]:
+                    kept = [*kept, (ts, x)][-remembered:]
+            yield batch[mask]
+
+    ordered = rows.repartition(key).sortWithinPartitions(key, "ts_us", "id")
+    return ordered.mapInPandas(stream, rows.schema)
 
 
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}

@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.plans.registry import query
-from tidelog.sources.tables import table
+from tidelog.operators.timeline import HOUR
+from tidelog.sources.tables import micros, table
 from tidelog.streaming import ingest as s
+from tidelog.streaming import stateful
 
+#: No lateness: what comes late goes to a folder of its own.
+NONE = "0 seconds"
 KINDS = ["click", "view", "purchase", "signup", "error"]
 
 
 def _events(spark, sf):
     schema = table(spark, sf, "events").schema
-    rows = s.files(spark, sf, "events.parquet*", schema)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return s.table_files(spark, sf, "events", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view', 'purchase')")
 def stream_validated_ingest(spark, sf):
-    rows = s.valid(_events(spark, sf), KINDS[:3])
-    return s.drained(s.once(rows.where("problem is null")).select("event_id", "event_type"), "ingest")
+    rows = s.split(s.valid(_events(spark, sf), KINDS[:3]), "ingest")
+    return s.drained(s.once(rows.in_time).select("event_id", "event_type"), "once")
 
 
 @query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n FROM events),
@@ -28,7 +31,7 @@ s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM m), a A
 SELECT * FROM a WHERE last_us + 43200000000 <= (SELECT epoch_us(max(ts)) FROM events)""")
 def stream_sessions(spark, sf):
     """Sessions that are over at the watermark; an open one is not emitted in append mode."""
-    out = s.drained(s.session_counts(_events(spark, sf), "12 hours", ["user_id"], late="0 seconds"), "sessions")
+    out = s.drained(s.session_counts(s.split(_events(spark, sf), "in-time", late=NONE).in_time, "12 hours", ["user_id"], late=NONE), "sessions")
     return out.select("user_id", F.unix_micros("begin").alias("begin_us"), F.unix_micros("last").alias("last_us"), "n")
 
 
@@ -36,7 +39,7 @@ def stream_sessions(spark, sf):
 SELECT * FROM w WHERE begin_us + 3600000000 <= (SELECT epoch_us(max(ts)) FROM events)""")
 def stream_hourly_counts(spark, sf):
     """Closed hours only: an open one is not emitted in append mode."""
-    out = s.drained(s.slot_counts(_events(spark, sf), "1 hour", ["event_type"], late="0 seconds"), "hours")
+    out = s.drained(s.slot_counts(s.split(_events(spark, sf), "in-time", late=NONE).in_time, "1 hour", ["event_type"], late=NONE), "hours")
     return out.select("event_type", F.unix_micros("begin").alias("begin_us"), "n")
 
 
@@ -47,3 +50,19 @@ def stream_dead_letter(spark, sf):
     s.routed(rows, "routed", lambda b, n: b.write.mode("overwrite").parquet(f"{good}/batch={n}"), lambda b, n: b.write.mode("overwrite").parquet(f"{bad}/batch={n}"))
     counts = [spark.read.parquet(p).agg(F.count("*").alias(c)) for p, c in ((bad, "refused"), (good, "accepted"))]
     return counts[0].join(F.broadcast(counts[1]))  # one row each
+
+
+@query()
+def stream_repeats(spark, sf):
+    """`repeat_suppression` as a stream: eight remembered rows a device."""
+    rows = _events(spark, sf).select(F.col("event_id").alias("id"), micros("ts").alias("ts_us"), F.col("user_id").alias("device"), F.col("event_type").alias("app"))
+    return s.drained(stateful.without_repeats(rows, "device", "app", 24 * HOUR), "repeats")
+
+
+@query()
+def stream_intervals(spark, sf):
+    """Spans of two hours from every moment: those that meet an accepted one of their device are refused."""
+    rows = _events(spark, sf).select(F.col("user_id").alias("device"), F.col("event_id").alias("id"), micros("ts").alias("start_us"))
+    rows = rows.withColumn("end_us", F.col("start_us") + 2 * HOUR)
+    day = 1_704_067_200_000_000 + 24 * HOUR
+    return s.drained(stateful.appended(rows, "device", [(day, day + 6 * HOUR)], longest=2 * HOUR), "intervals")

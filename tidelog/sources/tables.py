@@ -83,6 +83,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(where)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    where, system = _file_system(spark, path)
+    return system.getFileStatus(where).isFile()
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     """old as new, unless new is there already."""
     where, system = _file_system(spark, old)

@@ -1,19 +1,22 @@
 """Moments as a stream: reading files, validating, dropping replays, sessions, a page cache.
 
 Ids are deterministic and every step is keyed by them, so a replayed file adds
-nothing.  Late rows are those older than the watermark; validated and rejected
-rows can be written from one stream with `routed`.
+nothing.  `split` writes each batch once, to what is in time, what is late and
+what is refused; a row is late if it is no newer than the newest row of earlier
+batches less the lateness allowed.  Streams over what is in time, read in the
+order it was written, then lose nothing to their watermarks, which are no later.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.sources.tables import shared_folder
+from tidelog.sources.tables import exists, is_file, shared_folder
 
 #: How late a moment may come.
 LATE = "10 minutes"
@@ -30,6 +33,51 @@ def files(spark: SparkSession, folder: str, pattern: str, schema, kind: str = "p
     return reader.format(kind).load(folder)
 
 
+def table_files(spark: SparkSession, sf_dir: str, name: str, schema, per_batch: int = 64) -> DataFrame:
+    """A stream of a table's files, be it one file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
+    if is_file(spark, path):
+        return files(spark, sf_dir, f"{name}.parquet", schema, per_batch=per_batch)
+    return files(spark, path, "*.parquet", schema, per_batch=per_batch)
+
+
+@dataclass(frozen=True)
+class Split:
+    """What `split` wrote: rows in time as a stream in their order, late ones, and refused ones with their problem."""
+
+    in_time: DataFrame
+    late: DataFrame
+    refused: DataFrame
+
+
+def split(rows: DataFrame, name: str, ts: str = "ts", late: str = LATE) -> Split:
+    """Drain a stream (with `problem`, or all good) into three folders, each batch once.
+
+    How far each batch came is kept beside the stream's state, so a restart
+    decides as before, and a batch that is written again overwrites itself.
+    """
+    spark, root = rows.sparkSession, shared_path(rows.sparkSession, name)
+    rows = rows if "problem" in rows.columns else rows.withColumn("problem", F.lit(None).cast("string"))
+    schema = rows.drop("problem").schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.read.schema("number long, newest timestamp").parquet(f"{root}/newest") if exists(spark, f"{root}/newest") else None
+        newest = None if seen is None else seen.where(F.col("number") < number).agg(F.max("newest")).first()[0]
+        batch = batch.persist()
+        is_late = F.lit(False) if newest is None else F.col(ts) <= F.lit(newest) - F.expr(f"INTERVAL {late}")
+        good = batch.where("problem is null")
+        for kind, own in (("in_time", good.where(~is_late).drop("problem")), ("late", good.where(is_late).drop("problem")), ("refused", batch.where("problem is not null"))):
+            own.write.mode("overwrite").parquet(f"{root}/{kind}/batch={number:08d}")
+        good.agg(F.max(ts).alias("newest")).select(F.lit(number).alias("number"), "newest").coalesce(1).write.mode("overwrite").parquet(f"{root}/newest/batch={number:08d}")  # one row
+        batch.unpersist()
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    read = lambda kind, of: spark.read.schema(of).option("recursiveFileLookup", True).parquet(f"{root}/{kind}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/in_time")
+    return Split(stream, read("late", schema), read("refused", rows.schema))
+
+
 def valid(rows: DataFrame, kinds: list[str], kind: str = "event_type", ts: str = "ts", id_: str = "event_id") -> DataFrame:
     """rows with `problem`: null for a good row, else why it is refused."""
     problem = F.when(F.col(id_).isNull(), "no id").when(F.col(ts).isNull(), "no time").when(F.col(kind).isNull() | ~F.col(kind).isin(kinds), "unknown kind")
