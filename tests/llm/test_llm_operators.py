@@ -473,3 +473,60 @@ def test_licenses_with_ties_repeats_and_long_texts(spark):
     rows = [(1, "Released under the MIT License.\nLicensed under CC BY 4.0."), (1, "Released under the MIT License.\nLicensed under CC BY 4.0."), (2, long + "\nReleased under the MIT License."), (None, "Released under the MIT License.")]
     got = licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id or 0), r.licenses, r.best_license) for r in got) == [(0, "MIT", "MIT"), (1, "CC-BY-4.0,MIT", "CC-BY-4.0"), (1, "CC-BY-4.0,MIT", "CC-BY-4.0"), (2, "MIT", "MIT")]
+
+
+def plain_passages(text):
+    """The features of each passage, counted byte by byte."""
+    data = (text or "").encode()
+    spans, at = [], 0
+    for i, b in enumerate(data):  # which word each byte belongs to; blanks go with the word before
+        blank = b == 32 or 9 <= b <= 13
+        if not blank and (i == 0 or data[i - 1] == 32 or 9 <= data[i - 1] <= 13):
+            at += 1
+        spans.append(max(at - 1, 0) // quality_mil.PASSAGE_WORDS)
+    words = data.split()
+    out = []
+    for n in range(max(1, -(-len(words) // quality_mil.PASSAGE_WORDS))):
+        row = [0.0] * quality_mil.N_FEATURES
+        own, part = [i for i, s in enumerate(spans) if s == n], words[n * quality_mil.PASSAGE_WORDS : (n + 1) * quality_mil.PASSAGE_WORDS]
+        if words:
+            for i in own:
+                row[quality_mil.CLASS_OF[data[i]]] += 1 / len(own)
+                if i:
+                    pair = (data[i - 1] * 257 + data[i]) * 2654435761 % 2**32 >> 27
+                    row[quality_mil.N_FEATURES - quality_mil.PAIR_BUCKETS + pair] += 1 / len(own)
+            row[quality_mil.N_CLASSES : quality_mil.N_CLASSES + 4] = [len(set(part)) / len(part), sum(a == b for a, b in zip(part, part[1:])) / len(part), sum(map(len, part)) / len(part) / 10, np.log1p(len(part)) / 4]
+        out.append(row)
+    return np.array(out)
+
+
+def test_quality_passages_and_forward_by_hand():
+    rng = np.random.default_rng(9)
+    texts = [None, "", "  ", "one", "a  b\n\nc!", " ".join(rng.choice(["Äh", "word,", "x1", "(y)"], 200)), "z " * 64, "z " * 65]
+    for text in texts:
+        assert np.allclose(quality_mil.passages(text), plain_passages(text), atol=1e-6)
+    bags = [quality_mil.passages(t) for t in texts]
+    flat = np.concatenate(bags)
+    model = quality_mil.GatedAttention(flat.mean(axis=0, dtype=np.float64), flat.std(axis=0, dtype=np.float64) + 1e-3)
+    got = model.forward(flat, np.cumsum([0, *map(len, bags)])[:-1])["score"]
+    for bag, score in zip(bags, got):
+        p, hidden, weights = model.p, [], []
+        for x in bag:
+            h = np.tanh(((x - model.mean) / model.std) @ p["W"] + p["b"])
+            hidden.append(h)
+            weights.append(np.exp(np.sum(p["w"] * np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"]))))))
+        z = sum(w * h for w, h in zip(weights, hidden)) / sum(weights)
+        assert score == pytest.approx(1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))))
+
+
+def test_quality_with_a_long_text_first_in_the_order(spark):
+    ids = [r[0] for r in spark.range(400).select("id").where(~quality_mil.held_out("id")).orderBy(F.xxhash64("id"), "id").limit(41).collect()]
+    good, bad = "The quiet harbour kept its boats until morning came. ", "!!! $$$ ### %%% "
+    rows = [(i, (good if n % 2 else bad) * (900 if n == 0 else 2)) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int")
+    assert len(quality_mil.passages(rows[0][1])) > 45
+    got = {r.doc_id: r.predicted for r in quality_mil.judged(docs, labels, sample_passages=45).collect()}
+    assert [got[i] for i in ids] == [n % 2 for n in range(41)]
+    bag = np.arange(10)[:, None]
+    assert quality_mil.spaced(bag, 4)[:, 0].tolist() == [0, 2, 5, 7] and quality_mil.spaced(bag, 10) is bag

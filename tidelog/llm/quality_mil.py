@@ -8,7 +8,9 @@ Tomczak and Welling, 2018).
 
 Fitting uses at most `sample_rows` labelled documents, the first in the order
 of a hash of the id, with at most `sample_passages` passages together, and runs
-on the driver; scoring covers every document.  An id with several texts counts once, with
+on the driver; scoring covers every document.  A document with more than a
+hundredth of `sample_passages` is fitted by so many of its passages, spaced
+evenly over the whole text, so that no long text takes the place of the others.  An id with several texts counts once, with
 the smallest bag.
 Only the text is ever an input of a score.
 
@@ -74,6 +76,11 @@ def passages(text: str | None) -> np.ndarray:
     return out
 
 
+def spaced(bag: np.ndarray, most: int) -> np.ndarray:
+    """The rows of a bag, or `most` of them, evenly spaced."""
+    return bag if len(bag) <= most else bag[np.arange(most) * len(bag) // most]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -141,10 +148,11 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, sample_passages: int = 400_000) -> GatedAttention | None:
     """A model from at most sample_rows labelled, not held-out documents, the first whose passages fit; None if no label can be used."""
+    most = max(1, sample_passages // 100)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [passages(x.as_py()).astype(np.float16) for x in batch.column(1)]
+            rows = [spaced(passages(x.as_py()), most).astype(np.float16) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(2)], ["id", "bag", "y"])
 
     ready(docs.sparkSession)
