@@ -414,7 +414,7 @@ def test_mixing_has_no_largest_rate(spark):
 def test_mixing_by_shuffled_salted_sources(spark, docs, monkeypatch):
     key = lambda df: sorted(((r.doc_id, r.text, r.copy_no) for r in df.collect()), key=str)
     want = key(mixing.mixed(docs))
-    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
     assert key(mixing.mixed(docs)) == want
 
 

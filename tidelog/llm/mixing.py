@@ -9,8 +9,11 @@ partitioned.  Copies are then shuffled globally by a hash of id and copy.
 A mean above PART is split into equal parts of at most PART, each drawn by a
 hash of its own, whose sum has the distribution of the mean, however large.
 
-Null sources form a source of their own.  Null or empty texts count one byte.
-Rows with equal ids draw the same number.  Without given weights a source's
+Null sources form a source of their own.  Null or empty texts count one byte, a
+very long text its bytes.  Rows with equal ids draw the same number.  Columns
+`n_copies` and `copy_no` of the input are replaced by those of the result; other
+extra columns stay.  An empty table gives no rows.  The table of sources is
+broadcast only up to BROADCAST_BYTES; beyond it, it is joined by shuffled keys.  Without given weights a source's
 weight grows as its bytes to the power `alpha`.
 """
 
@@ -21,10 +24,12 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import BROADCAST_ROWS, Scratch
+from tidelog.llm.common import Scratch
 
 #: The largest mean of a single draw: exp(-PART) stays a normal double, and arrays of probabilities short.
 PART = 256
+#: Bytes of the table of sources up to which it is broadcast: a row holds some 100 bytes and a probability for each term.
+BROADCAST_BYTES = 32 << 20
 #: Parts of a source's rows where the table of sources is too large to be broadcast; copies made at a time.
 SALTS, COPIES = 64, 65_536
 
@@ -71,7 +76,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1))
     table = table.select("__source", parts.alias("__parts"), poisson_cdf(F.col("rate") / parts, terms).alias("__cdf"))
     source = F.col(source_col)
-    if n_sources <= BROADCAST_ROWS:
+    if n_sources * (100 + 8 * (terms + 1)) <= BROADCAST_BYTES:
         mine = docs.join(F.broadcast(table), source.eqNullSafe(F.col("__source")))
     else:  # a source that holds a third of all rows spreads over SALTS keys
         salted = docs.withColumn("__salt", F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)))
