@@ -1,13 +1,16 @@
 """Each operator against a brute-force version, and on nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import struct
 import textwrap
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from brute import components, cut_words, sets_of
 from pyspark.sql import functions as F
 
@@ -530,3 +533,44 @@ def test_quality_with_a_long_text_first_in_the_order(spark):
     assert [got[i] for i in ids] == [n % 2 for n in range(41)]
     bag = np.arange(10)[:, None]
     assert quality_mil.spaced(bag, 4)[:, 0].tolist() == [0, 2, 5, 7] and quality_mil.spaced(bag, 10) is bag
+
+
+def plain_shards(rows, shards, slots):
+    """(id, crc) -> (virtual slot, shard, edited shard), from the rows (id, text) alone."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_text = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    of_longs = lambda *v: signed(reduce(lambda seed, x: seed if x is None else xxhash.xxh64_intdigest(struct.pack("<q", x), seed=seed), v, 42))
+    records = [(i, (t or ""), of_text(t or ""), len((t or "").encode()) + 1) for i, t in rows]
+    by_group = Counter()
+    n_group = Counter()
+    for _, _, g, size in records:
+        by_group[g] += size
+        n_group[g] += 1
+    total = sum(by_group.values())
+    large = {g for g in by_group if by_group[g] > total / (2 * shards) or n_group[g] > len(rows) / (2 * shards)}
+    slot = {(i, t): of_longs(g, i) % slots if g in large else of_longs(g) % slots for i, t, g, _ in records}
+    weight = Counter()
+    for i, t, _, size in records:
+        weight[slot[i, t]] += size
+    loads, place = [0] * shards, {}
+    for s, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
+        place[s] = min(range(shards), key=lambda k: (loads[k], k))
+        loads[place[s]] += w
+    return slot, place, weight
+
+
+def test_sharding_by_hand(spark):
+    """Sizes, slots and both maps recomputed; many empty and null texts, which are heavy by rows alone."""
+    rows = [(i, "" if i % 3 else None) for i in range(600)] + [(i, f"text {i} " * (i % 40)) for i in range(600, 900)] + [(None, "x"), (None, ""), (7, "twice"), (7, "twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = sharding.sharded(df, shards=4, slots=256).collect()
+    slot, place, weight = plain_shards(rows, 4, 256)
+    by_crc = {(i, zlib.crc32((t or "").encode())): s for (i, t), s in slot.items()}
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.virtual_slot == by_crc[r.doc_id, r.text_crc32] and r.shard == place[r.virtual_slot]
+    assert max(Counter(r.virtual_slot for r in out).values()) < 40
+    edited = sharding.rebalanced(place, weight, 5)
+    assert all(r.edited_shard == edited[r.virtual_slot] for r in out)
+    moved = {r.virtual_slot for r in out if r.edited_shard != r.shard}
+    assert {edited[s] for s in moved} == {4} and sum(weight[s] for s in moved) < 1.2 * sum(weight.values()) / 5

@@ -3,13 +3,16 @@
 Records hash into thousands of slots and never change slot; only the map from
 slots to shards is edited.  Its first version packs the bytes of the slots, the
 largest first, into the lightest shard; a later version moves just the slots
-that bring the shards level again.  Equal texts share a slot, so groups of
-copies stay in one shard, unless a group is larger than half a
-shard: such groups, at most 2 for each shard, are spread by id over all slots.
+that bring the shards level again.  `sharded` stores both: the map for the shards
+asked for, and its edit for one shard more.  Equal texts share a slot, so groups
+of copies stay in one shard, unless a group has more than half of a shard's
+bytes or rows: such groups, at most 4 for each shard, are spread by id over all
+slots, so no slot, and no task that numbers one, holds a group of any size.
 
 The law held is `bytes`: shard sizes nearly equal.  A null text counts no
-bytes; every record counts one more.  Repeated rows are records of their own.
-Null ids hash as such.
+bytes; every record counts one more.  Very long texts count whole.  Repeated
+rows are records of their own.  Null ids hash as such.  Extra columns are left
+out, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -78,6 +81,9 @@ class SlotMap:
         """At most SLOTS rows."""
         return self.spark.read.schema("slot int, shard int").parquet(f"{self.path}/version={version}")
 
+    def slots(self, version: int) -> dict[int, int]:
+        return {r.slot: r.shard for r in self.load(version).collect()}
+
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -91,9 +97,10 @@ def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def slotted(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
     """rows of records() with their virtual slot."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    heavy = rows.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > total / (2 * shards))
-    large = [r[0] for r in heavy.select("group").collect()]  # fewer than 2 for each shard
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    heavy = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    heavy = heavy.where((F.col("bytes") > total / (2 * shards)) | (F.col("n") > n / (2 * shards)))
+    large = [r[0] for r in heavy.select("group").collect()]  # fewer than 4 for each shard
     key = F.xxhash64("group")
     if large:
         key = F.when(F.col("group").isin(large), F.xxhash64("group", "doc_id")).otherwise(key)
@@ -105,14 +112,17 @@ def slot_bytes(rows: DataFrame) -> dict[int, int]:
 
 
 def sharded(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless), grown_shard, virtual_slot."""
+    """doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless), grown_shard, virtual_slot, edited_shard (by the map's second version, for one shard more)."""
     spark = ready(docs.sparkSession)
     scratch = scratch or Scratch(spark, "sharding")
     rows = scratch.table(records(docs, id_col, text_col), "records")
     rows = slotted(rows, shards, slots)
     stored = SlotMap(spark, scratch.path("map"))
-    stored.save(1, packed(slot_bytes(rows), shards))
-    placed = rows.join(F.broadcast(stored.load(1)), rows["virtual_slot"] == F.col("slot")).drop("slot")
+    weights = slot_bytes(rows)
+    stored.save(1, packed(weights, shards))
+    stored.save(2, rebalanced(stored.slots(1), weights, shards + 1))
+    both = stored.load(1).join(stored.load(2).select("slot", F.col("shard").alias("edited_shard")), "slot")
+    placed = rows.join(F.broadcast(both), rows["virtual_slot"] == F.col("slot")).drop("slot")
     placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "group"), F.lit(PARTS)).cast("int"))
     counts = placed.groupBy("shard", "virtual_slot", "part").agg(F.count("*").alias("n"))
     order = W.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(W.unboundedPreceding, -1)
@@ -121,5 +131,5 @@ def sharded(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str =
     numbered = placed.withColumn("place", F.row_number().over(within) - 1)
     return numbered.join(F.broadcast(starts), ["virtual_slot", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("before") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        (F.col("before") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "edited_shard",
     )
