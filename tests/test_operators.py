@@ -1,5 +1,7 @@
 """Boundary cases of the operators, worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,8 +252,17 @@ def test_every_rule_fires_and_plain_texts_stay(spark):
 
 
 def test_chunks_pack_greedily(spark):
-    rows = spark.createDataFrame([(1, "a b\nc\n\nd e f g"), (2, None)], "id long, text string")
-    assert [(r.n, r.chunk) for r in extract.chunks(rows, 3).orderBy("n").collect()] == [(0, "a b\nc"), (1, "d e f g")]
+    texts = [None, " \n ", "short  text.\n\nkept ", "A b. C d e! F\n\n\n g? h i", "a b c d e f. x", "one. two.\n\nthree four. five", "e.g.x a b c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for r in extract.chunks(rows, 4).orderBy("id", "n").collect():
+        got.setdefault(r.id, []).append(r.chunk)
+    assert got == {
+        2: ["short  text.\n\nkept "], 3: ["A b.", "C d e! F", "g? h i"], 4: ["a b c d e f.", "x"],
+        5: ["one. two.\n\nthree four.", "five"], 6: ["e.g.x a b c"],
+    }
+    tiny = extract.chunks(rows.where("id = 3"), 0).orderBy("n").collect()
+    assert [r.chunk for r in tiny] == ["A b.", "C d e!", "F", "g?", "h i"]
 
 
 def test_unknown_conditions_suppress(spark):
@@ -277,3 +288,66 @@ def test_word_functions(spark):
     row = spark.createDataFrame([("  a  b ", None, "x" * 5)], "a string, b string, c string")
     out = row.select(text.word_count(F.col("a")), text.word_count(F.col("b")), text.cut(F.col("c"), 4), text.coverage(F.lit("red fox"), F.lit("the red"))).first()
     assert tuple(out) == (2, 0, "xxx…", 0.5)
+
+
+def test_packets_pass_over_what_does_not_fit(spark):
+    rows = [(1, 0.9, 5), (2, 0.9, 9), (3, 0.8, 4), (4, 0.7, 2), (5, 0.5, 1), (6, 0.66, 1)]
+    frame = spark.createDataFrame([(*r, "a") for r in rows] + [(7, 0.9, 20, "b"), (8, 0.7, 10, "b")], "id long, confidence double, n_tokens int, part string")
+    assert [(r.id, r.used) for r in claims.packet(frame.where("part = 'a'"), 10, 10).orderBy("used").collect()] == [(1, 5), (3, 9), (6, 10)]
+    assert {(r.id, r.used) for r in claims.packet(frame.where("part = 'a'"), 2, 10).collect()} == {(1, 5)}
+    assert {(r.part, r.id) for r in claims.packet(frame, 10, 10, keys=("part",)).collect()} == {("a", 1), ("a", 3), ("a", 6), ("b", 8)}
+    assert claims.packet(frame.limit(0), 10, 10).collect() == []
+
+
+def plain_expansion(claims_of, proofs, events, graph, b):
+    """One request, step by step."""
+    fits = {c: min(b.nodes, b.edges, b.evidence, b.tokens) > 0 and any(len((events[e][0] or "").split()) <= b.tokens for _, e in proofs.get(c, []) if e in events) for c in claims_of}
+    out, seen, nodes, edges, tokens, n, cut = [], set(), 0, 0, 0, 0, False
+    for c in sorted(claims_of, key=lambda c: (not fits[c], c)):
+        if nodes == b.nodes:
+            cut = True
+            continue
+        nodes += 1
+        out.append(("claim", str(c), None))
+        for p, e in sorted(proofs.get(c, [])):
+            if e not in events:
+                continue
+            text, episode = events[e]
+            w = len((text or "").split())
+            if n == b.evidence or edges == b.edges or w > b.tokens - tokens:
+                cut = True
+                continue
+            tokens, edges, n = tokens + w, edges + 1, n + 1
+            out.append(("evidence", str(p), w))
+            links = [("episode", episode)] + [x for entity, identity in sorted(graph.get(e, []), key=str) for x in (("entity", entity), ("identity", identity))]
+            for kind, node in links:
+                if node is None or (kind, node) in seen:
+                    continue
+                if nodes == b.nodes or edges == b.edges:
+                    cut = True
+                    continue
+                seen.add((kind, node))
+                nodes, edges = nodes + 1, edges + 1
+                out.append((kind, str(node), None))
+    return [*out, ("end", "", tokens)], cut
+
+
+@pytest.mark.parametrize("budget", [(12, 14, 5, 60), (3, 100, 100, 1000), (100, 3, 100, 1000), (100, 100, 2, 1000), (100, 100, 100, 9), (0, 0, 0, 0), (5, 0, 5, 5)])
+def test_expansion_within_budgets(spark, budget):
+    rng, b = random.Random(sum(budget)), claims.Budget(*budget)
+    events = {e: (rng.choice([None, "", "w " * rng.randint(1, 12)]), rng.choice([None, e % 3])) for e in range(25)}
+    graph = {e: [(f"e{e % 6}", f"i{e % 2}"), (f"e{e % 4 + 6}", None)][: rng.randint(0, 2)] for e in range(25)}
+    proofs = {c: [(c * 10 + k, rng.randint(0, 28)) for k in range(rng.randint(0, 4))] for c in range(12)}
+    wanted = {r: [rng.randint(0, 14) for _ in range(rng.randint(1, 6))] for r in range(8)}
+    frame = spark.createDataFrame
+    got = {}
+    out = claims.expansion(
+        frame([(r, c) for r, cs in wanted.items() for c in cs], "request long, claim long"), frame([(c, p, e) for c, ps in proofs.items() for p, e in ps], "claim long, id long, event long"),
+        frame([(e, t, x) for e, (t, x) in events.items()], "event long, text string, episode long"), frame([(e, n) for e, ns in graph.items() for n, _ in ns], "event long, entity string"),
+        frame([(f"e{k}", f"i{i}") for k in range(6) for i in {e % 2 for e in range(25) if e % 6 == k}], "entity string, identity string"), b,
+    )
+    for r in sorted(out.collect(), key=lambda r: (r.request, r.place)):
+        got.setdefault(r.request, []).append(((r.kind, r.node, r.n_tokens), r.truncated))
+    for r, cs in wanted.items():
+        want, cut = plain_expansion(set(cs), proofs, events, graph, b)
+        assert [x for x, _ in got[r]] == want and got[r][-1][1] == cut

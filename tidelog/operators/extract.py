@@ -252,19 +252,30 @@ def cascade(*steps):
     return out.otherwise(F.lit("allow"))
 
 
-def chunks(rows: DataFrame, most: int, id_: str = "id", text: str = "text") -> DataFrame:
-    """(id, n, chunk): paragraphs packed greedily up to `most` words each; a longer paragraph is a chunk of its own.
+def chunks(rows: DataFrame, most: int = 1500, id_: str = "id", text: str = "text") -> DataFrame:
+    """(id, n, chunk): a text of up to `most` words whole; else its sentences packed greedily up to `most` words.
 
-    Null and empty texts give none.
+    Paragraphs end at an empty line, sentences at `.`, `!` or `?` before white
+    space.  In a chunk a paragraph's first sentence follows after an empty line,
+    any other after a space.  A longer sentence is a chunk of its own.  Null and
+    blank texts give none.
     """
-    paragraphs = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n|\n"), lambda p: F.trim(p) != "")
-    count = lambda p: F.size(F.split(F.trim(p), r"\s+"))
+    space = f"[{_SPACE}]"
+    trimmed = lambda x: F.regexp_replace(x, f"^{space}+|{space}+$", "")
+    count = lambda x: F.size(F.filter(F.split(x, f"{space}+"), lambda w: w != ""))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    paragraphs = F.filter(F.transform(F.split(whole, "\n\n"), trimmed), lambda p: p != "")
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.transform(F.split(p, f"(?<=[.!?]){space}+"), lambda s, i: F.struct(s.alias("s"), count(s).alias("w"), F.when(i == 0, "\n\n").otherwise(" ").alias("sep")))))
     state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
-    step = lambda s, p: F.when(
-        (s["n"] > 0) & (s["n"] + count(p) > most), F.struct(F.concat(s["done"], F.array(s["open"])).alias("done"), p.alias("open"), count(p).alias("n"))
-    ).otherwise(F.struct(s["done"].alias("done"), F.when(s["n"] == 0, p).otherwise(F.concat(s["open"], F.lit("\n"), p)).alias("open"), (s["n"] + count(p)).alias("n")))
-    packed = F.aggregate(paragraphs, state, step, lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
-    return rows.select(id_, F.posexplode(packed).alias("n", "chunk"))
+    full = lambda a, x: (a["open"] != "") & (a["n"] + x["w"] > most)
+
+    def step(a, x):
+        begun = F.struct(F.array_append(a["done"], a["open"]).alias("done"), x["s"].alias("open"), x["w"].alias("n"))
+        longer = F.struct(a["done"].alias("done"), F.when(a["open"] == "", x["s"]).otherwise(F.concat(a["open"], x["sep"], x["s"])).alias("open"), (a["n"] + x["w"]).alias("n"))
+        return F.when(full(a, x), begun).otherwise(longer)
+
+    packed = F.aggregate(sentences, state, step, lambda a: F.when(a["open"] != "", F.array_append(a["done"], a["open"])).otherwise(a["done"]))
+    return rows.select(id_, F.posexplode(F.when(count(whole) == 0, F.array().cast("array<string>")).when(count(whole) <= most, F.array(whole)).otherwise(packed)).alias("n", "chunk"))
 
 
 def context_header(app, title, url, ts, body):

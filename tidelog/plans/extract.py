@@ -152,9 +152,20 @@ def mail_header_cascade(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", verdict.alias("verdict"))
 
 
-@query()
+_BLANK = r"[\s\v\x{85}\pZ]+"
+_CHUNKS = rf"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text, len(list_filter(string_split_regex(coalesce(text, ''), '{_BLANK}'), lambda x: x <> '')) AS words FROM documents),
+p AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS k FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^{_BLANK}|{_BLANK}$', '', 'g')), lambda x: x <> '') AS ps FROM t WHERE words > 300)),
+s AS (SELECT doc_id, k, unnest(ss) AS s, unnest(range(len(ss))) AS j FROM (SELECT doc_id, k, string_split(regexp_replace(p, '([.!?]){_BLANK}', '\1' || chr(1), 'g'), chr(1)) AS ss FROM p)),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS i, len(list_filter(string_split_regex(s, '{_BLANK}'), lambda x: x <> '')) AS w FROM s),
+f(doc_id, i, c, used, fresh) AS (SELECT doc_id, i, 0, w, true FROM o WHERE i = 1 UNION ALL
+    SELECT o.doc_id, o.i, CASE WHEN f.used + o.w > 300 THEN f.c + 1 ELSE f.c END, CASE WHEN f.used + o.w > 300 THEN o.w ELSE f.used + o.w END, f.used + o.w > 300 FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1),
+g AS (SELECT doc_id, c AS n, string_agg(CASE WHEN fresh THEN '' WHEN j = 0 THEN chr(10) || chr(10) ELSE ' ' END || s, '' ORDER BY i) AS chunk FROM f JOIN o USING (doc_id, i) GROUP BY doc_id, c)
+SELECT doc_id, n, md5(chunk) AS digest FROM g UNION ALL SELECT doc_id, 0, md5(text) FROM t WHERE words BETWEEN 1 AND 300"""
+
+
+@query(_CHUNKS)
 def chunker(spark, sf):
-    return x.chunks(table(spark, sf, "documents"), 120, "doc_id").select("doc_id", "n", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+    return x.chunks(table(spark, sf, "documents"), 300, "doc_id").select("doc_id", "n", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN '' ELSE md5('[app=' || role || ' | title=? | url=? | ts=' || turn || ']' || chr(10) || text) END AS digest FROM conversations""")

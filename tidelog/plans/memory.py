@@ -86,8 +86,9 @@ def claim_projection(spark, sf):
     return c.projected(deltas, table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("payload"))).select("id", "fate")
 
 
-@query(f"""WITH {_CLAIMS}, p AS (SELECT id, confidence, (subject % 40 + 1) AS n_tokens FROM cl WHERE confidence >= 0.65 ORDER BY confidence DESC, id LIMIT 200),
-q AS (SELECT id, n_tokens, sum(n_tokens) OVER (ORDER BY confidence DESC, id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM p) SELECT id, used FROM q WHERE used <= 1200""")
+@query(f"""WITH RECURSIVE {_CLAIMS}, p AS (SELECT id, (subject % 40 + 1)::BIGINT AS n, row_number() OVER (ORDER BY confidence DESC, id) AS i FROM cl WHERE confidence >= 0.65 ORDER BY confidence DESC, id LIMIT 200),
+f(i, used, id) AS (SELECT 0::BIGINT, 0::BIGINT, NULL::BIGINT UNION ALL SELECT p.i, CASE WHEN used + n <= 1200 THEN used + n ELSE used END, CASE WHEN used + n <= 1200 THEN p.id END FROM f JOIN p ON p.i = f.i + 1)
+SELECT id, used FROM f WHERE id IS NOT NULL""")
 def context_packet(spark, sf):
     rows = claims(spark, sf).withColumn("n_tokens", F.col("subject") % 40 + 1)
     return c.packet(rows, 200, 1200).select("id", "used")
@@ -98,6 +99,23 @@ def packet_sections(spark, sf):
     return claims(spark, sf).groupBy(c.section(F.col("predicate")).alias("section")).agg(F.count("*").alias("n"))
 
 
+#: What questions may bring along.
+BUDGET = c.Budget(nodes=12, edges=14, evidence=5, tokens=60)
+
+
+@query()
+def memory_expansion(spark, sf):
+    """Customers as requests, their orders as claims, documents as evidence of the items: what fits each budget."""
+    seeds = table(spark, sf, "orders").select(F.col("o_custkey").alias("request"), F.col("o_orderkey").alias("claim"))
+    n = table(spark, sf, "documents").agg(F.count("*").alias("n"))  # one row
+    event = (F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("n")
+    proof = table(spark, sf, "lineitem").join(F.broadcast(n)).select(F.col("l_orderkey").alias("claim"), (F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("id"), event.alias("event")).distinct()
+    events = table(spark, sf, "documents").select(F.col("doc_id").alias("event"), F.left("text", F.lit(300)).alias("text"), (F.col("doc_id") % 50).alias("episode"))
+    mentions = table(spark, sf, "documents").select(F.col("doc_id").alias("event"), F.col("source").alias("entity")).where("entity is not null")
+    identities = mentions.select("entity", F.upper("entity").alias("identity")).distinct()
+    return c.expansion(seeds, proof, events, mentions, identities, BUDGET)
+
+
 def _cut(spark):
     from tidelog.sources.tables import checkpointed
 

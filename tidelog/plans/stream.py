@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelog.plans.registry import query
 from tidelog.operators.timeline import HOUR
 from tidelog.sources.tables import micros, table
+from tidelog.sources.transcripts import transcript_lines
 from tidelog.streaming import ingest as s
 from tidelog.streaming import stateful
 
@@ -66,3 +67,14 @@ def stream_intervals(spark, sf):
     rows = rows.withColumn("end_us", F.col("start_us") + 2 * HOUR)
     day = 1_704_067_200_000_000 + 24 * HOUR
     return s.drained(stateful.appended(rows, "device", [(day, day + 6 * HOUR)], longest=2 * HOUR), "intervals")
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
+def stream_transcripts(spark, sf):
+    """Conversations written as lines and read back by their source."""
+    folder = s.shared_path(spark, "transcripts")
+    rows = table(spark, sf, "conversations").repartition(4, "conv_id").select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value"))
+    rows.write.text(folder)
+    lines = s.drained(transcript_lines(spark, folder, ".txt"), "lines")
+    said = F.from_json("line", "conv_id long, turn long, role string, text string")
+    return lines.select(said.alias("x")).select("x.conv_id", "x.turn", "x.role", F.md5(F.col("x.text").cast("binary")).alias("digest"))
