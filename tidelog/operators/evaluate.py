@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.operators.ranges import before, ranged
+
 
 def ranked_scores(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Per query: precision, recall and hit at k, reciprocal rank.  hits: (query, rank, id); relevant: (query, id).
@@ -40,19 +44,24 @@ def summary(cases: DataFrame) -> DataFrame:
 def abstention_threshold(samples: DataFrame, *keys: str) -> DataFrame:
     """The midpoint between neighbouring scores with the best Youden J; of equals the lowest.  samples: (score, positive).
 
-    One sorted pass: counts above each midpoint are running sums.
+    Counts above each midpoint are running sums over ranges of scores, each
+    sorted apart, and of those over whole ranges.
     """
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    grouped = samples.groupBy(*keys, "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    order = part.orderBy("score")
-    below = order.rowsBetween(W.unboundedPreceding, 0)
-    out = grouped.withColumns(
-        {"next": F.lead("score").over(order), "pb": F.sum("p").over(below), "nb": F.sum("n").over(below), "pt": F.sum("p").over(part), "nt": F.sum("n").over(part)}
-    ).where(F.col("next").isNotNull() & (F.col("pt") > 0) & (F.col("nt") > 0))
+    grouped = samples.where("score is not null").groupBy(*keys, "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    rows = before(ranged(grouped, "score", keys), keys, {"pb": F.col("p"), "nb": F.col("n")})
+    firsts = rows.groupBy(*keys, "__range").agg(F.min("score").alias("first"))  # RANGES rows a key at most
+    firsts = firsts.select(*keys, "__range", F.lead("first").over(W.partitionBy(*keys).orderBy("__range")).alias("after"))
+    rows = rows.join(firsts.withColumnsRenamed({k: f"__f_{k}" for k in (*keys, "__range")}), reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"__f_{k}")), (*keys, "__range"), F.lit(True)))
+    order = W.partitionBy(*keys, "__range").orderBy("score")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    out = rows.select(
+        *keys, "score", F.coalesce(F.lead("score").over(order), F.col("after")).alias("next"), (F.col("pb") + F.sum("p").over(upto)).alias("pb"),
+        (F.col("nb") + F.sum("n").over(upto)).alias("nb"), F.col("pb_all").alias("pt"), F.col("nb_all").alias("nt"),
+    ).where(F.col("next").isNotNull() & (F.col("pt") > 0) & (F.col("nt") > 0))
     j = (F.col("pt") - F.col("pb")) / F.col("pt") - (F.col("nt") - F.col("nb")) / F.col("nt")
     out = out.select(*keys, ((F.col("score") + F.col("next")) / 2).alias("threshold"), F.round(j, 9).alias("youden"))
-    best = F.row_number().over(part.orderBy(F.desc("youden"), "threshold"))
-    return out.withColumn("__r", best).where("__r = 1").drop("__r")
+    best = out.groupBy(*keys).agg(F.min(F.struct((-F.col("youden")).alias("minus"), "threshold")).alias("b"))
+    return best.select(*keys, "b.threshold", (-F.col("b.minus")).alias("youden"))
 
 
 def gate(metrics: DataFrame, bounds: DataFrame) -> DataFrame:

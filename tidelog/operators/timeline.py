@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.operators.ranges import before, ranged
+
 SECOND, MINUTE, HOUR, DAY = 1_000_000, 60_000_000, 3_600_000_000, 86_400_000_000
 
 #: Sources that show what was also visible, not what had the focus.
@@ -250,10 +252,14 @@ def health(rows: DataFrame, counter: str, device: str = "device") -> DataFrame:
 
 def distribution(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """min, nearest-rank p50 and p95, max and mean of each key; rank index ((n - 1) p + 50) div 100."""
-    order = W.partitionBy(*keys).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).withColumns({"__i": F.row_number().over(order) - 1, "__n": F.count("*").over(W.partitionBy(*keys))})
-    at = lambda p: F.max(F.when(F.col("__i") == F.floor(((F.col("__n") - 1) * p + 50) / 100), F.col(value)))
-    return ranked.groupBy(*keys).agg(F.min(value).alias("least"), at(50).alias("p50"), at(95).alias("p95"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))  # equal values meet before the shuffle
+    rows = before(ranged(counted, value, keys), keys, {"__before": F.col("__c")})
+    upto = F.col("__before") + F.sum("__c").over(W.partitionBy(*keys, "__range").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    placed = rows.withColumn("__upto", upto)
+    place = lambda p: F.floor(((F.col("__before_all") - 1) * p + 50) / 100)
+    at = lambda p: F.max(F.when((place(p) < F.col("__upto")) & (place(p) >= F.col("__upto") - F.col("__c")), F.col(value)))
+    mean = F.sum(F.col(value) * F.col("__c")) / F.sum("__c")
+    return placed.groupBy(*keys).agg(F.min(value).alias("least"), at(50).alias("p50"), at(95).alias("p95"), F.max(value).alias("most"), F.round(mean, 6).alias("mean"))
 
 
 def downsampled(rows: DataFrame, per: int, start: int, end: int, device: str = "device", preferred=None) -> DataFrame:

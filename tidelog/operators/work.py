@@ -93,7 +93,7 @@ def brief(rows: DataFrame, day: str, most: int = 2048, n: int = 9) -> DataFrame:
 def round_robin(rows: DataFrame, segment: str, n: int) -> DataFrame:
     """n rows in turn from each segment, the newest of each first."""
     turn = F.row_number().over(W.partitionBy(segment).orderBy(F.desc("ts_us"), F.desc("id")))
-    return rows.withColumn("turn", turn).orderBy("turn", segment).limit(n)
+    return rows.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", segment).limit(n)  # the newest n of a segment are enough
 
 
 def merged_tags(rows: DataFrame, keys: list[str], position: str = "pos", tag: str = "tag", word: str = "word", score: str = "score") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.plans.registry import query
+from tidelog.plans.timeline import REPEATS_SQL
 from tidelog.operators.timeline import HOUR
 from tidelog.sources.tables import micros, table
 from tidelog.sources.transcripts import transcript_lines
@@ -53,7 +54,7 @@ def stream_dead_letter(spark, sf):
     return counts[0].join(F.broadcast(counts[1]))  # one row each
 
 
-@query()
+@query(REPEATS_SQL)
 def stream_repeats(spark, sf):
     """`repeat_suppression` as a stream: eight remembered rows a device."""
     rows = _events(spark, sf).select(F.col("event_id").alias("id"), micros("ts").alias("ts_us"), F.col("user_id").alias("device"), F.col("event_type").alias("app"))

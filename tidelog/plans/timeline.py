@@ -117,7 +117,15 @@ def near_in_time_pairs(spark, sf):
     return t.near_pairs(moments(spark, sf), "device", 2 * HOUR, "app").select("id_a", "id_b")
 
 
-@query()
+#: Row by row: what was kept lately goes along as a list.
+REPEATS_SQL = f"""WITH RECURSIVE {M}, o AS (SELECT id, ts_us, device, app, row_number() OVER (PARTITION BY device ORDER BY ts_us, id) AS i FROM m),
+f(device, i, kept, taken) AS (SELECT device, 0::BIGINT, []::STRUCT(t BIGINT, x VARCHAR)[], false FROM (SELECT DISTINCT device FROM o) UNION ALL
+    SELECT device, i, CASE WHEN new THEN list_append(kept, {{'t': ts_us, 'x': lower(app)}})[-8:] ELSE kept END, new FROM (
+        SELECT f.device, o.i, f.kept, o.ts_us, o.app, len(list_filter(f.kept, lambda k: k.x = lower(o.app) AND o.ts_us - k.t < {24 * HOUR})) = 0 AS new FROM f JOIN o ON o.device = f.device AND o.i = f.i + 1))
+SELECT o.id, o.ts_us, o.device, o.app FROM f JOIN o ON o.device = f.device AND o.i = f.i WHERE taken"""
+
+
+@query(REPEATS_SQL)
 def repeat_suppression(spark, sf):
     rows = moments(spark, sf).select("id", "ts_us", "device", "app")
     return t.collapsed_repeats(rows, "device", "app", within=24 * HOUR)
