@@ -574,3 +574,20 @@ def test_sharding_by_hand(spark):
     assert all(r.edited_shard == edited[r.virtual_slot] for r in out)
     moved = {r.virtual_slot for r in out if r.edited_shard != r.shard}
     assert {edited[s] for s in moved} == {4} and sum(weight[s] for s in moved) < 1.2 * sum(weight.values()) / 5
+
+
+def test_licenses_of_many_short_stretches(spark):
+    """A full text with a mark at the head of each line, and a very long text of stretches too thin to match."""
+    gpl = dict(licenses.TEXTS)["GPL-3.0"]
+    marked = "\n".join(f"dnl {x}" for x in gpl.split("\n"))
+    words = gpl.split()
+    thin = " ".join(" ".join((*words[i % len(words) : i % len(words) + 2], f"x{i}", f"y{i}", f"z{i}")) for i in range(40_000))
+    docs = spark.createDataFrame([(1, gpl, "a"), (2, marked, "a"), (3, thin, "a")], "doc_id long, text string, licenses string").repartition(3)
+    got = {r.doc_id: r for r in licenses.scanned(docs).collect()}
+    assert all(got[i].licenses == "GPL-3.0" for i in (1, 2)) and got[3].n_matches == 0
+    pairs = set(licenses.bigrams_of(gpl))
+    own = licenses._row_of(marked)
+    first, last = (next(i for i in order if own[i] in pairs) for order in (range(len(own)), range(len(own) - 1, -1, -1)))
+    run = set(own[first : last + 1])
+    assert got[2].best_dice >= round(2 * len(run & pairs) / (len(run) + len(pairs)), 6)
+    assert licenses.scanned(docs.limit(0)).collect() == []

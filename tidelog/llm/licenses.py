@@ -13,11 +13,15 @@ and for each full licence text.  A text with fewer than s * t / (2 - t) of the
 template's bigrams has no run that matches.  In the others every run is
 compared that begins where a stretch of the template's bigrams begins, ends
 where one ends, and is up to (2 - t) / t times as long as the template; a longer
-or shorter end only adds bigrams the template lacks or drops some it has.  The
-best run counts: one match for each template.
+or shorter end only adds bigrams the template lacks or drops some it has.  All
+runs with one beginning are one pass of running counts, and only beginnings that
+enough of the template's bigrams follow are looked at.  The best run counts: one
+match for each template.
 
 Null or empty texts and passages of one word match nothing; they give a row
-with no licence.  Every row of the input gives one row.
+with no licence.  Very long texts are scanned whole.  Every row of the input gives
+one row, repeated ones too; an empty table gives none.  Extra columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,30 +105,52 @@ def _matches(name: str, pairs: list[str], threshold: float):
     return F.transform(F.filter(dice, lambda d: d >= threshold), lambda d: F.struct((-d).alias("minus"), F.lit(name).alias("license")))
 
 
-def _runs(pairs: list[str], length: int, threshold: float):
-    """Structs (at, n): the runs of __row to compare with a template of `length` bigrams."""
-    low, most = max(bounds(len(pairs), threshold)[0], 1), int(length * (2 - threshold) / threshold + 1e-9)
-    places = F.expr(f"filter(transform(__row, (g, i) -> if({_among(pairs)}, i, -1)), i -> i >= 0)")
+def _before(row):
+    """For each place of a row of bigrams the place before it with the same bigram, -1 if there is none: two sorts."""
+    of = lambda s: F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), F.when((k > 0) & (F.get(s, k - 1)["g"] == x["g"]), F.get(s, k - 1)["i"]).otherwise(-1).alias("b")))
+    paired = _let(F.array_sort(F.transform(row, lambda g, i: F.struct(g.alias("g"), i.alias("i")))), of)
+    return F.transform(F.array_sort(paired), lambda x: x["b"])
 
-    def of(place):
-        hits = F.transform(place, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-        begins = F.filter(hits, lambda h: (h["i"] == 0) | (F.get(place, h["i"] - 1) != h["p"] - 1))
-        ends = F.filter(hits, lambda h: (h["i"] == F.size(place) - 1) | (F.get(place, h["i"] + 1) != h["p"] + 1))
-        fit = lambda a: lambda b: (b["p"] - a["p"] < most) & (b["i"] - a["i"] + 1 >= low)
-        run = lambda a: lambda b: F.struct((a["p"] + 1).alias("at"), (b["p"] - a["p"] + 1).alias("n"))
-        return _let(begins, lambda bs: _let(ends, lambda es: F.flatten(F.transform(bs, lambda a, k: F.transform(F.filter(F.slice(es, k + 1, F.lit(most)), fit(a)), run(a))))))
 
-    return _let(places, of)
+def _best_run(pairs: list[str], length: int, threshold: float):
+    """The best coefficient of the runs of __row that begin and end with a stretch of a template of `length` bigrams; null without one.
+
+    A run is looked at only where enough of the template's bigrams follow its
+    beginning.  Its end moves through the row once: a bigram is new to the run
+    if its place before (__before) lies before the beginning, so the numbers of
+    distinct bigrams, the template's and others, are running counts.
+    """
+    n, low, most = len(pairs), max(bounds(len(pairs), threshold)[0], 1), int(length * (2 - threshold) / threshold + 1e-9)
+    marks = F.expr(f"transform(__row, (g, i) -> struct({_among(pairs)} AS hit, __before[i] AS before))")
+    ended = lambda m: F.transform(m, lambda z, i: F.struct(z["hit"].alias("hit"), z["before"].alias("before"), (z["hit"] & ~F.coalesce(F.get(m, i + 1)["hit"], F.lit(False))).alias("stop")))
+
+    def of(row, places):
+        hits = F.transform(places, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+        begins = F.filter(hits, lambda h: ((h["i"] == 0) | (F.get(places, h["i"] - 1) != h["p"] - 1)) & (F.get(places, h["i"] + low - 1) - h["p"] < most))
+
+        def best(begin):
+            def step(s, z):
+                new = z["before"] < begin["p"]
+                own, other = s["own"] + (new & z["hit"]).cast("int"), s["other"] + (new & ~z["hit"]).cast("int")
+                dice = F.when(z["stop"], F.greatest(s["dice"], F.lit(2.0) * own / (own + other + n))).otherwise(s["dice"])
+                return F.struct(own.alias("own"), other.alias("other"), dice.alias("dice"))
+
+            start = F.struct(F.lit(0).alias("own"), F.lit(0).alias("other"), F.lit(0.0).alias("dice"))
+            return F.aggregate(F.slice(row, begin["p"] + 1, most), start, step, lambda s: s["dice"])
+
+        return F.array_max(F.transform(begins, best))
+
+    places = lambda row: F.filter(F.transform(row, lambda z, i: F.when(z["hit"], i).otherwise(-1)), lambda i: i >= 0)
+    return _let(_let(marks, ended), lambda row: _let(places(row), lambda p: of(row, p)))
 
 
 def _inside(name: str, text: str, near: str, threshold: float, unless=None):
     """At most one struct like those of _matches: the best run of a text that matches one template."""
     pairs, length = bigrams_of(text), len(_row_of(text))
-    known, n, low = F.split(F.lit("\n".join(pairs)), "\n"), len(pairs), max(bounds(len(pairs), threshold)[0], 1)
-    dice = F.transform(_runs(pairs, length, threshold), lambda r: _let(F.array_distinct(F.slice("__row", r["at"], r["n"])), lambda p: F.lit(2.0) * F.size(F.array_intersect(p, known)) / (F.size(p) + n)))
+    known, low = F.split(F.lit("\n".join(pairs)), "\n"), max(bounds(len(pairs), threshold)[0], 1)
     none = F.array().cast("array<struct<minus:double,license:string>>")
     may = (F.size(near) >= low) & (F.size(F.array_intersect(F.col(near), known)) >= low)
-    found = _let(F.array_max(dice), lambda d: F.when(d >= threshold, F.array(F.struct((-d).alias("minus"), F.lit(name).alias("license")))).otherwise(none))
+    found = _let(_best_run(pairs, length, threshold), lambda d: F.when(d >= threshold, F.array(F.struct((-d).alias("minus"), F.lit(name).alias("license")))).otherwise(none))
     return F.when(may if unless is None else may & (F.size(unless) == 0), found).otherwise(none)
 
 
@@ -146,6 +172,8 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     known, noticed = ({p for _, t in x for p in bigrams_of(t)} for x in (short + full, short))
     near = lambda column, pairs: F.expr(f"filter({column}, g -> {_among(pairs)})" if pairs else f"slice({column}, 1, 0)")
     rows = rows.select("*", F.array_distinct(near("__row", known)).alias("__near"))
+    least = min((max(bounds(len(bigrams_of(t)), threshold)[0], 1) for _, t in short + full), default=1)
+    rows = rows.withColumn("__before", F.when(F.size("__near") >= least, _before(F.col("__row"))).otherwise(F.array().cast("array<int>")))
     rows = rows.select("*", near("__near", noticed).alias("__noticed"), *[_matches(name, pairs, threshold).alias(f"__m{i}") for i, (name, pairs) in enumerate(sets)])
     matches = [f"__m{i}" for i in range(len(sets))]
     matches += [_inside(name, t, "__noticed", threshold, f"__m{i}") for i, (name, t) in enumerate(short)] + [_inside(name, t, "__near", threshold) for name, t in full]
