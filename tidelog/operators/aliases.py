@@ -124,9 +124,13 @@ class Resolver:
         now = self.keep(leaves.select("id").where(F.lit(False)).withColumn("core", F.lit("")))
         if leaves.isEmpty():
             return now if sure is None else sure
+        first = True
         while True:
             base = now if sure is None else now.unionByName(sure)
             new = self.keep(decide(base).select("id", "core"))
+            if first and new.isEmpty():
+                return base
+            first = False
             if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
                 return base
             now = new

@@ -177,7 +177,7 @@ def hybrid_recall(spark, sf):
     times = table(spark, sf, "events").select(F.col("event_id").alias("id"), s.recency(micros("ts"), NOW, 240.0).alias("recency"))
     pool = s.pooled(s.best(vectors(spark, sf), s.POOL).select("id", "score"), s.best(lexical, s.POOL))
     # Facts of the pool's rows only: the pool is broadcast to the times and to the names.
-    pool = times.join(F.broadcast(pool), "id")
+    pool = times.join(F.broadcast(docs(spark, sf).select("id").join(F.broadcast(pool), "id")), "id")  # moments have a document
     pool = pool.join(known.named(s.capitalised(QUESTION)), "id", "left")
     found = s.ranked(pool.withColumns({"mentions": F.coalesce("mentions", F.lit(0)), "source": F.lit(0.68)}), 10)
     return found.select("id", F.round("score", 6).alias("score"))
