@@ -79,3 +79,11 @@ def stream_transcripts(spark, sf):
     lines = s.drained(transcript_lines(spark, folder, ".txt"), "lines")
     said = F.from_json("line", "conv_id long, turn long, role string, text string")
     return lines.select(said.alias("x")).select("x.conv_id", "x.turn", "x.role", F.md5(F.col("x.text").cast("binary")).alias("digest"))
+
+
+@query("SELECT page_id, url, md5(html) AS digest FROM pages")
+def exported_lines(spark, sf):
+    """Pages exported as JSON lines, read back."""
+    path, rows = s.shared_path(spark, "export"), table(spark, sf, "pages")
+    s.export_lines(rows, path)
+    return spark.read.schema(rows.schema).json(path).select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("digest"))
