@@ -144,14 +144,20 @@ def _best_run(pairs: list[str], length: int, threshold: float):
     return _let(_let(marks, ended), lambda row: _let(places(row), lambda p: of(row, p)))
 
 
-def _inside(name: str, text: str, near: str, threshold: float, unless=None):
+def _may(text: str, near: str, threshold: float, unless=None):
+    """Whether a text has enough of a template's bigrams for a run of it to match, and nothing before matched the template."""
+    pairs = bigrams_of(text)
+    known, low = F.split(F.lit("\n".join(pairs)), "\n"), max(bounds(len(pairs), threshold)[0], 1)
+    may = (F.size(near) >= low) & (F.size(F.array_intersect(F.col(near), known)) >= low)
+    return may if unless is None else may & (F.size(unless) == 0)
+
+
+def _inside(name: str, text: str, may: str, threshold: float):
     """At most one struct like those of _matches: the best run of a text that matches one template."""
     pairs, length = bigrams_of(text), len(_row_of(text))
-    known, low = F.split(F.lit("\n".join(pairs)), "\n"), max(bounds(len(pairs), threshold)[0], 1)
     none = F.array().cast("array<struct<minus:double,license:string>>")
-    may = (F.size(near) >= low) & (F.size(F.array_intersect(F.col(near), known)) >= low)
     found = _let(_best_run(pairs, length, threshold), lambda d: F.when(d >= threshold, F.array(F.struct((-d).alias("minus"), F.lit(name).alias("license")))).otherwise(none))
-    return F.when(may if unless is None else may & (F.size(unless) == 0), found).otherwise(none)
+    return F.when(F.col(may), found).otherwise(none)
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, templates=TEMPLATES, texts=TEXTS) -> DataFrame:
@@ -172,11 +178,13 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     known, noticed = ({p for _, t in x for p in bigrams_of(t)} for x in (short + full, short))
     near = lambda column, pairs: F.expr(f"filter({column}, g -> {_among(pairs)})" if pairs else f"slice({column}, 1, 0)")
     rows = rows.select("*", F.array_distinct(near("__row", known)).alias("__near"))
-    least = min((max(bounds(len(bigrams_of(t)), threshold)[0], 1) for _, t in short + full), default=1)
-    rows = rows.withColumn("__before", F.when(F.size("__near") >= least, _before(F.col("__row"))).otherwise(F.array().cast("array<int>")))
     rows = rows.select("*", near("__near", noticed).alias("__noticed"), *[_matches(name, pairs, threshold).alias(f"__m{i}") for i, (name, pairs) in enumerate(sets)])
-    matches = [f"__m{i}" for i in range(len(sets))]
-    matches += [_inside(name, t, "__noticed", threshold, f"__m{i}") for i, (name, t) in enumerate(short)] + [_inside(name, t, "__near", threshold) for name, t in full]
+    templates_of_runs = [(name, t, "__noticed", f"__m{i}") for i, (name, t) in enumerate(short)] + [(name, t, "__near", None) for name, t in full]
+    flags = [f"__may{i}" for i in range(len(templates_of_runs))]
+    rows = rows.select("*", *[_may(t, column, threshold, unless).alias(flag) for flag, (_, t, column, unless) in zip(flags, templates_of_runs)])
+    any_may = F.expr(" OR ".join(flags) or "false")
+    rows = rows.withColumn("__before", F.when(any_may, _before(F.col("__row"))).otherwise(F.array().cast("array<int>")))  # sorted only where a run is looked for
+    matches = [f"__m{i}" for i in range(len(sets))] + [_inside(name, t, flag, threshold) for flag, (name, t, _, _) in zip(flags, templates_of_runs)]
     found = F.flatten(F.array(*matches)) if matches else F.array().cast("array<struct<minus:double,license:string>>")
     rows = rows.select(id_col, found.alias("__found"))
     best = F.array_min("__found")
