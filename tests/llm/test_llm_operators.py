@@ -1,8 +1,10 @@
 """Each operator against a brute-force version, and on nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import re
 import struct
 import textwrap
+import time
 import zlib
 from collections import Counter
 from functools import reduce
@@ -226,6 +228,52 @@ def test_word_encoder_with_a_small_memory():
     assert [small.encode([t])[0] for t in texts] == [whole.whole(t) for t in texts] == small.encode(texts)
 
 
+def test_word_encoder_cuts_parts_as_the_library():
+    encoder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(5)
+    pieces = ["'", "s", "t", "re", "ve", "ll", "m", "d", "R", "S", " ", "\n", "5", "½", "²", "é", "É", "ß", "!", "_", "-", "ŉ", "<", "/w>", "</w>", "|", ""]
+    texts = ["".join(rng.choice(pieces, n)) for n in rng.integers(0, 30, 5000)]
+    texts += ["'street 're're 'l 'll'll ''s !'s s's' don'T 5's '", "'", "'r", "'s", "", "\n", " x", "x "]
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+    assert encoder.encode([]) == [] and encoder.encode([""]) == [b""] and encoder.encode([" ", "\n"]) == [b"", b""]
+    for p in ("a", "'s", "!"):  # no part's end is known: each goes to the library by itself
+        encoder.parts.clear()
+        encoder.last[:] = False
+        assert encoder.encode([p, p + " b"]) == [encoder.whole(p), encoder.whole(p + " b")]
+
+
+def test_word_encoder_looks_up_distinct_parts_of_a_block_only():
+    encoder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice([*"abcdefgh"], n)) for n in rng.integers(2, 12, 5000)]
+    texts = [", ".join(rng.choice(words, 1000)) for _ in range(300)]
+    ids = {p: encoder.whole(p) for p in [",", *words]}
+    cut = re.compile(r"[a-z]+|[^\sa-z]+")
+
+    def part_by_part():
+        return [b"".join(map(ids.get, cut.findall(t.lower()))) for t in texts]
+
+    def least(run):
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            run()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert encoder.encode(texts) == part_by_part()
+    assert least(lambda: encoder.encode(texts)) < least(part_by_part)
+
+
+def test_token_files_with_rows_beyond_a_block(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = token_files.WordEncoder(path).whole
+    texts = [None, "", "two words " * 60_000, "It's 5!", None, "ñandú " * 200_000, "c" * 70_000, ""] * 3
+    out = token_files.written_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path, 1).collect()
+    want = {t: whole(t or "") + b"\1\0\0\0" for t in set(texts)}
+    assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in out} == {(i, len(want[t]) // 4, zlib.crc32(want[t])) for i, t in enumerate(texts)}
+
+
 def test_sharding(spark, docs):
     out = sharding.sharded(docs, shards=3, slots=64).collect()
     assert len(out) == len(corpus())
