@@ -33,7 +33,7 @@ from tidelog.llm.common import Scratch, ready
 #: Kinds of characters: a part is a run of one kind, whitespace stands between parts.
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Bytes of text that are split and looked up at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def _plain() -> tuple[re.Pattern, np.ndarray]:
@@ -70,7 +70,7 @@ class WordEncoder:
     PLAIN, KINDS = _plain()
 
     def __init__(self, path: str, keep: int = 1_000_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         content = json.loads(self.library.to_str())
@@ -85,10 +85,10 @@ class WordEncoder:
         self.keep = keep
         self.parts: dict[bytes, bytes] = {}
         if self.splits:
-            # the same model, for lower-case parts with a space between
-            content |= {"normalizer": None, "added_tokens": []}
-            content["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"} if p["type"] == "Split" else p for p in parts]
-            self.of_parts = Tokenizer.from_str(json.dumps(content))
+            # the same model, held once, for lower-case parts with a space between
+            self.of_parts = Tokenizer(self.library.model)
+            own = self.library.pre_tokenizer
+            self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit() if p["type"] == "Split" else own[i] for i, p in enumerate(parts)])
             vocabulary = content["model"]["vocab"]
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
             self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
