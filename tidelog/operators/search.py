@@ -239,30 +239,6 @@ def excerpt(text, terms: list[str], around: int = 80):
     return F.concat(F.when(begin > 1, "…").otherwise(""), piece, F.when(begin + 2 * around <= F.length(text), "…").otherwise(""))
 
 
-def meeting(left: DataFrame, right: DataFrame, share: float, keys: list[str] | None = None) -> DataFrame:
-    """Distinct pairs (*keys, a, b) of rows (*keys, id, words) that may have `share` of the smaller set's words in common.
-
-    No pair that has is lost: of a set of n words of which ceil(n * share) must
-    be met, one of any n - ceil(n * share) + 1 is.  The smaller set offers its
-    rarest, so frequent words meet only where a set has no rarer ones.
-    """
-    keys = keys or []
-    spread = lambda rows: rows.select(*keys, "id", F.size("words").alias("n"), F.explode("words").alias("x"))
-    counts = spread(left).unionByName(spread(right)).groupBy("x").agg(F.count("*").alias("f"))
-
-    def rarest(rows):
-        ranked = spread(rows).join(counts, "x").groupBy(*keys, "id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("w"))
-        need = F.greatest(F.ceil(F.col("n") * share - 1e-9), F.lit(1)).cast("int")
-        return ranked.select(*keys, "id", "n", F.explode(F.slice("w", 1, F.col("n") - need + 1)["x"]).alias("x"))
-
-    def met(few, many, a, b, fits):
-        few, many = few.withColumnsRenamed({"id": a, "n": "n_few"}), many.withColumnsRenamed({"id": b, "n": "n_many"})
-        return few.join(many, [*keys, "x"]).where(fits).select(*keys, "a", "b")
-
-    one = met(rarest(left), spread(right), "a", "b", F.col("n_few") <= F.col("n_many"))
-    return one.union(met(rarest(right), spread(left), "b", "a", F.col("n_few") < F.col("n_many"))).distinct()
-
-
 def routed(rows: DataFrame, now: int, text: str = "text") -> DataFrame:
     """rows of questions with shape, start and end: `route` for a whole table."""
     q = F.lower(F.coalesce(F.col(text), F.lit("")))
